@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granthi import lexicons as lx
-from granthi.functions.text import DEV, strip_ws, word_tokens
+from granthi.functions.text import DEV, strip_ws
 
 # Patterns of the gate.
 UNMAPPED_GLYPH = r"/uni[0-9A-Fa-f]{4}|/g\d+|\(cid:\d+\)"
 COMBINING = "\u093a-\u094f\u0951-\u0957\u0962\u0963"
 CONSONANT = "\u0915-\u0939\u0958-\u095f\u0978-\u097f"
 INTRUSION = rf"[{DEV}][\[\]\\/{{}}<>@#$%^&*|~`A-Za-z][{DEV}]"
-EXOTIC_LETTER = rf"[\p{{L}}&&[^A-Za-z{DEV}]]"
+EXOTIC_LETTER = rf"[\p{{L}}&&[^A-Za-z{DEV}]]+"
 
 
 def _count(col: Column, pattern: str) -> Column:
@@ -28,38 +28,63 @@ def _drop(when: Column, amount: Column) -> Column:
     return F.when(when, amount).otherwise(F.lit(0.0))
 
 
+def _without(col: Column, pattern: str) -> Column:
+    """How many characters a pattern covers, without a string per match."""
+    return F.length(col) - F.length(F.regexp_replace(col, pattern, ""))
+
+
+def _ascii(col: Column) -> Column:
+    return F.octet_length(col) == F.length(col)
+
+
+def devanagari_count(text: Column) -> Column:
+    return F.when(_ascii(text), F.lit(0)).otherwise(_without(text, f"[{DEV}]+"))
+
+
 def script_class(text: Column) -> Column:
     """neutral, latin, devanagari or mixed; a script needs three quarters of the letters."""
-    dev, lat = _count(text, f"[{DEV}]"), _count(text, "[A-Za-z]")
+    return script_of(text, devanagari_count(text))
+
+
+def script_of(text: Column, dev: Column) -> Column:
+    """Script class from the text and its Devanagari count; Latin is counted only beside it."""
+    lat = _without(text, "[A-Za-z]+")
     return (
-        F.when((dev == 0) & (lat == 0), "neutral")
-        .when(dev == 0, "latin")
-        .when(lat == 0, "devanagari")
+        F.when((dev == 0), F.when(text.rlike("[A-Za-z]"), "latin").otherwise("neutral"))
         .when(dev / (dev + lat) >= 0.75, "devanagari")
         .when(lat / (dev + lat) >= 0.75, "latin")
         .otherwise("mixed")
     )
 
 
-def latin_tokens(tokens: Column) -> Column:
-    return F.transform(F.filter(tokens, lambda t: t.rlike("[A-Za-z]")), F.lower)
+# Tokens are maximal runs of letters, digits, underscores or Devanagari. They are laid out
+# once as " token token", so every count below is one pass that starts at a blank.
+STOPWORD = f" (?:{'|'.join(lx.GATE_STOPWORDS)})(?![^ ])"
 
 
-def devanagari_tokens(tokens: Column) -> Column:
-    return F.filter(tokens, lambda t: t.rlike(f"[{DEV}]"))
+def token_line(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}_{DEV}]+", " "))
+
 
+def latin_measures(text: Column, tokens: Column) -> Column:
+    """Counts behind the Latin score, over the tokens that hold a Latin letter.
 
-def latin_measures(text: Column, tokens: Column, latin: Column) -> Column:
-    """Counts behind the Latin score, each taken over the line's tokens."""
-    judged = F.filter(latin, lambda t: (F.length(t) >= 3) & ~t.rlike("^[ivxlcdm]+\\z"))
+    Every allowed short word has a vowel, so the vowelled tokens are those with one. Tokens
+    without a vowel are judged from three characters on, Roman numerals excepted.
+    """
+    low = F.lower(tokens)
+    long_tokens = _count(low, " (?=[^ ]*?[a-z])[^ ]{3}")
+    long_vowelled = _count(low, " (?=[^ ]*?[aeiouy])[^ ]{3}")
+    roman = _count(low, " [ivxlcdm]{3,}+(?![^ ])")
+    roman_vowelled = _count(low, " (?=[vxlcdm]*i)[ivxlcdm]{3,}+(?![^ ])")
     return F.struct(
-        F.size(latin).alias("n"),
-        F.size(F.filter(latin, lambda t: t.isin(lx.GATE_STOPWORDS))).alias("stop"),
-        F.size(F.filter(latin, lambda t: t.rlike("[aeiouy]") | t.isin(lx.ALLOWED_SHORT))).alias("vowelled"),
-        F.size(judged).alias("judged"),
-        F.size(F.filter(judged, lambda t: ~t.rlike("[aeiouy]"))).alias("novowel"),
-        F.size(F.filter(tokens, lambda t: t.rlike("[a-z][A-Z]"))).alias("caps"),
-        (_count(text, EXOTIC_LETTER) / F.greatest(F.length(text), F.lit(1))).alias("exotic"),
+        _count(low, " [^ ]*?[a-z]").alias("n"),
+        low.rlike(STOPWORD).alias("stop"),
+        _count(low, " [^ ]*?[aeiouy]").alias("vowelled"),
+        (long_tokens - roman).alias("judged"),
+        (long_tokens - long_vowelled - roman + roman_vowelled).alias("novowel"),
+        _count(tokens, " [^ ]*?[a-z][A-Z]").alias("caps"),
+        F.when(_ascii(text), F.lit(0.0)).otherwise(_without(text, EXOTIC_LETTER) / F.length(text)).alias("exotic"),
     )
 
 
@@ -68,7 +93,7 @@ def latin_score_of(m: Column) -> Column:
     novowel = F.when(m["judged"] > 0, m["novowel"] / m["judged"]).otherwise(0.0)
     score = (
         m["vowelled"] / m["n"]
-        - _drop((m["n"] >= 6) & (m["stop"] == 0), F.lit(0.35))
+        - _drop((m["n"] >= 6) & ~m["stop"], F.lit(0.35))
         - _drop(m["exotic"] > 0.01, F.lit(0.30))
         - _drop(novowel > 0.15, F.least(F.lit(0.6), novowel * 1.6))
         - _drop(m["caps"] / m["n"] > 0.05, F.lit(0.35))
@@ -76,19 +101,23 @@ def latin_score_of(m: Column) -> Column:
     return F.when(m["n"] == 0, F.lit(1.0)).otherwise(_clamp(score))
 
 
-def devanagari_measures(text: Column, tokens: Column) -> Column:
+def devanagari_tokens(tokens: Column) -> Column:
+    return F.filter(F.split(tokens, " "), lambda t: t.rlike(f"[{DEV}]"))
+
+
+def devanagari_measures(text: Column, tokens: Column, dev: Column) -> Column:
     """Counts behind the Devanagari score.
 
     A combining mark without a base is the head of a mark run that follows no consonant,
     so the runs and the runs behind a consonant are counted and subtracted.
     """
     return F.struct(
-        F.size(tokens).alias("n"),
-        F.size(F.filter(tokens, lambda t: t.rlike("[A-Za-z]"))).alias("fused"),
+        F.size(dev).alias("n"),
+        _count(tokens, f" (?=[^ ]*?[{DEV}])[^ ]*?[A-Za-z]").alias("fused"),
         _count(text, INTRUSION).alias("intrusions"),
-        F.size(F.filter(tokens, lambda t: F.length(t) == 1)).alias("singles"),
+        _count(tokens, f" [{DEV}](?![^ ])").alias("singles"),
         (_count(text, f"[{COMBINING}]+") - _count(text, f"[{CONSONANT}][{COMBINING}]+")).alias("orphans"),
-        _count(text, f"[{DEV}]").alias("chars"),
+        devanagari_count(text).alias("chars"),
     )
 
 
@@ -130,28 +159,29 @@ def assess_lines(lines: Column) -> Column:
     A chain of ``transform`` steps, so a page is judged inside its own row without a shuffle,
     and each step's tokens are computed once.
     """
-    seen = F.transform(lines, lambda line: F.struct(strip_ws(line).alias("s")))
+    stripped = F.transform(lines, strip_ws)
+    seen = F.transform(stripped, lambda line: F.struct(
+        line.alias("s"), devanagari_count(line).alias("dev")))
     classed = F.transform(seen, lambda x: F.struct(
         x["s"].alias("s"),
-        script_class(x["s"]).alias("script"),
+        script_of(x["s"], x["dev"]).alias("script"),
         (F.length(x["s"]) < lx.MIN_LINE_CHARS).alias("short"),
         x["s"].rlike(UNMAPPED_GLYPH).alias("unmapped"),
     ))
-    tokenised = F.transform(classed, lambda x: F.struct(
-        x["s"].alias("s"), x["script"].alias("script"), x["short"].alias("short"),
-        x["unmapped"].alias("unmapped"),
-        F.when(~x["short"] & ~x["unmapped"] & (x["script"] != "neutral"), word_tokens(x["s"])).alias("tok"),
-    ))
-    parted = F.transform(tokenised, lambda x: F.struct(
+    laid_out = F.transform(classed, lambda x: F.struct(
         x.alias("x"),
-        F.when(x["script"] != "devanagari", latin_tokens(x["tok"])).alias("lat"),
-        F.when(x["script"] != "latin", devanagari_tokens(x["tok"])).alias("dev"),
+        F.when(~x["short"] & ~x["unmapped"] & (x["script"] != "neutral"), token_line(x["s"])).alias("line"),
+    ))
+    parted = F.transform(laid_out, lambda p: F.struct(
+        p["x"].alias("x"), p["line"].alias("line"),
+        F.when(p["x"]["script"] != "latin", devanagari_tokens(p["line"])).alias("dev"),
     ))
     measured = F.transform(parted, lambda p: F.struct(
         p["x"].alias("x"),
         p["dev"].alias("dev"),
-        F.when(p["lat"].isNotNull(), latin_measures(p["x"]["s"], p["x"]["tok"], p["lat"])).alias("lm"),
-        F.when(p["dev"].isNotNull(), devanagari_measures(p["x"]["s"], p["dev"])).alias("dm"),
+        F.when(p["line"].isNotNull() & (p["x"]["script"] != "devanagari"),
+               latin_measures(p["x"]["s"], p["line"])).alias("lm"),
+        F.when(p["dev"].isNotNull(), devanagari_measures(p["x"]["s"], p["line"], p["dev"])).alias("dm"),
     ))
     scored = F.transform(measured, lambda m: F.struct(
         m["x"].alias("x"), m["lm"]["n"].alias("ln"), m["dm"]["n"].alias("dn"),

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 # The characters a Unicode-aware strip or whitespace split treats as blank.
 WS = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS_CHARS = "".join(chr(c) for c in (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+))
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 DEV = "\u0900-\u097f"
 
@@ -44,8 +48,8 @@ _ACCENTED, _PLAIN = _accent_table()
 
 
 def strip_ws(col: Column) -> Column:
-    """Trim every kind of Unicode blank; the native trim only removes spaces."""
-    return F.regexp_replace(col, f"^[{WS}]+|[{WS}]+\\z", "")
+    """Trim every kind of Unicode blank, not only spaces; no regular expression."""
+    return F.trim(col, F.lit(WS_CHARS))
 
 
 def squeeze(col: Column) -> Column:

@@ -10,6 +10,7 @@ from granthi.functions.text import (
     DEV, gazette_numbers, joined, normalise, standard_numbers, strip_ws,
 )
 from granthi.operators.ordering import running_sum
+from granthi.session import settled
 
 # Where a clause starts and where a long unit may be cut.
 CLAUSE_START = r"(?mdU)(?=^\s*(?:\(\s*[0-9ivxa-z]{1,4}\s*\)|\d{1,2}\.\d{0,2}\s|Provided\b|PROVIDED\b))"
@@ -103,10 +104,10 @@ def chunk_pages(pages: DataFrame, keys: list[str], text: str = "text",
                 status: str | None = "status") -> DataFrame:
     """Chunks of the usable pages: keys, page_number, pos, text and identifiers. No shuffle."""
     usable = pages if status is None else pages.where(F.col(status) == "ok")
-    prepared = usable.select(*keys, "page_number", normalise(F.col(text)).alias("_t")).where(
+    prepared = settled(usable.select(*keys, "page_number", normalise(F.col(text)).alias("_t"))).where(
         F.length("_t") >= lx.CHUNK_MIN_CHARS
     )
-    units = prepared.select(*keys, "page_number", clause_units(F.col("_t")).alias("_u"))
+    units = settled(prepared.select(*keys, "page_number", clause_units(F.col("_t")).alias("_u")))
     packed = units.select(*keys, "page_number", F.posexplode(pack_units(F.col("_u"))).alias("pos", "c"))
     return packed.select(
         *keys, "page_number", "pos", F.col("c.text").alias("text"),

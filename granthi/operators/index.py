@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granthi.functions.text import search_tokens
 
+# Functions that run in Python workers travel with the task: workers need no package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def token_arrays(passages: DataFrame, columns: list[str], key: str = "chunk_id") -> DataFrame:
     """Token array per text column and the unweighted length over all of them."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granthi import lexicons as lx
 from granthi.functions.gate import assess_line, assess_lines
 from granthi.functions.text import split_lines, strip_ws
+from granthi.session import settled
 
 
 def explode_lines(pages: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
@@ -19,7 +20,7 @@ def explode_lines(pages: DataFrame, keys: list[str], raw: str = "raw") -> DataFr
 
 def judge_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Script, score, verdict and reason of each line."""
-    return lines.withColumn("_v", assess_line(F.col(line))).select(*lines.columns, "_v.*")
+    return settled(lines.withColumn("_v", assess_line(F.col(line)))).select(*lines.columns, "_v.*")
 
 
 def _histogram(values):
@@ -34,13 +35,15 @@ def _histogram(values):
 
 def clean_pages(pages: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
     """Kept text, counts, drop ratio, reasons and scripts of each page; no shuffle."""
-    judged = pages.select(*keys, F.col(raw).alias("raw"), assess_lines(split_lines(F.col(raw))).alias("_l"))
+    judged = settled(
+        pages.select(*keys, F.col(raw).alias("raw"), assess_lines(split_lines(F.col(raw))).alias("_l"))
+    )
     staged = judged.select(
         *keys, "raw",
         F.filter("_l", lambda x: x["verdict"] == "keep").alias("_kept"),
         F.filter("_l", lambda x: x["verdict"] == "reject").alias("_dropped"),
     )
-    return staged.select(
+    return settled(staged.select(
         *keys, "raw",
         F.array_join(F.transform("_kept", lambda x: x["stripped"]), "\n").alias("kept_text"),
         F.size("_kept").alias("kept_lines"),
@@ -50,7 +53,7 @@ def clean_pages(pages: DataFrame, keys: list[str], raw: str = "raw") -> DataFram
         ).alias("drop_ratio"),
         F.transform("_dropped", lambda x: x["reason"]).alias("_reasons"),
         F.transform("_kept", lambda x: x["script"]).alias("_scripts"),
-    ).select(
+    )).select(
         *keys, "raw", "kept_text", "kept_lines", "dropped_lines", "drop_ratio",
         _histogram(F.col("_reasons")).alias("dropped_reasons"),
         _histogram(F.col("_scripts")).alias("scripts"),
@@ -75,7 +78,7 @@ def with_page_status(cleaned: DataFrame, error: str | None = None) -> DataFrame:
     empty_map = F.create_map().cast("map<string,int>")
     kept = [c for c in cleaned.columns if c not in (
         "raw", "kept_text", "kept_lines", "dropped_lines", "drop_ratio", "dropped_reasons", "scripts")]
-    return cleaned.select(
+    return settled(cleaned.select(
         *kept,
         status.alias("status"),
         F.when(status == "ok", F.col("kept_text")).otherwise("").alias("text"),
@@ -84,7 +87,7 @@ def with_page_status(cleaned: DataFrame, error: str | None = None) -> DataFrame:
         F.when(blank, 1.0).otherwise(F.col("drop_ratio")).alias("drop_ratio"),
         F.when(blank, empty_map).otherwise(F.col("dropped_reasons")).alias("dropped_reasons"),
         F.when(blank, empty_map).otherwise(F.col("scripts")).alias("scripts"),
-    )
+    ))
 
 
 def drop_reasons(pages: DataFrame, key: str) -> DataFrame:

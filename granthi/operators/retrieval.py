@@ -6,10 +6,12 @@ enters a ranking shuffle: the k winners are hydrated at the end.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from granthi.functions.text import (
 from granthi.operators.index import corpus_stats, token_arrays
 from granthi.session import BROADCAST_MAX_ROWS, broadcast_if_small, fits_broadcast
 
+# Functions that run in Python workers travel with the task: workers need no package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Ranks are taken on scores rounded to 9 places, so equal passages tie and the id decides.
 RANK_DIGITS = 9
 QUERY_MATRIX_ROWS = 20_000

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granthi.functions.text import gazette_numbers, split_words, squeeze, standard_numbers
 
+# Functions that run in Python workers travel with the task: workers need no package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOKENS_PER_WORD = 1.3
 MIN_TOKENS, MAX_TOKENS = 400, 800
 OVERLAP_SHARE = 0.15
@@ -93,7 +98,8 @@ def html_blocks(pages: DataFrame) -> DataFrame:
 def block_chunks(blocks: DataFrame) -> DataFrame:
     """Chunks of 400 to 800 estimated tokens per page; a block is never split.
 
-    The blocks of one page are folded inside one row. About 15% of a chunk's last words open
+    A chunk closes once it holds the minimum and the next block would pass the maximum. The
+    blocks of one page are folded inside one row. About 15% of a chunk's last words open
     the next one. The header names the title and the heading in force where a chunk starts.
     """
     target = int(MAX_TOKENS / TOKENS_PER_WORD)
@@ -115,9 +121,7 @@ def block_chunks(blocks: DataFrame) -> DataFrame:
     def step(s, b):
         words = F.size(split_words(b["text"]))
         is_title, is_heading = b["kind"] == "title", b["kind"] == "heading"
-        full = (s["fresh"] > 0) & (s["n"] >= enough) & (s["n"] + words > target)
-        forced = (s["fresh"] > 0) & (s["n"] + words > target)
-        cut = full | forced
+        cut = (s["fresh"] > 0) & (s["n"] >= enough) & (s["n"] + words > target)
         old = split_words(s["buf"])
         keep = F.floor(F.size(old) * OVERLAP_SHARE).cast("int")
         tail = F.when(keep > 0, F.array_join(F.slice(old, F.size(old) - keep + 1, keep), " ")).otherwise("")

@@ -18,7 +18,7 @@ from granthi.operators import (
     tariff, webpages,
 )
 from granthi.plans import derived as d
-from granthi.session import materialise, shared_dir
+from granthi.session import materialise, settled, shared_dir
 from granthi.sources import corpus as src
 from granthi.streaming import jobs
 
@@ -160,18 +160,21 @@ def script_class(spark, sf):
     return plain(lines.select("doc_id", "line_no", gate.script_class(F.col("line")).alias("script")))
 
 
+def _token_lines(spark, sf):
+    lines = _varied_lines(spark, sf)
+    return settled(lines.withColumn("tokens", gate.token_line(F.col("line"))))
+
+
 @query
 def latin_score(spark, sf):
-    staged = _varied_lines(spark, sf).select("doc_id", "line_no", "line", tx.word_tokens(F.col("line")).alias("tok"))
-    staged = staged.withColumn("lat", gate.latin_tokens(F.col("tok")))
-    measured = staged.withColumn("m", F.when(F.lit(True), gate.latin_measures(F.col("line"), F.col("tok"), F.col("lat"))))
+    measured = settled(_token_lines(spark, sf).select("doc_id", "line_no", gate.latin_measures(F.col("line"), F.col("tokens")).alias("m")))
     return plain(measured.select("doc_id", "line_no", gate.latin_score_of(F.col("m")).alias("score")))
 
 
 @query
 def devanagari_score(spark, sf):
-    staged = _varied_lines(spark, sf).select("doc_id", "line_no", "line", gate.devanagari_tokens(tx.word_tokens(F.col("line"))).alias("dev"))
-    measured = staged.withColumn("m", gate.devanagari_measures(F.col("line"), F.col("dev")))
+    staged = settled(_token_lines(spark, sf).withColumn("dev", gate.devanagari_tokens(F.col("tokens"))))
+    measured = settled(staged.withColumn("m", gate.devanagari_measures(F.col("line"), F.col("tokens"), F.col("dev"))))
     return plain(measured.select("doc_id", "line_no", gate.devanagari_score_of(F.col("m"), F.col("dev")).alias("score")))
 
 

@@ -71,3 +71,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, so that costly columns are computed once per row.
+
+    A filter on a computed column is otherwise pushed below the projection and the whole
+    expression is evaluated again in it.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer partitions than the session has cores.
+
+    A large table has many more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

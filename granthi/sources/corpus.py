@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from granthi import lexicons as lx
 from granthi.functions.text import fix_mojibake, strip_ws, title_of
+from granthi.session import spread
 
 PROVENANCE_SCHEMA = T.StructType([
     T.StructField("filename", T.StringType()),
@@ -32,9 +33,13 @@ FULL_GOLDEN_SCHEMA = T.StructType([
     T.StructField("expects_refusal", T.BooleanType()),
 ])
 
+# Tables whose rows cost enough that a single small file should feed all cores.
+TEXT_TABLES = ("documents", "pages")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:

@@ -54,9 +54,14 @@ def ingest_documents(stream: DataFrame, out: str, checkpoint: str,
         unique = hashed.withWatermark(*watermark).dropDuplicatesWithinWatermark(["sha256"])
 
     def append(batch: DataFrame, batch_id: int) -> None:
+        # The batch holds de-duplication state, so it is evaluated once: chunks are staged
+        # before the numbering reads them twice.
         pages = explode_pages(batch, ["sha256"])
         status = with_page_status(clean_pages(pages, ["sha256", "page_number"]))
-        chunks = number_chunks(chunk_pages(status, ["sha256"]), "sha256")
+        cut = chunk_pages(status, ["sha256"])
+        staged = _batch_dir(f"{out}.staged", batch_id)
+        cut.write.mode("overwrite").parquet(staged)
+        chunks = number_chunks(batch.sparkSession.read.schema(cut.schema).parquet(staged), "sha256")
         chunks.select(*CHUNK_SCHEMA.fieldNames()).write.mode("overwrite").parquet(_batch_dir(out, batch_id))
 
     return (
