@@ -128,7 +128,7 @@ def devanagari_score_of(m: Column, tokens: Column) -> Column:
                                      lambda b, a: (a == b) & (F.length(b) > 1)))
     runs = F.coalesce(F.size(F.filter(pairs, lambda p: p)), F.lit(0)) / F.greatest(n - 1, F.lit(1))
     # Sorted fragments make the most frequent one a single pass instead of a count per fragment.
-    short = F.array_sort(F.filter(tokens, lambda t: F.length(t).between(2, 4)))
+    short = F.sort_array(F.filter(tokens, lambda t: F.length(t).between(2, 4)))
     longest = F.aggregate(
         short,
         F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")),

@@ -6,6 +6,7 @@ All of them are native expressions, so they run in the JVM inside whatever stage
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,6 +48,11 @@ def _accent_table() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _accent_table()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a costly value once for an expression that reads it several times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_ws(col: Column) -> Column:
     """Trim every kind of Unicode blank, not only spaces; no regular expression."""
     return F.trim(col, F.lit(WS_CHARS))
@@ -78,11 +84,6 @@ def search_tokens(col: Column) -> Column:
     return F.regexp_extract_all(fold(col), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
-def word_tokens(col: Column) -> Column:
-    """Tokens of the quality gate: runs of word characters or Devanagari."""
-    return F.filter(F.split(col, rf"[^\p{{L}}\p{{N}}_{DEV}]+"), lambda t: t != "")
-
-
 def has_devanagari(col: Column) -> Column:
     return col.rlike(f"[{DEV}]")
 
@@ -135,12 +136,15 @@ def fix_mojibake(col: Column) -> Column:
 
     The repaired text is taken only if the telltale character was there and is gone.
     """
+    return let(col, lambda text: F.when(text.contains("â"), _repaired(text)).otherwise(text))
+
+
+def _repaired(text: Column) -> Column:
     as_latin1 = F.translate(
-        F.translate(col, "\u0081\u008d\u008f\u0090\u009d", "\uffff" * 5),
+        F.translate(text, "\u0081\u008d\u008f\u0090\u009d", "\uffff" * 5),
         _CP1252, "".join(chr(c.encode("cp1252")[0]) for c in _CP1252),
     )
-    c1 = F.translate(col, "".join(chr(c) for c in range(0x80, 0xA0)), "\uffff" * 32)
+    c1 = F.translate(text, "".join(chr(c) for c in range(0x80, 0xA0)), "\uffff" * 32)
     encodable = ~as_latin1.rlike("[^\\x{0}-\\x{ff}]") & ~c1.contains("\uffff")
-    decoded = F.try_validate_utf8(F.encode(as_latin1, "ISO-8859-1").cast("string"))
-    repaired = F.when(encodable, decoded)
-    return F.when(col.contains("â") & ~repaired.contains("â"), repaired).otherwise(col)
+    decoded = F.when(encodable, F.try_validate_utf8(F.encode(as_latin1, "ISO-8859-1").cast("string")))
+    return F.when(~decoded.contains("â"), decoded).otherwise(text)

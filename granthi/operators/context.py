@@ -55,7 +55,7 @@ def history_blocks(turns: DataFrame, messages: int = lx.HISTORY_MESSAGES,
     number = Window.partitionBy("conv_id", "_blk").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     numbered = rows.withColumn("_n", F.count("_say").over(number))
     shown = F.transform(
-        F.filter(F.array_sort(F.collect_list("_say").over(before)), lambda s: s["shown"]),
+        F.filter(F.sort_array(F.collect_list("_say").over(before)), lambda s: s["shown"]),
         lambda s: s["says"],
     )
     return (

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granthi.functions.text import search_tokens
+from granthi.functions.text import let, search_tokens
 
 # Functions that run in Python workers travel with the task: workers need no package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -55,9 +55,13 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 def l2_normalised(vector: Column) -> Column:
     """Unit-length copy of a vector, so that a dot product is a cosine."""
-    squares = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    norm = F.sqrt(squares)
-    return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    def squares(v: Column) -> Column:
+        return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+
+    def scaled(v: Column, norm: Column) -> Column:
+        return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+
+    return let(vector, lambda v: let(F.sqrt(squares(v)), lambda norm: scaled(v, norm)))
 
 
 def hashed_vector(text: Column, dim: int = 64) -> Column:
@@ -66,7 +70,7 @@ def hashed_vector(text: Column, dim: int = 64) -> Column:
     A token's slot is the first byte of its MD5 modulo ``dim``. The sorted slots are counted by
     one fold that appends once per slot, so the cost grows with the text, not text times slots.
     """
-    slots = F.array_sort(F.transform(
+    slots = F.sort_array(F.transform(
         search_tokens(text),
         lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 2), 16, 10).cast("int") % dim),
     ))
@@ -85,9 +89,9 @@ def hashed_vector(text: Column, dim: int = 64) -> Column:
         )).otherwise(F.struct(x.alias("slot"), F.lit(1).alias("n"), closed(s).alias("out"))),
         lambda s: F.map_from_entries(closed(s)),
     )
-    return l2_normalised(F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(counts[i], F.lit(0)).cast("double")
-    ))
+    return l2_normalised(let(counts, lambda found: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(found[i], F.lit(0)).cast("double")
+    )))
 
 
 def missing_chunks(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

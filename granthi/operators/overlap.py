@@ -57,7 +57,7 @@ def redact_runs(texts: DataFrame, runs: DataFrame, key: str, clause: str) -> Dat
     ``runs`` is (key, left_start, n_words, clause). Spans of one text are merged first; they are
     bounded by the text's own length.
     """
-    spans = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+    spans = runs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
         F.col("left_start").alias("a"), (F.col("left_start") + F.col("n_words")).alias("b"),
         F.col(clause).alias("clause"),
     ))).alias("spans"))

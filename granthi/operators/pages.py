@@ -27,7 +27,7 @@ def _histogram(values):
     """Counts per distinct value, ordered by value."""
     return F.map_from_entries(
         F.transform(
-            F.array_sort(F.array_distinct(values)),
+            F.sort_array(F.array_distinct(values)),
             lambda v: F.struct(v, F.size(F.filter(values, lambda w: w == v))),
         )
     )

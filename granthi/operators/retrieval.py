@@ -385,7 +385,7 @@ def serialise(hits: DataFrame) -> DataFrame:
     """JSON of each hydrated hit: score at 6 places, rankers sorted, citation."""
     return hits.select("query_id", "rank", F.to_json(F.struct(
         "chunk_id", "title", "category", "relpath", "page_number", "citation",
-        F.round("score", 6).alias("score"), F.array_sort("sources").alias("matched_by"),
+        F.round("score", 6).alias("score"), F.sort_array("sources").alias("matched_by"),
         "keyword_rank", "semantic_rank", "text",
     )).alias("hit"))
 
@@ -397,7 +397,7 @@ def mode_overlap(keyword: DataFrame, semantic: DataFrame, hybrid: DataFrame,
     Each list holds at most top-k chunks, so the collected sets are bounded.
     """
     def ids(df: DataFrame, name: str) -> DataFrame:
-        rows = F.array_sort(F.collect_list(F.struct("rank", "chunk_id")))
+        rows = F.sort_array(F.collect_list(F.struct("rank", "chunk_id")))
         return df.groupBy("query_id").agg(F.transform(rows, lambda r: r["chunk_id"]).alias(name))
 
     none = F.array().cast("array<bigint>")
@@ -408,9 +408,9 @@ def mode_overlap(keyword: DataFrame, semantic: DataFrame, hybrid: DataFrame,
     )
     return all_ids.select(
         "query_id",
-        F.array_sort(F.array_except("k", "s")).alias("keyword_only"),
-        F.array_sort(F.array_except("s", "k")).alias("semantic_only"),
-        F.array_sort(F.array_intersect("k", "s")).alias("found_by_both"),
+        F.sort_array(F.array_except("k", "s")).alias("keyword_only"),
+        F.sort_array(F.array_except("s", "k")).alias("semantic_only"),
+        F.sort_array(F.array_intersect("k", "s")).alias("found_by_both"),
         F.filter("h", lambda c: ~F.array_contains("k", c) & ~F.array_contains("s", c)).alias("hybrid_unique"),
     )
 

@@ -89,7 +89,7 @@ def step_evidence(spark, passages: DataFrame, vectors: DataFrame | None = None,
     # At most top passages per step query: the collected list is bounded.
     shown = passages.select("chunk_id", "relpath", "page_number", F.substring(
         "text", 1, lx.STEP_PASSAGE_CHARS).alias("passage"))
-    cited = shown.join(F.broadcast(hits), "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(
+    cited = shown.join(F.broadcast(hits), "chunk_id").groupBy("query_id").agg(F.sort_array(F.collect_list(
         F.struct("rank", "relpath", "page_number", "passage"))).alias("citations"))
     return steps.withColumn("query_id", F.xxhash64("text")).join(cited, "query_id", "left").select(
         "step_list", "position", "title",

@@ -117,7 +117,7 @@ def cards(found: DataFrame, tariff: DataFrame, language: str = "en") -> DataFram
     """
     rows = tariff.select("id", card(language).alias("card"))
     joined = found.join(rows, "id", "left")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "card"))), lambda r: r["card"])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "card"))), lambda r: r["card"])
     return joined.groupBy("query_id").agg(F.max("found").alias("found"), listed.alias("c")).select(
         "query_id", F.when(
             F.col("found"),

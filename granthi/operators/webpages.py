@@ -105,7 +105,7 @@ def block_chunks(blocks: DataFrame) -> DataFrame:
     target = int(MAX_TOKENS / TOKENS_PER_WORD)
     enough = int(MIN_TOKENS / TOKENS_PER_WORD)
     per_page = blocks.groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "kind", "text"))).alias("b")
+        F.sort_array(F.collect_list(F.struct("pos", "kind", "text"))).alias("b")
     )
     start = F.struct(
         F.lit("").alias("title"), F.lit("").alias("heading"), F.lit("").alias("at"),

@@ -315,7 +315,7 @@ lines AS (SELECT doc_id, page_number, unnest(range(1, len(x) + 1)) AS line_no, u
 {VERDICT.replace('SELECT doc_id, line_no', 'SELECT doc_id, page_number, line_no')}, {page_sql('doc_id, page_number')}
 SELECT doc_id, count(*) AS page_count, count(*) FILTER (status = 'ok') AS pages_ok, count(*) FILTER (status = 'scanned') AS pages_scanned,
  count(*) FILTER (status = 'mostly_corrupt') AS pages_corrupt FROM status GROUP BY 1"""
-ORACLES["mojibake_fix"] = """SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 0 THEN replace(text, ' ', ' — ') WHEN 1 THEN 'château ' || text ELSE text END AS fixed FROM conversations"""
+ORACLES["mojibake_fix"] = """SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 0 THEN replace(text, ' ', CASE WHEN strlen(text) = length(text) THEN ' — ' ELSE ' â€” ' END) WHEN 1 THEN 'château ' || text ELSE text END AS fixed FROM conversations"""
 
 # --- normalise and identifiers
 ORACLES["text_normalise"] = r"""SELECT doc_id, trim(regexp_replace(replace(text, '. ', '. '), '\n', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS normalised FROM documents"""
@@ -406,3 +406,240 @@ def card(language: str) -> str:
 ORACLES["tariff_cards_hi"] = f"WITH {TARIFF_CELLS} SELECT id, {card('hi')} AS card FROM tariff"
 ORACLES["tariff_cards"] = f"""WITH {TARIFF_CELLS}, {TARIFF_Q}, {_BYCODE}
 SELECT query_id, CASE WHEN hsn_cd IS NULL THEN {lit(lx.CARD_EMPTY['en'])} ELSE {card('en')} || chr(10) || {lit(lx.CARD_NOTE['en'])} END AS answer FROM tq LEFT JOIN coded USING (query_id)"""
+
+
+# --- marks and registry
+MARKS = """marks AS (SELECT c_custkey AS mark_id, CASE c_custkey % 8 WHEN 0 THEN 'CM/L-' || (6300000000 + c_custkey) WHEN 1 THEN 'R-' || (10000000 + c_custkey)
+ WHEN 2 THEN 'IS ' || (100 + c_custkey % 90000) || ':2015' WHEN 3 THEN upper(left(md5(c_custkey::VARCHAR), 6)) WHEN 4 THEN 'IS' || (1000 + c_custkey % 9000)
+ WHEN 5 THEN c_name WHEN 6 THEN ' cml' || (123456 + c_custkey) || ' ' ELSE '  ' || c_mktsegment || ' ' END AS value FROM customer),
+kinded AS (SELECT mark_id, value, trim(value) AS v, CASE WHEN regexp_matches(trim(value), '(?i)^CM\s*/?\s*L\s*[-–/]?\s*\d{6,12}$') THEN 'licence'
+ WHEN regexp_matches(trim(value), '(?i)^R\s*[-–]\s*\d{6,12}$') THEN 'crs'
+ WHEN regexp_matches(trim(value), '(?i)^IS\s*(?:/\s*(?:IEC|ISO|EN))?\s*:?\s*\d{2,5}(?:\s*[-–]\s*\d{1,2})?(?:\s*\(?\s*Part\s*\d+\s*\)?)?(?:\s*[:\-]\s*(?:19|20)\d{2})?$') THEN 'standard'
+ WHEN regexp_matches(trim(value), '(?i)^[A-Z0-9]{6}$') AND regexp_matches(value, '[0-9]') THEN 'hallmark' ELSE 'unknown' END AS kind FROM marks)"""
+_KINDS = "kinds(kind, label, caution, verify_at, hint) AS (VALUES " + ", ".join(
+    "(" + ", ".join(lit(v) for v in row) + ")" for row in lx.MARK_KINDS) + ")"
+ORACLES["decode_marks"] = f"""WITH {MARKS}, {_KINDS} SELECT mark_id, value, kind, kind <> 'unknown' AS recognised, label, caution, verify_at, coalesce(hint, v) AS search_hint,
+ CASE WHEN kind = 'licence' AND length(regexp_extract(v, '\d+')) <> 10 THEN 'expected 10 digits, found ' || length(regexp_extract(v, '\d+')) ELSE '' END AS warnings
+ FROM kinded JOIN kinds USING (kind)"""
+ORACLES["mark_kind_counts"] = f"WITH {MARKS} SELECT kind, count(*) AS marks FROM kinded GROUP BY 1"
+ORACLES["verify_licences"] = f"""WITH reg AS (SELECT upper('CM/L-' || (6300000000 + s_suppkey)) AS key, {pick(['cml', 'crs_r', 'huid'], 's_suppkey % 3')} AS type, s_name, s_acctbal > 0 AS active FROM supplier),
+ask AS (SELECT c_custkey AS query_id, 'cm/l-' || (6300000000 + c_custkey) AS number, CASE WHEN c_custkey % 2 = 0 THEN {pick(['cml', 'crs_r', 'huid'], 'c_custkey % 3')} END AS type FROM customer)
+SELECT query_id, number, r.key IS NOT NULL AS found, r.type AS matched_type, s_name AS holder, coalesce(active, false) AS active
+FROM ask a LEFT JOIN reg r ON r.key = upper(a.number) AND (a.type IS NULL OR a.type = r.type)"""
+_RULES = "rules(scheme, keyword) AS (VALUES " + ", ".join(f"({lit(a)}, {lit(b)})" for a, b in d.SCHEME_KEYWORDS) + ")"
+_MATCHED = "matched AS (SELECT DISTINCT p_partkey AS product_id, scheme FROM part JOIN rules ON contains(lower(p_name), lower(keyword)))"
+ORACLES["scheme_match"] = f"WITH {_RULES}, {_MATCHED} SELECT product_id, scheme FROM matched"
+ORACLES["compliance_gaps"] = f"""WITH {_RULES}, {_MATCHED}, held AS (SELECT p_partkey AS product_id, {pick([n for n, _ in d.SCHEMES], 'p_partkey % 4')} AS scheme FROM part WHERE p_size % 3 <> 0)
+SELECT product_id, scheme, CASE WHEN scheme IN ({', '.join(lit(n) for n, m in d.SCHEMES if m)}) THEN 'mandatory' ELSE 'voluntary' END AS gap FROM matched ANTI JOIN held USING (product_id, scheme)"""
+
+# --- triage
+_ABOUT = (r"(?i)^\s*(?:who\s+(?:are|r)\s+(?:you|u)|what\s+are\s+you|what\s+(?:can|do)\s+you\s+do|how\s+(?:can|do)\s+you\s+help|what\s+is\s+this|who\s+is\s+this|help|"
+          r"introduce\s+yourself|about\s+you|your\s+name|(?:तुम|आप|तू)\s*कौन\s*(?:हो|है|हैं|हूँ|हूं)?|(?:तुम|आप|तू)\s*क्या\s*(?:कर\s*सकते|करते)\s*(?:हो|है|हैं|हूँ|हूं)?|"
+          r"अपने\s*बारे\s*में\s*बताओ|तुम्हारा\s*नाम\s*क्या\s*है)\s*[?.!।]*\s*$")
+INTENTS = f"""norm AS (SELECT *, regexp_replace(regexp_replace(lower(trim(text, ' ' || chr(10))), '[!?.,]+$', ''), '\\s+', ' ', 'g') AS nq FROM asked),
+intents AS (SELECT *, CASE WHEN nq = '' THEN 'question' WHEN list_contains({lst(lx.GREETINGS)}, nq) OR (len(string_split(trim(nq), ' ')) <= 3 AND list_contains({lst(lx.GREETINGS)}, string_split(trim(nq), ' ')[1])) THEN 'greeting'
+ WHEN list_contains({lst(lx.COURTESIES)}, nq) THEN 'courtesy' WHEN regexp_matches(nq, {lit(_ABOUT)}) THEN 'about' ELSE 'question' END AS intent FROM norm)"""
+ORACLES["intent"] = f"WITH {ASKED}, {INTENTS} SELECT query_id, intent FROM intents"
+
+
+def stems(x: str) -> str:
+    w = f"regexp_extract_all(lower({x}), '[a-z]+')"
+    forms = ("list_filter([w, CASE WHEN length(w) > 3 AND w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN length(w) > 3 AND w LIKE '%es' THEN left(w, length(w) - 2) END, "
+             "CASE WHEN length(w) > 3 AND w LIKE '%s' THEN left(w, length(w) - 1) END], lambda z: z IS NOT NULL)")
+    return f"list_sort(list_distinct(flatten(list_transform({w}, lambda w: {forms}))))"
+
+
+ORACLES["stem_words"] = f"WITH {ASKED} SELECT query_id, {join(stems('text'))} AS words FROM asked"
+_OUT = lst(lx.OUT_OF_DOMAIN_WORDS)
+
+
+def scope_ctes(source: str, column: str) -> str:
+    return f"""sc0 AS (SELECT *, trim({column}, ' ' || chr(10)) AS sq, lower(trim({column}, ' ' || chr(10))) AS low, {stems(column)} AS sw FROM {source}),
+sc1 AS (SELECT *, list_sort(list_concat(list_filter(sw, lambda w: list_contains({_OUT}, w)), list_filter({lst(lx.OUT_OF_DOMAIN_PHRASES)}, lambda p: contains(low, p)))) AS off FROM sc0),
+scoped AS (SELECT *, CASE WHEN length(sq) < 3 THEN 'empty question' WHEN len(list_filter({lst(lx.STRONG_IN_DOMAIN)}, lambda t: contains(low, t))) > 0
+  OR regexp_matches(low, '\\bis\\s*(?:/\\s*(?:iec|iso|en))?\\s*:?\\s*\\d{{2,5}}\\b') THEN 'explicit standards reference'
+  WHEN regexp_matches(sq, '[{DEV}]') THEN 'hindi question' WHEN len(off) > 0 THEN 'off-domain subject: ' || array_to_string(off, ', ')
+  WHEN len(list_filter(sw, lambda w: list_contains({lst(lx.IN_DOMAIN)}, w))) = 0 THEN 'no domain terms' ELSE 'domain vocabulary present' END AS scope_reason FROM sc1)"""
+
+
+_IN = "scope_reason IN ('explicit standards reference', 'hindi question', 'domain vocabulary present')"
+ORACLES["scope_gate"] = f"WITH {ASKED}, {scope_ctes('asked', 'text')} SELECT query_id, {_IN} AS in_scope, scope_reason AS reason FROM scoped"
+_HI, _EN = lit(lx.LANGUAGE_NAMES["hi"]), lit(lx.LANGUAGE_NAMES["en"])
+_LANG = f"CASE WHEN regexp_matches(text, '[{DEV}]') THEN {_HI} ELSE {_EN} END"
+ORACLES["reply_language"] = f"WITH {ASKED} SELECT query_id, CASE WHEN regexp_matches(text, '[{DEV}]') OR query_id % 3 = 0 THEN {_HI} ELSE {_EN} END AS language FROM asked"
+_FOLLOW = (r"(?i)^\s*(?:and\s+)?(?:what|how|why|who|when|where|which)?\s*(?:about|for|if|in that case)\b|^\s*(?:it|its|that|this|these|those|they|them|the same)\b"
+           r"|^\s*(?:is|are|was|were|does|do|did|can|could|will|would|should|has|have|had)\s+(?:it|its|that|this|these|those|they|them|the same)\b|\b(?:also|instead|too|as well)\s*\??\s*$")
+
+
+def follows(x: str) -> str:
+    s = f"trim({x}, ' ' || chr(10))"
+    return f"(len(list_filter(string_split_regex({s}, '\\s+'), lambda w: w <> '')) <= 4 OR regexp_matches({s}, {lit(_FOLLOW)}))"
+
+
+ORACLES["needs_context"] = f"WITH {ASKED} SELECT query_id, {follows('text')} AS needs FROM asked"
+EXPANDED = f"""prev AS (SELECT *, last_value(CASE WHEN role = 'user' AND text <> '' THEN left({squeeze('text')}, 200) END IGNORE NULLS)
+ OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_q FROM turns),
+expanded AS (SELECT conv_id, turn, text, CASE WHEN last_q IS NOT NULL AND {follows('text')} THEN last_q || ' ' || trim(text, ' ' || chr(10)) ELSE text END AS expanded FROM prev WHERE role = 'user')"""
+ORACLES["expand_followups"] = f"WITH {TURNS}, {EXPANDED} SELECT conv_id, turn, expanded FROM expanded"
+ORACLES["history_block"] = f"""WITH {TURNS}, said AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || left({squeeze('text')}, 400) AS says,
+ row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, {squeeze('text')} <> '' AS shown FROM turns WHERE text <> ''),
+pairs AS (SELECT t.conv_id, t.turn, s.says, s.turn AS st, s.shown, row_number() OVER (PARTITION BY t.conv_id, t.turn ORDER BY s.turn DESC) AS back
+ FROM turns t LEFT JOIN said s ON s.conv_id = t.conv_id AND s.turn < t.turn)
+SELECT conv_id, turn, coalesce({lit(lx.HISTORY_HEADER)} || chr(10) || string_agg(says, chr(10) ORDER BY st) FILTER (back <= 6 AND shown) || chr(10) || chr(10), '') AS history FROM pairs GROUP BY 1, 2"""
+_REPLIES = "replies(kind, code, reply) AS (VALUES " + ", ".join(f"({lit(k)}, {lit(c)}, {lit(t)})" for (k, c), t in lx.REPLIES.items()) + ")"
+ORACLES["fixed_replies"] = f"""WITH {ASKED}, {INTENTS}, {_REPLIES} SELECT query_id, intent AS kind, reply FROM intents i
+ LEFT JOIN replies r ON r.kind = i.intent AND r.code = CASE WHEN regexp_matches(text, '[{DEV}]') THEN 'hi' ELSE 'en' END"""
+_LICID = (r"regexp_matches(text, '(?i)\bCM\s*/?\s*L\s*[-–/]?\s*\d{6,12}\b') OR regexp_matches(text, '(?i)\bR\s*[-–]\s*\d{6,12}\b') OR "
+          r"len(list_filter(regexp_extract_all(text, '\b[A-Z0-9]{6}\b'), lambda h: regexp_matches(h, '[0-9]') AND regexp_matches(h, '[A-Z]'))) > 0")
+
+
+def seven(x: str) -> str:
+    def any_of(words):
+        return f"len(list_filter({lst(words)}, lambda k: contains(lower({x}), k))) > 0"
+    return f"""CASE WHEN {_LICID} THEN 'verification' WHEN {any_of(SAFETY_WORDS)} THEN 'consumer_safety' WHEN {any_of(VERIFY_WORDS)} THEN 'verification'
+ WHEN regexp_matches({x}, {lit(STANDARD)}) OR regexp_matches(lower({x}), '\\bclause\\s+\\d') THEN 'standard_lookup' WHEN {any_of(PROCESS_WORDS)} THEN 'process_howto'
+ WHEN {any_of(SCHEME_WORDS)} THEN 'scheme_eligibility' WHEN {any_of(PRODUCT_WORDS)} THEN 'product_to_standard' ELSE 'out_of_scope' END"""
+
+
+ORACLES["intent7"] = f"""WITH {ASKED}, {MARKS}, q7 AS (SELECT query_id, text FROM asked UNION ALL SELECT mark_id + 20000000000, 'what does ' || upper(value) || ' mean' FROM marks)
+SELECT query_id, {seven('text')} AS intent FROM q7"""
+
+# --- answers
+ANSWERS = f"""k AS (SELECT conv_id * 16 + turn AS query_id, (conv_id * 16 + turn) % 4 AS k4, (conv_id * 16 + turn) % 5 AS k5, (conv_id * 16 + turn) % 9 AS k9, text FROM conversations WHERE role = 'assistant'),
+supplied AS (SELECT query_id, k5 AS n_sources, {pick(d.LEAK_OPENERS, 'k5')} || text || CASE k4 WHEN 0 THEN ' [S' || k9 || '] and [S2]  ok [S2].' WHEN 1 THEN ' [S0' || (90 + k9) || '] see  [S12].' WHEN 2 THEN ' [S1].' ELSE '' END AS answer FROM k),
+nums AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\\[S(\\d+)\\]', 1), lambda x: x::BIGINT))) AS nums FROM supplied),
+checked AS (SELECT query_id, answer, list_filter(nums, lambda n: n BETWEEN 1 AND n_sources) AS cited, list_filter(nums, lambda n: n < 1 OR n > n_sources) AS invalid,
+ trim(regexp_replace(regexp_replace(regexp_replace(answer, CASE WHEN len(list_filter(nums, lambda n: n < 1 OR n > n_sources)) = 0 THEN '(zz|zz)(q|q)zz' ELSE
+ '\\[S(' || array_to_string(list_filter(nums, lambda n: n < 1 OR n > n_sources), '|') || ')\\]' END, '', 'g'), '[ \\t]{{2,}}', ' ', 'g'), 'x^', ''), ' ' || chr(10)) AS text,
+ trim(regexp_replace(regexp_replace(answer, '\\[S\\d+\\]', '', 'g'), '[ \\t]{{2,}}', ' ', 'g'), ' ' || chr(10)) AS bare FROM nums)"""
+ORACLES["citation_check"] = f"WITH {ANSWERS} SELECT query_id, text, {join('cited')} AS cited, {join('invalid')} AS invalid FROM checked"
+ORACLES["grounding_check"] = f"""WITH {ANSWERS} SELECT query_id, CASE WHEN len(cited) > 0 THEN text ELSE bare END AS answer, {join('cited')} AS cited, {join('invalid')} AS invalid,
+ len(cited) > 0 AS grounded, len(cited) = 0 AS general_knowledge FROM checked"""
+ORACLES["strip_markers"] = f"WITH {ANSWERS} SELECT query_id, bare AS answer FROM checked"
+_LEAK = (r"(?i)^\s*(?:we need to|let'?s (?:check|scan|look|see|go through)|i need to (?:check|find|look)|first,? (?:i|let|we)|"
+         r"the user (?:wants|is asking|asked)|okay,? (?:so|let|i|we)|looking at (?:each|the) source)")
+ORACLES["leaked_reasoning"] = f"WITH {ANSWERS} SELECT query_id, regexp_matches(left(answer, 200), {lit(_LEAK)}) AS leaked FROM supplied"
+
+
+def found_in_notices(source: str) -> str:
+    """CTEs from source(query_id, text) to hits over the notices."""
+    return f"""{bm25(source, 'notices', lx.PASSAGE_WEIGHTS, 6)}, {ranked('scores', lx.TOP_K, 'hits')}"""
+
+
+UNIQUE = "uq AS (SELECT min(query_id) AS query_id, text FROM questions WHERE role = 'user' GROUP BY text)"
+FOUND = f"WITH {NOTICES}, {QUESTIONS}, {UNIQUE}, {found_in_notices('uq')}"
+ORACLES["forced_refusals"] = FOUND + f""" SELECT query_id, CASE WHEN regexp_matches(text, '[{DEV}]') THEN {lit(lx.REPLIES[('nothing', 'hi')])} ELSE {lit(lx.REPLIES[('nothing', 'en')])} END AS answer
+ FROM uq ANTI JOIN hits USING (query_id)"""
+ORACLES["source_block"] = FOUND + """ SELECT query_id, string_agg('[S' || rank || '] ' || title || chr(10) || '(file: ' || relpath || ', page ' || page_number
+ || coalesce(', downloaded from ' || source_url, '') || ')' || chr(10) || trim(left(text, 1400)), chr(10) || chr(10) ORDER BY rank) AS sources FROM hits JOIN notices USING (chunk_id) GROUP BY 1"""
+
+
+def extract(source: str, hits: str) -> str:
+    """CTEs ending in quoted(query_id, ranks, lines)."""
+    return f"""terms AS (SELECT query_id, list_distinct(list_filter(list_transform(list_filter(string_split_regex(text, '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) > 2), lambda t: lower(t)),
+  lambda t: NOT list_contains({lst(lx.ANSWER_STOPWORDS)}, t))) AS terms FROM {source}),
+sents0 AS (SELECT h.query_id, h.rank, n.relpath, n.page_number, terms, string_split(regexp_replace(n.text, '([.;:])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss
+  FROM {hits} h JOIN notices n USING (chunk_id) JOIN terms t ON t.query_id = h.query_id WHERE h.rank <= 5),
+sents AS (SELECT query_id, rank, relpath, page_number, terms, unnest(ss) AS s, unnest(range(0, len(ss))) AS pos FROM sents0),
+counted AS (SELECT *, len(list_filter(terms, lambda t: contains(lower(s), t))) AS c FROM sents),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY c DESC, pos) AS bn FROM counted WHERE c > 0),
+lined AS (SELECT query_id, rank, '[S' || rank || '] ' || relpath || ', page ' || page_number || ':' || chr(10) || '    ' || string_agg(trim(s), chr(10) || '    ' ORDER BY bn) AS line
+  FROM best WHERE bn <= 2 GROUP BY query_id, rank, relpath, page_number),
+quoted AS (SELECT query_id, string_agg(rank::VARCHAR, ' | ' ORDER BY rank) AS cited, string_agg(line, chr(10) || chr(10) ORDER BY rank) AS lines, list(rank) AS ranks FROM lined GROUP BY 1)"""
+
+
+def _say(kind: str) -> str:
+    return f"CASE WHEN regexp_matches(text, '[{DEV}]') THEN {lit(lx.REPLIES[(kind, 'hi')])} ELSE {lit(lx.REPLIES[(kind, 'en')])} END"
+
+
+ORACLES["extractive_answers"] = FOUND + f""", {extract('uq', 'hits')} SELECT query_id, CASE WHEN q.lines IS NULL THEN {_say('nothing')} ELSE {_say('quoted')} || chr(10) || chr(10) || q.lines END AS answer,
+ coalesce(cited, '') AS cited, q.lines IS NOT NULL AS grounded, q.lines IS NULL AS refused, q.lines IS NOT NULL AS extractive,
+ CASE WHEN q.lines IS NULL THEN 'no term-matching sentence in retrieved passages' ELSE '' END AS reason FROM uq LEFT JOIN quoted q USING (query_id)"""
+ORACLES["cited_sources"] = FOUND + f""", {extract('uq', 'hits')} SELECT h.query_id, h.rank, h.chunk_id, q.ranks IS NOT NULL AS is_cited FROM hits h LEFT JOIN quoted q USING (query_id)
+ WHERE q.ranks IS NULL OR list_contains(q.ranks, h.rank)"""
+ORACLES["answer_batch"] = f"""WITH {NOTICES}, {QUESTIONS}, turns AS (SELECT conv_id, turn, role, text FROM questions), {EXPANDED},
+asked AS (SELECT conv_id * 8 + turn AS query_id, text, expanded FROM expanded), {INTENTS}, {scope_ctes('intents', 'expanded')},
+judged AS (SELECT query_id, text, expanded, intent, {_IN} AS in_scope, scope_reason FROM scoped),
+surv AS (SELECT * FROM judged WHERE intent = 'question' AND in_scope), uq AS (SELECT min(query_id) AS query_id, expanded AS text FROM surv GROUP BY expanded),
+{found_in_notices('uq')}, allhits AS (SELECT s.query_id, h.rank, h.chunk_id, h.score FROM surv s JOIN uq ON uq.text = s.expanded JOIN hits h ON h.query_id = uq.query_id),
+{extract('surv', 'allhits')}, {_REPLIES}, firsts AS (SELECT query_id, min_by(score, rank) AS fs FROM allhits GROUP BY 1)
+SELECT query_id, 'answer' AS kind, CASE WHEN q.lines IS NULL THEN {_say('nothing')} ELSE {_say('quoted')} || chr(10) || chr(10) || q.lines END AS answer, coalesce(cited, '') AS cited,
+ q.lines IS NOT NULL AS grounded, q.lines IS NULL AS refused, q.lines IS NOT NULL AS extractive,
+ CASE WHEN q.lines IS NULL THEN 'no term-matching sentence in retrieved passages' WHEN fs IS NULL THEN 'no matching passage' WHEN round(fs, 9) >= 2.0 THEN '' ELSE 'below the keyword floor' END AS reason
+ FROM surv LEFT JOIN quoted q USING (query_id) LEFT JOIN firsts USING (query_id)
+UNION ALL SELECT query_id, CASE WHEN intent = 'question' THEN 'refusal' ELSE 'small_talk' END, reply, '', false, intent = 'question', false,
+ CASE WHEN intent = 'question' THEN 'out of scope: ' || scope_reason ELSE 'small talk: ' || intent END
+ FROM judged j LEFT JOIN replies r ON r.kind = CASE WHEN intent = 'question' THEN 'refusal' ELSE intent END AND r.code = CASE WHEN regexp_matches(text, '[{DEV}]') THEN 'hi' ELSE 'en' END
+ WHERE intent <> 'question' OR NOT in_scope"""
+_W = "list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')"
+
+
+def _shingles(table: str, key: str) -> str:
+    return f"(SELECT {key}, unnest(list_transform(range(1, len(w) - 24), lambda i: array_to_string(w[i:i + 25], ' '))) AS sh, unnest(range(0, len(w) - 25)) AS pos FROM (SELECT {key}, {_W} AS w FROM {table}) WHERE len(w) >= 26)"
+
+
+RUNS = f"""m AS (SELECT a.doc_id, b.item_id, a.pos AS l, b.pos AS r FROM {_shingles('documents', 'doc_id')} a JOIN {_shingles('benchmark', 'item_id')} b USING (sh)),
+isl AS (SELECT *, l - row_number() OVER (PARTITION BY doc_id, item_id, l - r ORDER BY l) AS island FROM m),
+runs AS (SELECT doc_id, item_id, min(l) AS left_start, min(r) AS right_start, count(*) + 25 AS n_words FROM isl GROUP BY doc_id, item_id, l - r, island)"""
+ORACLES["verbatim_runs"] = f"WITH {RUNS} SELECT doc_id, item_id, left_start, right_start, n_words FROM runs"
+
+# --- routing
+_IND = ["gold", "electronics", "electrical", "chemicals", "steel", "textiles", "footwear", "glass", "other", "Gold", "toys"]
+CASES = f"""cases AS (SELECT c_custkey AS case_id, lower(coalesce(CASE WHEN c_custkey % 13 <> 0 THEN {pick(['industrial', 'consumer', 'INDUSTRIAL'], 'c_custkey % 3')} END, '')) AS sector,
+ lower({pick(_IND, f'c_custkey % {len(_IND)}')}) AS industry, coalesce(CASE WHEN c_custkey % 7 <> 0 THEN {pick(['india', 'abroad'], 'c_custkey // 3 % 2')} END, '') AS location,
+ {pick(['domestic', 'import', 'export'], 'c_custkey // 6 % 3')} AS trade, coalesce(CASE WHEN c_custkey % 5 <> 0 THEN {pick(['required', 'verify', 'complaint'], 'c_custkey // 3 % 3')} END, '') AS need FROM customer),
+qs AS (""" + " UNION ALL ".join(
+    f"SELECT case_id, {lit(key)} AS key, {pos} AS position, {key} AS given, {key} IN ({', '.join(lit(v) for v in allowed)}) AS allowed FROM cases"
+    + (f" WHERE {gov[0]} = {lit(gov[1])}" if gov else "") for key, pos, allowed, gov in lx.QUESTIONS) + ")"
+ORACLES["visible_questions"] = f"WITH {CASES} SELECT case_id, key, position::BIGINT AS position FROM qs"
+VALID = """checks AS (SELECT case_id, coalesce(string_agg(key, ' | ' ORDER BY position) FILTER (given = ''), '') AS missing,
+ coalesce(string_agg(key, ' | ' ORDER BY position) FILTER (given <> '' AND NOT allowed), '') AS disallowed FROM qs GROUP BY 1)"""
+ORACLES["pathway_validate"] = f"WITH {CASES}, {VALID} SELECT case_id, missing, disallowed, missing = '' AND disallowed = '' AS valid FROM checks"
+ORACLES["next_question"] = f"WITH {CASES} SELECT case_id, min_by(key, position) FILTER (given = '') AS next_key FROM qs GROUP BY 1"
+ROUTED = f"""routed AS (SELECT case_id, sector, CASE WHEN sector = 'consumer' THEN 'CONSUMER-' || upper(need) WHEN trade = 'export' THEN 'EXPORT' WHEN industry = 'electronics' THEN 'CRS' WHEN industry = 'gold' THEN 'HALLMARK'
+ WHEN trade = 'import' OR location = 'abroad' THEN 'FMCS' ELSE 'ISI' END AS scheme_code, CASE WHEN sector = 'consumer' THEN need WHEN trade = 'export' THEN 'export' WHEN industry = 'electronics' THEN 'crs' WHEN industry = 'gold' THEN 'hallmark'
+ WHEN trade = 'import' THEN 'import' WHEN location = 'abroad' THEN 'fmcs' ELSE 'isi' END AS step_list FROM cases JOIN checks USING (case_id) WHERE missing = '' AND disallowed = '')"""
+_NAMES = "names(scheme_code, scheme) AS (VALUES " + ", ".join(f"({lit(a)}, {lit(b)})" for a, b in lx.SCHEME_NAMES.items()) + ")"
+ORACLES["pathway_route"] = f"""WITH {CASES}, {VALID}, {ROUTED}, {_NAMES} SELECT case_id, sector, scheme_code, scheme, step_list,
+ CASE WHEN scheme_code = 'EXPORT' THEN {lit(lx.EXPORT_CAVEAT)} ELSE {lit(lx.ROUTE_CAVEAT)} END AS caveat FROM routed JOIN names USING (scheme_code)"""
+_STEPS = "steps(step_list, position, title, text) AS (VALUES " + ", ".join(f"({lit(a)}, {b}, {lit(c)}, {lit(e)})" for a, b, c, e in lx.STEPS) + ")"
+ORACLES["pathway_steps"] = f"""WITH {NOTICES}, {CASES}, {VALID}, {ROUTED}, {_STEPS}, sq AS (SELECT row_number() OVER (ORDER BY text) AS query_id, text FROM (SELECT DISTINCT text FROM steps)),
+{bm25('sq', 'notices', lx.PASSAGE_WEIGHTS)}, {ranked('scores', 3, 'hits')}, cit AS (SELECT query_id, string_agg(relpath || ' p.' || page_number, '; ' ORDER BY rank) AS citations FROM hits JOIN notices USING (chunk_id) GROUP BY 1)
+SELECT case_id, scheme_code, position::BIGINT AS position, title, CASE WHEN citations IS NULL THEN {lit(lx.STEP_NOT_COVERED)} ELSE {lit(lx.STEP_COVERED)} END AS detail, coalesce(citations, '') AS citations
+FROM routed JOIN steps USING (step_list) JOIN sq USING (text) LEFT JOIN cit USING (query_id)"""
+
+# --- reports
+ORACLES["category_stats"] = """WITH per AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT n_name AS category, count(*) AS documents, sum(c_custkey % 11 + 1)::BIGINT AS pages, sum(c_custkey % 3)::BIGINT AS scanned, sum(c_custkey % 4)::BIGINT AS corrupt, coalesce(sum(n), 0)::BIGINT AS chunks
+FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN per ON o_custkey = c_custkey GROUP BY 1"""
+ORACLES["corpus_totals"] = """SELECT count(*) AS documents, sum(c_custkey % 11 + 3)::BIGINT AS pages, sum(c_custkey % 11 + 3 - c_custkey % 3 - c_custkey % 2)::BIGINT AS pages_ok, sum(c_custkey % 3)::BIGINT AS pages_scanned,
+ sum(c_custkey % 2)::BIGINT AS pages_corrupt, count(*) FILTER (c_custkey % 19 = 0) AS failed_documents, (SELECT count(*) - count(DISTINCT text) FROM documents) AS duplicate_files_skipped,
+ (SELECT count(*) FROM orders) AS chunks, round(100.0::DOUBLE * sum(c_custkey % 11 + 3 - c_custkey % 3 - c_custkey % 2) / sum(c_custkey % 11 + 3), 6) AS usable_page_pct FROM customer"""
+ORACLES["index_health"] = """SELECT (SELECT count(*) FROM customer) AS documents, (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM embeddings) AS embedded, (SELECT count(*) FROM embeddings) > 0 AS semantic_available"""
+_SCAN = "r AS (SELECT 'suppliers/' || s_name || '.txt' AS relpath, s_suppkey, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R') AS pages_scanned FROM supplier)"
+ORACLES["top_scanned"] = f"WITH {_SCAN} SELECT relpath, pages_scanned FROM r WHERE pages_scanned > 0 ORDER BY pages_scanned DESC, relpath LIMIT 10"
+ORACLES["unreadable_docs"] = f"WITH {_SCAN} SELECT relpath, 'ValueError: damaged' AS error FROM r WHERE s_suppkey % 7 = 0"
+ORACLES["recall_at_k"] = f"""WITH {NOTICES}, nq AS (SELECT n_nationkey::BIGINT AS query_id, 'what about IS ' || (300 + n_nationkey) || ' and the licence fee' AS text FROM nation), {found_in_notices('nq')},
+good AS (SELECT query_id, min(rank) AS rank FROM hits JOIN notices USING (chunk_id) WHERE rank <= 5 AND list_contains(standard_ids, 'IS ' || (300 + query_id)) GROUP BY 1)
+SELECT count(*) AS cases, round(avg((rank IS NOT NULL)::INT), 6) AS recall_at_k, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM nq LEFT JOIN good USING (query_id)"""
+_EXP = ["standard_lookup", "out_of_scope", "out_of_scope", "out_of_scope", "out_of_scope", "out_of_scope", "process_howto"]
+ORACLES["answer_metrics"] = f"""WITH {QUESTIONS}, p AS (SELECT query_id AS k, {seven('text')} AS intent, {pick(_EXP, f'query_id % {len(_EXP)}')} AS expected FROM questions)
+SELECT count(*) AS questions, round(avg((intent = expected)::INT), 6) AS intent_accuracy, round(count(*) FILTER (k % 2 = 0 AND k % 3 > 0 AND k % 5 <> 0) / count(*) FILTER (k % 2 = 0), 6) AS citation_precision,
+ round(count(*) FILTER (k % 6 = 0 AND k % 4 = 0) / count(*) FILTER (k % 6 = 0), 6) AS forced_refusal_accuracy, round(count(*) FILTER (k % 6 <> 0 AND k % 4 = 0) / count(*) FILTER (k % 6 <> 0), 6) AS false_refusal_rate,
+ round(avg(k % 101), 6) AS mean_latency_ms FROM p"""
+MSG = "msg AS (SELECT conv_id, role, conv_id * 16 + turn AS k FROM conversations)"
+ORACLES["conversation_analytics"] = f"""WITH {MSG} SELECT count(DISTINCT conv_id) AS conversations, count(*) AS messages, coalesce(sum(k % 3) FILTER (role = 'assistant'), 0)::BIGINT AS guardrail_violations,
+ round(count(*) FILTER (role = 'assistant' AND k % 5 = 0) / count(*) FILTER (role = 'assistant'), 6) AS forced_refusal_rate, round(avg(k % 97) FILTER (role = 'assistant'), 6) AS mean_latency_ms,
+ count(*) FILTER (role = 'assistant' AND k % 4 = 0) AS feedback_up, count(*) FILTER (role = 'assistant' AND k % 4 = 1) AS feedback_down,
+ round(count(*) FILTER (role = 'assistant' AND k % 4 < 2) / count(*) FILTER (role = 'assistant'), 6) AS feedback_response_rate FROM msg"""
+ORACLES["intent_distribution"] = f"""WITH {MSG} SELECT {pick(['standard_lookup', 'process_howto', 'verification', 'out_of_scope'], 'k % 4')} AS intent, count(*) AS messages FROM msg WHERE role = 'assistant' GROUP BY 1"""
+CALLS = """calls AS (SELECT ts, event_id AS id, (props->>'$.k')::BIGINT - 20 AS p, floor(value)::BIGINT - 5 AS c FROM events)"""
+ORACLES["daily_usage"] = f"""WITH {CALLS} SELECT ts::DATE AS date, count(*) AS calls, sum(greatest(p, 0))::BIGINT AS prompt_tokens, sum(greatest(c, 0))::BIGINT AS completion_tokens,
+ (sum(greatest(p, 0)) + sum(greatest(c, 0)))::BIGINT AS total_tokens FROM calls GROUP BY 1"""
+ORACLES["stream_daily_usage"] = ORACLES["daily_usage"].replace("FROM calls GROUP", "FROM calls WHERE ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP")
+ORACLES["cap_admission"] = f"WITH {CALLS} SELECT ts::DATE AS date, id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, id) <= {CAP} AS admitted FROM calls"
+ORACLES["stream_cap"] = ORACLES["cap_admission"]
+ORACLES["cap_remaining"] = f"""WITH {CALLS} SELECT ts::DATE AS date, least(count(*), {CAP}) AS admitted_calls, greatest({CAP} - count(*), 0) AS remaining FROM calls GROUP BY 1"""
+ORACLES["latest_feedback"] = "SELECT user_id AS message_id, max_by(event_id * 7 % 3 - 1, (ts, event_id)) AS rating FROM events GROUP BY 1"
+ORACLES["page_titles"] = r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, '' AS identifiers FROM pages"""
+ORACLES["stream_embed"] = "SELECT doc_id AS chunk_id, 64::BIGINT AS dim FROM documents"

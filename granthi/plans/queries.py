@@ -43,7 +43,7 @@ def plain(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.ArrayType):
             c = F.array_join(c.cast("array<string>"), " | ")
         elif isinstance(f.dataType, T.MapType):
-            c = F.array_join(F.array_sort(F.transform(
+            c = F.array_join(F.sort_array(F.transform(
                 F.map_entries(c), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))), "; ")
         out.append(c.alias(f.name))
     return df.select(*out)
@@ -531,7 +531,7 @@ def intent(spark, sf):
 
 @query
 def stem_words(spark, sf):
-    return plain(_asked(spark, sf).select("query_id", F.array_sort(qf.stem_words(F.col("text"))).alias("words")))
+    return plain(_asked(spark, sf).select("query_id", F.sort_array(qf.stem_words(F.col("text"))).alias("words")))
 
 
 @query
