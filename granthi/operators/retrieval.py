@@ -20,7 +20,7 @@ from granthi.functions.text import (
     QUERY_SYNTAX, gazette_numbers, identifiers, search_tokens, split_words, standard_numbers,
 )
 from granthi.operators.index import corpus_stats, token_arrays
-from granthi.session import BROADCAST_MAX_ROWS, broadcast_if_small, fits_broadcast
+from granthi.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, broadcast_if_small
 
 # Functions that run in Python workers travel with the task: workers need no package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -56,15 +56,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def _grams(tokens: Column, lengths: list[int]) -> Column:
     """Space-joined runs of the asked lengths; only the lengths that some phrase has."""
-    parts = []
-    for n in lengths:
+    def runs(n: int) -> Column:
         if n == 1:
-            parts.append(tokens)
-            continue
+            return tokens
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
             F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
-    return F.concat(*parts)
+        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    return F.concat(*[runs(n) for n in lengths])
 
 
 def phrase_matches(tokens: DataFrame, phrases: DataFrame, weights: dict[str, float],
@@ -77,10 +76,12 @@ def phrase_matches(tokens: DataFrame, phrases: DataFrame, weights: dict[str, flo
     of query-chunk pairs, and a phrase that a third of the chunks hold is spread over all tasks.
     """
     wanted = phrases.select("phrase").distinct()
-    rows = F.concat(*[
-        F.transform(_grams(F.col(c), lengths), lambda g, w=w: F.struct(g.alias("phrase"), F.lit(w).alias("w")))
-        for c, w in weights.items()
-    ])
+
+    def weighted(column: str, weight: float) -> Column:
+        return F.transform(
+            _grams(F.col(column), lengths), lambda g: F.struct(g.alias("phrase"), F.lit(weight).alias("w")))
+
+    rows = F.concat(*[weighted(c, w) for c, w in weights.items()])
     return (
         tokens.select("chunk_id", "dl", F.explode(rows).alias("p"))
         .select("chunk_id", "dl", "p.phrase", "p.w")
@@ -95,9 +96,13 @@ def bm25_scores(passages: DataFrame, queries: DataFrame,
     """BM25 of every (query, chunk) pair that shares a phrase: query_id, chunk_id, score."""
     tokens = token_arrays(passages, list(weights))
     phrases = query_terms(queries)
-    lengths = [r[0] for r in phrases.select(F.size("terms")).distinct().collect()]
-    small = fits_broadcast(phrases)
-    matches = phrase_matches(tokens, phrases, weights, sorted(lengths) or [1], small)
+    # One small job: the phrase lengths in use and whether the phrases may be broadcast.
+    n_phrases, size, lengths = phrases.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("phrase") + 16), F.lit(0)),
+        F.sort_array(F.collect_set(F.size("terms"))),
+    ).first()
+    small = n_phrases <= BROADCAST_MAX_ROWS and size <= BROADCAST_MAX_BYTES
+    matches = phrase_matches(tokens, phrases, weights, lengths or [1], small)
     # Reads the same columns as the scoring branch, so both branches reuse one shuffle.
     frequency = matches.groupBy("phrase").agg(
         F.count_if((F.col("f") > 0) & (F.col("dl") > 0)).alias("df")

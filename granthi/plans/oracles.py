@@ -36,7 +36,7 @@ def squeeze(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    return f"regexp_extract_all(strip_accents(lower({x})), '{TOKEN}')"
+    return rf"regexp_extract_all(strip_accents(lower(regexp_replace({x}, '\p{{M}}', ' ', 'g'))), '{TOKEN}')"
 
 
 def distinct_in_order(x: str) -> str:
@@ -386,8 +386,8 @@ named AS (SELECT * FROM (SELECT query_id, chunk_id AS id, score, row_number() OV
 ORACLES["tariff_by_product"] = f"""WITH {TARIFF_CELLS}, {TARIFF_Q}, cq AS (SELECT query_id, {_CLEANQ} AS text FROM tq), {_product('cq')}
 SELECT query_id, id, rank, round(score, 6) AS score FROM named"""
 ORACLES["tariff_lookup"] = f"""WITH {TARIFF_CELLS}, {TARIFF_Q}, {_BYCODE}, rest AS (SELECT query_id, {_CLEANQ} AS text FROM tq WHERE query_id NOT IN (SELECT query_id FROM coded)), {_product('rest')},
-both AS (SELECT query_id, id, 1 AS rank, 'code' AS matched_by FROM coded UNION ALL SELECT query_id, id, rank, 'product' FROM named)
-SELECT query_id, id, rank, coalesce(matched_by, 'product') AS matched_by, id IS NOT NULL AS found FROM tq LEFT JOIN both USING (query_id)"""
+all_found AS (SELECT query_id, id, 1 AS rank, 'code' AS matched_by FROM coded UNION ALL SELECT query_id, id, rank, 'product' FROM named)
+SELECT query_id, id, rank, coalesce(matched_by, 'product') AS matched_by, id IS NOT NULL AS found FROM tq LEFT JOIN all_found USING (query_id)"""
 
 
 def card(language: str) -> str:
