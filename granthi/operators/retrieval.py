@@ -7,7 +7,7 @@ enters a ranking shuffle: the k winners are hydrated at the end.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from granthi.functions.text import (
     QUERY_SYNTAX, gazette_numbers, identifiers, search_tokens, split_words, standard_numbers,
 )
 from granthi.operators.index import corpus_stats, token_arrays
-from granthi.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, broadcast_if_small
+from granthi.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, broadcast_if_small, fits_broadcast
 
 # Functions that run in Python workers travel with the task: workers need no package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -76,6 +76,9 @@ def phrase_matches(tokens: DataFrame, phrases: DataFrame, weights: dict[str, flo
     of query-chunk pairs, and a phrase that a third of the chunks hold is spread over all tasks.
     """
     wanted = phrases.select("phrase").distinct()
+    # A stated number keeps adaptive execution from merging these partitions: the matches are
+    # small, but each grows by the number of queries that share its phrase.
+    partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def weighted(column: str, weight: float) -> Column:
         return F.transform(
@@ -86,7 +89,7 @@ def phrase_matches(tokens: DataFrame, phrases: DataFrame, weights: dict[str, flo
         tokens.select("chunk_id", "dl", F.explode(rows).alias("p"))
         .select("chunk_id", "dl", "p.phrase", "p.w")
         .join(F.broadcast(wanted) if small else wanted, "phrase")
-        .repartition("chunk_id")
+        .repartition(partitions, "chunk_id")
         .groupBy("phrase", "chunk_id").agg(F.sum("w").alias("f"), F.max("dl").alias("dl"))
     )
 
@@ -131,10 +134,24 @@ def top_k(scored: DataFrame, k: int, ties: list[Column] | None = None) -> DataFr
     return ranked.where(F.col("rank") <= k)
 
 
+def per_distinct_text(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a ranking once per distinct text and hand the rows to every query that asks it.
+
+    A small set of distinct texts is broadcast, so a text that a third of the queries repeat
+    is not gathered in one task; a large set is a shuffle join that AQE splits when skewed.
+    """
+    first = queries.groupBy("text").agg(F.min("query_id").alias("first_id"))
+    small = fits_broadcast(first)
+    ranked = run(first.select(F.col("first_id").alias("query_id"), "text")).withColumnRenamed("query_id", "first_id")
+    same = queries.join(F.broadcast(first) if small else first, "text").select("query_id", "first_id")
+    columns = [c for c in ranked.columns if c != "first_id"]
+    return same.join(F.broadcast(ranked) if small else ranked, "first_id").select("query_id", *columns)
+
+
 def keyword_search(passages: DataFrame, queries: DataFrame, k: int,
                    weights: dict[str, float] = lx.PASSAGE_WEIGHTS) -> DataFrame:
     """BM25 top-k: query_id, chunk_id, score, rank."""
-    return top_k(bm25_scores(passages, queries, weights), k)
+    return per_distinct_text(queries, lambda q: top_k(bm25_scores(passages, q, weights), k))
 
 
 # --- dense -----------------------------------------------------------------------

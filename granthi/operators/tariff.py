@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granthi import lexicons as lx
-from granthi.operators.retrieval import RANK_DIGITS, bm25_scores
+from granthi.operators.retrieval import keyword_search
 
 # Trigger words of a tariff question and a code inside a text.
 TRIGGER = r"(?iU)\bhsn\b|\bhs\s*code\b|\btariff\s*(?:code|heading|item)\b"
@@ -14,6 +14,10 @@ CODE = r"(?U)\b\d{2,8}\b"
 WRAPPER = r"(?iU)\b(?:" + "|".join(lx.TARIFF_WRAPPER_WORDS) + r")\b"
 
 
+# Row ids stay below this, about 10^15.
+LEVEL_STEP = 1 << 50
+
+
 def mentions_tariff(text: Column) -> Column:
     return F.coalesce(text.rlike(TRIGGER), F.lit(False))
 
@@ -49,17 +53,14 @@ def by_code(lookups: DataFrame, tariff: DataFrame) -> DataFrame:
 
 def by_product(lookups: DataFrame, tariff: DataFrame, k: int = 5) -> DataFrame:
     """BM25 over product, heading and chapter title; ties prefer the more specific level."""
-    passages = tariff.select(F.col("id").alias("chunk_id"), *lx.TARIFF_WEIGHTS)
-    scores = bm25_scores(passages, lookups, lx.TARIFF_WEIGHTS)
     priority = F.lit(3)
     for name, value in lx.LEVEL_PRIORITY.items():
         priority = F.when(F.col("level") == name, F.lit(value)).otherwise(priority)
-    levels = tariff.select(F.col("id").alias("chunk_id"), priority.alias("priority"))
-    order = Window.partitionBy("query_id").orderBy(
-        F.round("score", RANK_DIGITS).desc(), "priority", "chunk_id"
-    )
-    ranked = scores.join(levels, "chunk_id").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("chunk_id").alias("id"), "rank", "score")
+    # The chunk id carries the level above the row id, so ties need no join with the levels.
+    passages = tariff.select(
+        (priority.cast("bigint") * LEVEL_STEP + F.col("id")).alias("chunk_id"), *lx.TARIFF_WEIGHTS)
+    return keyword_search(passages, lookups, k, lx.TARIFF_WEIGHTS).select(
+        "query_id", (F.col("chunk_id") % LEVEL_STEP).alias("id"), "rank", "score")
 
 
 def lookup(lookups: DataFrame, tariff: DataFrame, k: int = 5) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granthi import lexicons as lx
-from granthi.functions.text import gazette_numbers, joined, standard_numbers
+from granthi.functions.text import fix_mojibake, gazette_numbers, joined, standard_numbers, strip_ws
 from granthi.operators.index import hashed_vector
+from granthi.session import spread
 from granthi.sources.corpus import table, with_path_parts
 
 LATIN_LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -74,7 +75,7 @@ def notice_text() -> Column:
 
 def notices(spark: SparkSession, sf: str) -> DataFrame:
     """One regulatory notice per order, as a passage with identifiers."""
-    base = table(spark, sf, "orders").select(
+    base = spread(table(spark, sf, "orders")).select(
         F.col("o_orderkey").alias("chunk_id"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("page_number"),
         F.col("o_orderstatus").alias("category"), notice_text().alias("text"),
     )
@@ -178,12 +179,11 @@ def raw_tariff(spark: SparkSession, sf: str) -> DataFrame:
         "Export_DGFT_Policy": F.lit("Free"), "Export_Other_NOC": F.when(k % 9 == 0, "NOC"),
         "Primary_Regulator": F.when(k % 3 == 0, "Regulator A"), "Verify_Against": F.when(k % 8 == 0, "Portal"),
     }
-    return table(spark, sf, "part").select(k.alias("id"), *[c.cast("string").alias(n) for n, c in cells.items()])
+    return spread(table(spark, sf, "part")).select(k.alias("id"), *[c.cast("string").alias(n) for n, c in cells.items()])
 
 
 def tariff(spark: SparkSession, sf: str) -> DataFrame:
     """Loaded matrix with the row id the lookups break ties on."""
-    from granthi.functions.text import fix_mojibake, strip_ws
     raw = raw_tariff(spark, sf)
 
     def cell(name: str) -> Column:

@@ -651,8 +651,7 @@ def forced_refusals(spark, sf):
 @query
 def answer_batch(spark, sf):
     """Flagship: every derived question answered from the notices, follow-ups expanded."""
-    asked = _question_batch(spark, sf)
-    return plain(answers.answer_batch(asked, d.notices(spark, sf), most_hits=asked.count() * lx.TOP_K))
+    return plain(answers.answer_batch(_question_batch(spark, sf), d.notices(spark, sf)))
 
 
 @query
