@@ -237,8 +237,8 @@ def _grid_search(vectors: DataFrame, queries: DataFrame, k: int, corpus_block: i
     def spread(df: DataFrame, key: str, own: str, own_cells: int, other: str, other_cells: int) -> DataFrame:
         return df.select(
             F.col(key), "embedding",
-            F.pmod(F.xxhash64(key), F.lit(own_cells)).alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(other_cells - 1))).cast("bigint").alias(other),
+            F.pmod(F.xxhash64(key), F.lit(own_cells)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(other_cells - 1))).alias(other),
         )
 
     left = spread(vectors, "chunk_id", "vc", v_cells, "qc", q_cells)
