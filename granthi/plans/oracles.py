@@ -643,3 +643,7 @@ ORACLES["cap_remaining"] = f"""WITH {CALLS} SELECT ts::DATE AS date, least(count
 ORACLES["latest_feedback"] = "SELECT user_id AS message_id, max_by(event_id * 7 % 3 - 1, (ts, event_id)) AS rating FROM events GROUP BY 1"
 ORACLES["page_titles"] = r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, '' AS identifiers FROM pages"""
 ORACLES["stream_embed"] = "SELECT doc_id AS chunk_id, 64::BIGINT AS dim FROM documents"
+ORACLES["hits_json"] = HYBRID + """ SELECT query_id, rank, '{"chunk_id":' || chunk_id || ',"title":' || to_json(title) || ',"category":' || to_json(category) || ',"relpath":' || to_json(relpath)
+ || ',"page_number":' || page_number || ',"citation":' || to_json(relpath || ' p.' || page_number) || ',"score":' || round(score, 6)
+ || ',"matched_by":[' || CASE WHEN keyword_rank IS NOT NULL AND semantic_rank IS NOT NULL THEN '"keyword","semantic"' WHEN keyword_rank IS NOT NULL THEN '"keyword"' WHEN semantic_rank IS NOT NULL THEN '"semantic"' ELSE '' END || ']'
+ || coalesce(',"keyword_rank":' || keyword_rank, '') || coalesce(',"semantic_rank":' || semantic_rank, '') || ',"text":' || to_json(text) || '}' AS hit FROM hybrid JOIN passages USING (chunk_id)"""
