@@ -75,8 +75,9 @@ def split_lines(col: Column) -> Column:
 
 
 def fold(col: Column) -> Column:
-    """Lower-case and remove Latin diacritics."""
-    return F.translate(F.lower(col), _ACCENTED, _PLAIN)
+    """Lower-case and remove Latin diacritics; plain ASCII skips the character table."""
+    low = F.lower(col)
+    return F.when(F.octet_length(col) == F.length(col), low).otherwise(F.translate(low, _ACCENTED, _PLAIN))
 
 
 def search_tokens(col: Column) -> Column:

@@ -129,7 +129,8 @@ def bm25_scores(passages: DataFrame, queries: DataFrame,
 
 def top_k(scored: DataFrame, k: int, ties: list[Column] | None = None) -> DataFrame:
     """The k best rows per query with their rank; planned as a partial then final group limit."""
-    order = [F.round("score", RANK_DIGITS).desc(), *(ties or []), F.col("chunk_id")]
+    # rint of the scaled score orders like rounding, without a decimal conversion per row.
+    order = [F.rint(F.col("score") * 10.0 ** RANK_DIGITS).desc(), *(ties or []), F.col("chunk_id")]
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.where(F.col("rank") <= k)
 
