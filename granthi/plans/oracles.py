@@ -409,7 +409,7 @@ SELECT query_id, CASE WHEN hsn_cd IS NULL THEN {lit(lx.CARD_EMPTY['en'])} ELSE {
 
 
 # --- marks and registry
-MARKS = """marks AS (SELECT c_custkey AS mark_id, CASE c_custkey % 8 WHEN 0 THEN 'CM/L-' || (6300000000 + c_custkey) WHEN 1 THEN 'R-' || (10000000 + c_custkey)
+MARKS = r"""marks AS (SELECT c_custkey AS mark_id, CASE c_custkey % 8 WHEN 0 THEN 'CM/L-' || (6300000000 + c_custkey) WHEN 1 THEN 'R-' || (10000000 + c_custkey)
  WHEN 2 THEN 'IS ' || (100 + c_custkey % 90000) || ':2015' WHEN 3 THEN upper(left(md5(c_custkey::VARCHAR), 6)) WHEN 4 THEN 'IS' || (1000 + c_custkey % 9000)
  WHEN 5 THEN c_name WHEN 6 THEN ' cml' || (123456 + c_custkey) || ' ' ELSE '  ' || c_mktsegment || ' ' END AS value FROM customer),
 kinded AS (SELECT mark_id, value, trim(value) AS v, CASE WHEN regexp_matches(trim(value), '(?i)^CM\s*/?\s*L\s*[-–/]?\s*\d{6,12}$') THEN 'licence'
@@ -418,7 +418,7 @@ kinded AS (SELECT mark_id, value, trim(value) AS v, CASE WHEN regexp_matches(tri
  WHEN regexp_matches(trim(value), '(?i)^[A-Z0-9]{6}$') AND regexp_matches(value, '[0-9]') THEN 'hallmark' ELSE 'unknown' END AS kind FROM marks)"""
 _KINDS = "kinds(kind, label, caution, verify_at, hint) AS (VALUES " + ", ".join(
     "(" + ", ".join(lit(v) for v in row) + ")" for row in lx.MARK_KINDS) + ")"
-ORACLES["decode_marks"] = f"""WITH {MARKS}, {_KINDS} SELECT mark_id, value, kind, kind <> 'unknown' AS recognised, label, caution, verify_at, coalesce(hint, v) AS search_hint,
+ORACLES["decode_marks"] = rf"""WITH {MARKS}, {_KINDS} SELECT mark_id, value, kind, kind <> 'unknown' AS recognised, label, caution, verify_at, coalesce(hint, v) AS search_hint,
  CASE WHEN kind = 'licence' AND length(regexp_extract(v, '\d+')) <> 10 THEN 'expected 10 digits, found ' || length(regexp_extract(v, '\d+')) ELSE '' END AS warnings
  FROM kinded JOIN kinds USING (kind)"""
 ORACLES["mark_kind_counts"] = f"WITH {MARKS} SELECT kind, count(*) AS marks FROM kinded GROUP BY 1"
