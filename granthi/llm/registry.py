@@ -5,8 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from granthi.llm import piece_bpe
-from granthi.llm.common import table
+from granthi.llm import lang_id, mixing, piece_bpe
+from granthi.llm.common import fold, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document text, learned from three quarters of the labelled documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs, fold("doc_id", 4) != 2)
+    found = lang_id.predict(docs.withColumn("held_out", fold("doc_id", 4) == 2), model, keep=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 1.5 times the corpus, weighted by source, takes of each document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +28,42 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_mixing": op2_mixing,
     "op5_sentencepiece": op5_sentencepiece,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_mixing": r"""
+        WITH docs AS (
+            SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k,
+                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+            FROM documents
+        ), sizes AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                   [3, 1, 2][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+            FROM docs GROUP BY source
+        ), pairs AS (
+            SELECT a.source, a.source_size, a.weight, 2.0 * a.source_size AS most,
+                   sum(CASE WHEN b.source_size * 2.0 / b.weight < a.source_size * 2.0 / a.weight THEN 2.0 * b.source_size ELSE 0 END) AS below,
+                   sum(CASE WHEN b.source_size * 2.0 / b.weight < a.source_size * 2.0 / a.weight THEN 0 ELSE b.weight END) AS open_weight,
+                   1.5 * sum(b.source_size) AS budget
+            FROM sizes a, sizes b GROUP BY ALL
+        ), goals AS (
+            SELECT source, source_size,
+                   least(most, weight * (SELECT max((budget - below) / open_weight) FROM pairs
+                                         WHERE (budget - below) / open_weight <= most / weight)) AS target
+            FROM pairs
+        ), budgets AS (
+            SELECT *, floor(target + 1e-6)::BIGINT AS b, floor(floor(target + 1e-6) / greatest(source_size, 1))::BIGINT AS epochs
+            FROM goals
+        ), placed AS (
+            SELECT doc_id, size, source_size, target, b, epochs,
+                   coalesce(sum(size) OVER (PARTITION BY docs.source ORDER BY k, doc_id, size
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM docs JOIN budgets ON docs.source IS NOT DISTINCT FROM budgets.source
+        )
+        SELECT doc_id, size, source_size, target::DOUBLE AS target,
+               (epochs * size + greatest(0, least(size, b - epochs * source_size - before)))::BIGINT AS taken
+        FROM placed""",
+}
