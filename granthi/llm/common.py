@@ -114,3 +114,19 @@ def map_batches(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], Ite
                 yield from step(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def words_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in turn, and where each text's words begin (one more than texts)."""
+    blank = np.array([0x20], np.uint8)
+    data = np.concatenate([part for t in texts for part in (t, blank)]) if texts else np.zeros(0, np.uint8)
+    starts, ends = word_spans(data)
+    firsts = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
+    return word_hashes(data, starts, ends), firsts.astype(np.int64)
+
+
+def local_index(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word: its text, its place in the text, and the number of words of the text."""
+    counts = np.diff(firsts)
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(firsts[-1]) - firsts[row], counts[row]

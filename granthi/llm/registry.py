@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from granthi.llm import lang_id, mixing, piece_bpe
+from granthi.llm import lang_id, mixing, piece_bpe, substring_dedup
 from granthi.llm.common import fold, table
 
 
@@ -27,10 +28,17 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the words of repeated windows of 20 words."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -66,4 +74,22 @@ SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, target::DOUBLE AS target,
                (epochs * size + greatest(0, least(size, b - epochs * source_size - before)))::BIGINT AS taken
         FROM placed""",
+    "op7_substring_dedup": r"""
+        WITH docs AS (
+            SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+        ), places AS (
+            SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM docs
+        ), windows AS (
+            SELECT doc_id, i, row_number() OVER (
+                PARTITION BY array_to_string(words[i:i + 19], ' ') ORDER BY doc_id, i) > 1 AS later
+            FROM places
+        ), gone AS (
+            SELECT DISTINCT doc_id, i + unnest(range(0, 20)) AS w FROM windows WHERE later
+        ), lists AS (
+            SELECT doc_id, list(w) AS ws, count(*) AS n FROM gone GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+               sha256(array_to_string(CASE WHEN n IS NULL THEN words ELSE
+                   list_filter(words, lambda x, j: NOT list_contains(ws, j)) END, ' ')) AS kept_sha256
+        FROM docs d LEFT JOIN lists USING (doc_id)""",
 }
