@@ -130,3 +130,53 @@ def local_index(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     counts = np.diff(firsts)
     row = np.repeat(np.arange(len(counts)), counts)
     return row, np.arange(firsts[-1]) - firsts[row], counts[row]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of complete groups, and where each group begins, from rows sorted by integer ``keys``.
+
+    Holds one batch and the rows of the group that is still open.
+    """
+
+    def cuts(rows: pa.Table) -> np.ndarray:
+        values = np.stack([np.asarray(rows.column(k).combine_chunks()) for k in keys])
+        return np.concatenate([[0], np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1])
+
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+        held.append(batch)
+        if last == ends and tuple(batch.column(k)[0].as_py() for k in keys) == ends:
+            continue  # still the same group
+        last = ends
+        rows = pa.Table.from_batches(held).combine_chunks()
+        starts = cuts(rows)
+        if len(starts) > 1:
+            yield rows.slice(0, starts[-1]), starts[:-1]
+        held = rows.slice(starts[-1]).to_batches()
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield rows, cuts(rows)
+
+
+def matrix(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
+    """Rows of a list column of equal lengths as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten()).astype(dtype, copy=False).reshape(len(column), -1)
+
+
+def local_components(linked: np.ndarray) -> np.ndarray:
+    """Smallest index of each row's component in a symmetric boolean matrix."""
+    n = len(linked)
+    label = np.arange(n)
+    while True:
+        near = np.where(linked, label[None, :], n).min(axis=1, initial=n)
+        new = np.minimum(label, near)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new

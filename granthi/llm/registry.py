@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthi.llm import lang_id, mixing, piece_bpe, substring_dedup
+from granthi.llm import embedding_dups, lang_id, mixing, piece_bpe, substring_dedup
 from granthi.llm.common import fold, table
 
 
@@ -34,11 +34,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.9 and their components for every vector."""
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 SQL: dict[str, str] = {
