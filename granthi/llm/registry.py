@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthi.llm import embedding_dups, lang_id, mixing, piece_bpe, substring_dedup
+from granthi.llm import embedding_dups, lang_id, mixing, piece_bpe, substring_dedup, top_products
 from granthi.llm.common import fold, table
 
 
@@ -34,6 +34,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    return top_products.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at cosine 0.9 and their components for every vector."""
     return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -44,6 +49,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_exact_topk": op8_exact_topk,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
@@ -98,4 +104,16 @@ SQL: dict[str, str] = {
                sha256(array_to_string(CASE WHEN n IS NULL THEN words ELSE
                    list_filter(words, lambda x, j: NOT list_contains(ws, j)) END, ' ')) AS kept_sha256
         FROM docs d LEFT JOIN lists USING (doc_id)""",
+    "op8_exact_topk": r"""
+        WITH vectors AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+            FROM scored
+        )
+        SELECT * FROM ranked WHERE rank <= 5""",
 }
