@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthi.llm import embedding_dups, lang_id, mixing, piece_bpe, substring_dedup, top_products
+from granthi.llm import embedding_dups, jaccard_join, lang_id, mixing, piece_bpe, substring_dedup, top_products
 from granthi.llm.common import fold, table
 
 
@@ -28,6 +28,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links at Jaccard 0.8 over five-word shingles for every document."""
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the words of repeated windows of 20 words."""
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
@@ -48,6 +53,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_topk": op8_exact_topk,
     "op10_embedding_dedup": op10_embedding_dedup,
