@@ -32,6 +32,7 @@ WINDOW = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)  # perfect difference set modulo 13
 ANCHOR = WINDOW - PERIOD + 1
+KNOWN = 1 << 16  # set in the key of an anchor that is repeated within its batch
 LAST_PLACE = (1 << 16) - 1  # anchors further on share this place, and all windows from there on are compared
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
@@ -67,7 +68,7 @@ def _fingerprints(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _anchors(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """(key = 48 bits of hash and 16 of place, doc_id, known): ``known`` rows are repeated within the batch."""
+    """(key = 47 bits of hash, KNOWN, 16 bits of place; doc_id)."""
     texts, ids = text_bytes(batch.column(1)), np.asarray(batch.column(0))
     keys, docs = [], []
     for a, b in steps([len(t) for t in texts]):
@@ -75,20 +76,20 @@ def _anchors(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         row, place, size = local_index(firsts)
         at = np.flatnonzero(_IN_COVER[place % PERIOD] & (place + ANCHOR <= size) & (size >= WINDOW))
         hashed = _ANCHORS.spans(words, at, at + ANCHOR)
-        keys.append((hashed & ~U64(LAST_PLACE)) | np.minimum(place[at], LAST_PLACE).astype(U64))
+        keys.append((hashed & ~U64(KNOWN | LAST_PLACE)) | np.minimum(place[at], LAST_PLACE).astype(U64))
         docs.append(ids[a:b][row[at]])
     if not keys:
         return
     key, doc = np.concatenate(keys), np.concatenate(docs)
-    later, shared = _later(key >> U64(16))
+    later, shared = _later(key >> U64(17))
     # Known copies keep their place but travel under a hash of document and place.
-    own = mix(doc.view(U64) + mix(key)) & ~U64(LAST_PLACE)
-    key = np.where(later, own | (key & U64(LAST_PLACE)), key)
-    yield pa.RecordBatch.from_arrays([_signed(key), pa.array(doc), pa.array(shared)], ["key", "doc_id", "known"])
+    own = mix(doc.view(U64) + mix(key)) & ~U64(KNOWN | LAST_PLACE)
+    key = np.where(later, own | (key & U64(LAST_PLACE)), key) | np.where(shared, U64(KNOWN), U64(0))
+    yield pa.RecordBatch.from_arrays([_signed(key), pa.array(doc)], ["key", "doc_id"])
 
 
 def _windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Windows that hold a repeated anchor: (h1, hp = 32 bits of hash and 32 of place, doc_id, known)."""
+    """Windows that hold a repeated anchor: (h1, hp = 32 bits of hash, known, 31 of place; doc_id)."""
     texts, ids, anchors = text_bytes(batch.column(1)), np.asarray(batch.column(0)), batch.column(2)
     flat, offsets = np.asarray(anchors.values).astype(np.int64), np.asarray(anchors.offsets)
     first, second, places, docs = [], [], [], []
@@ -116,38 +117,54 @@ def _windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     own = mix(doc.view(U64) + mix(at))
     h1, h2 = np.where(later, own, h1), np.where(later, own & U64(0xFFFFFFFF), h2)
     yield pa.RecordBatch.from_arrays(
-        [_signed(h1), _signed((h2 << U64(32)) | at), pa.array(doc), pa.array(later)], ["h1", "hp", "doc_id", "known"])
-
-
-def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Words that are left: (doc_id, n_words, n_removed, kept_text). Columns: id, text, copy, starts of windows."""
-    copies, starts = np.asarray(batch.column(2)), batch.column(3)
-    counts, removed, kept = [], [], []
-    for i, text in enumerate(text_bytes(batch.column(1))):
-        words = text.tobytes().split()
-        gone = np.zeros(len(words) + 1, np.int64)
-        if starts[i].is_valid:
-            at = np.asarray(starts[i].values)
-            at = at[at + WINDOW <= len(words)]
-            np.add.at(gone, at, 1)
-            np.subtract.at(gone, at + WINDOW, 1)
-        left = np.cumsum(gone)[:-1] == 0
-        if copies[i] and len(words) >= WINDOW:
-            left[:] = False
-        counts.append(len(words))
-        removed.append(int(len(words) - left.sum()))
-        kept.append(b" ".join(words if left.all() else [w for w, ok in zip(words, left) if ok]).decode())
-    yield pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-        ["doc_id", "n_words", "n_removed", "kept_text"])
-
-
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) per row; the kept words are joined by one blank."""
-    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    by_doc = plain.repartition("doc_id")
-    prints = materialise(map_batches(plain, "doc_id long, n_words long, f1 long, f2 long", _fingerprints),
-                         "fingerprints").filter(F.col("doc_id").isNotNull())
+        [_signed(h1), _signed((h2 << U64(32)) | (later.astype(U64) << U64(31)) | at), pa.array(doc)],
+        ["h1", "hp", "doc_id"])
+
+
+def _cut(untouched: bool):
+    """Words that are left. Columns in: id, text, copy, starts of windows, further ones, which are handed on."""
+
+    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        copies, starts = np.asarray(batch.column(2)), batch.column(3)
+        counts, removed, kept = [], [], []
+        for i, text in enumerate(text_bytes(batch.column(1))):
+            words = text.tobytes().split()
+            gone = np.zeros(len(words) + 1, np.int64)
+            if starts[i].is_valid:
+                at = np.asarray(starts[i].values)
+                at = at[at + WINDOW <= len(words)]
+                np.add.at(gone, at, 1)
+                np.subtract.at(gone, at + WINDOW, 1)
+            left = np.cumsum(gone)[:-1] == 0
+            if copies[i] and len(words) >= WINDOW:
+                left[:] = False
+            counts.append(len(words))
+            removed.append(int(len(words) - left.sum()))
+            if untouched and not removed[-1]:
+                kept.append(text.tobytes().decode())
+            else:
+                kept.append(b" ".join(words if left.all() else [w for w, ok in zip(words, left) if ok]).decode())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()),
+             *batch.columns[4:]], ["doc_id", "n_words", "n_removed", "kept_text", *batch.schema.names[4:]])
+
+    return step
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (),
+                   untouched: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text, and the columns ``keep``) per row.
+
+    The kept words are joined by one blank; with ``untouched`` a text that loses nothing stays as it is.
+    """
+    more = [f"__{i}" for i in range(len(keep))]
+    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"),
+                        *[F.col(f"`{c}`").alias(m) for c, m in zip(keep, more)])
+    named = plain.filter(F.col("doc_id").isNotNull())
+    # The three joins with the texts are on this one shuffle: the same columns, so that the exchange is reused.
+    by_doc = named.repartition("doc_id")
+    prints = materialise(map_batches(named.select("doc_id", "text"), "doc_id long, n_words long, f1 long, f2 long",
+                                     _fingerprints), "prints")
     # Documents whose word sequence an earlier document has. Groups are reduced before they meet their members.
     groups = (prints.filter(F.col("n_words") >= WINDOW).groupBy("f1", "f2")
               .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
@@ -155,25 +172,33 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
               .select("doc_id").distinct().withColumn("copy", F.lit(True)))
     copies = materialise(copies, "copies")
 
-    single = by_doc.filter(F.col("doc_id").isNotNull()).join(copies, "doc_id", "left_anti")
-    anchors = map_batches(single, "key long, doc_id long, known boolean", _anchors)
-    by_hash = Window.partitionBy(F.shiftrightunsigned("key", 16)).orderBy("doc_id")
+    marked = by_doc.join(copies, "doc_id", "left")
+    anchors = map_batches(marked.filter(F.col("copy").isNull()).select("doc_id", "text", *more), "key long, doc_id long", _anchors)
+    # Dealt by the expression itself: a column for it would travel with every row.
+    anchors = anchors.repartition(F.shiftrightunsigned("key", 17))
+    by_hash = Window.partitionBy(F.shiftrightunsigned("key", 17)).orderBy("doc_id")
     repeated = (
-        anchors.select("key", "doc_id", "known", F.lag("key").over(by_hash).alias("before"),
+        anchors.select("key", "doc_id", F.lag("key").over(by_hash).alias("before"),
                        F.lead("key").over(by_hash).alias("after"))
-        .filter(F.col("known") | F.col("before").isNotNull() | F.col("after").isNotNull())
+        .filter((F.col("key").bitwiseAND(F.lit(KNOWN)) != 0) | F.col("before").isNotNull() | F.col("after").isNotNull())
         .groupBy("doc_id").agg(F.collect_set(F.col("key").bitwiseAND(F.lit(LAST_PLACE)).cast("int")).alias("anchors"))
     )
-    windows = map_batches(by_doc.join(repeated, "doc_id").select("doc_id", "text", "anchors"),
-                          "h1 long, hp long, doc_id long, known boolean", _windows)
+    windows = map_batches(by_doc.join(repeated, "doc_id").select("doc_id", "text", "anchors", *more),
+                          "h1 long, hp long, doc_id long", _windows).repartition("h1")
     among_equal = Window.partitionBy("h1", F.shiftrightunsigned("hp", 32)).orderBy("doc_id", "place")
     later = (
-        windows.withColumn("place", F.col("hp").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+        windows.withColumn("place", F.col("hp").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
         .withColumn("rank", F.rank().over(among_equal))
-        .filter(F.col("known") | (F.col("rank") > 1))
+        .filter((F.col("hp").bitwiseAND(F.lit(0x80000000)) != 0) | (F.col("rank") > 1))
         .groupBy("doc_id").agg(F.collect_set("place").alias("starts"))
     )
+    kinds = dict(docs.dtypes)
+    result = ", ".join(["doc_id long, n_words long, n_removed long, kept_text string",
+                        *(f"`{m}` {kinds[c]}" for c, m in zip(keep, more))])
+    unnamed = plain.filter(F.col("doc_id").isNull()).select(
+        "doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("starts"), *more)
     return map_batches(
-        by_doc.join(copies, "doc_id", "left").join(later, "doc_id", "left")
-        .select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts"),
-        "doc_id long, n_words long, n_removed long, kept_text string", _cut)
+        marked.join(later, "doc_id", "left")
+        .select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts", *more),
+        result, _cut(untouched),
+    ).union(map_batches(unnamed, result, _cut(untouched))).toDF("doc_id", "n_words", "n_removed", "kept_text", *keep)
