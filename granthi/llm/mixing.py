@@ -58,18 +58,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     )
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-        keep: tuple[str, ...] = (), seed: str = "mix", **targets) -> DataFrame:
-    """Per row: key, size, source_size, target, taken, and the columns ``keep``.
+def order_key(key: str, seed: str) -> Column:
+    """Hash-random place of a document within its source: the same in every run."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
 
-    ``taken`` counts the words that the mix takes of the document, repeats included; it is at most
-    ``cap`` times the size. The order key is an MD5 of seed and document key, so reruns agree. The text is read once:
-    what is written to the shared folder has a few numbers per document.
-    """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+
+def _cuts(docs: DataFrame, key: str, text: str, source: str, seed: str, targets: dict) -> DataFrame:
+    """(key, source, order, size, source_size, target, epochs, last) per row; ``last`` are words of the cut epoch."""
     rows = materialise(docs.select(
-        F.col(key), F.col(source).alias("source"), word_count(text).alias("size"), digest.alias("order"),
-        *[F.col(c) for c in keep if c not in (key,)]), "mix_sizes")
+        F.col(key), F.col(source).alias("source"), word_count(text).alias("size"),
+        order_key(key, seed).alias("order")), "mix_sizes")
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size"))
     goal = source_targets(sizes, **targets)
     # As many leading hex digits as leave about ROWS_PER_RANGE documents of the source in a range.
@@ -93,6 +91,36 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return (
         placed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(offsets, F.col("source").eqNullSafe(F.col("__s")) & (F.col("range") == F.col("__r")))
-        .select(F.col(key), "size", "source_size", "target",
-                (epochs * F.col("size") + last).cast("long").alias("taken"), *[c for c in keep if c != key])
+        .select(F.col(key), "source", "order", "size", "source_size", "target", epochs.alias("epochs"), last.alias("last"))
+    )
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+        seed: str = "mix", **targets) -> DataFrame:
+    """Per row: key, size, source_size, target, taken.
+
+    ``taken`` counts the words that the mix takes of the document, repeats included; it is at most
+    ``cap`` times the size. The text is read once: what is written and shuffled are a few numbers per document.
+    """
+    return _cuts(docs, key, text, source, seed, targets).select(
+        key, "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("last")).cast("long").alias("taken"))
+
+
+def repeat_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+                     seed: str = "mix", **targets) -> DataFrame:
+    """The rows of ``docs``, each once per time that the mix takes it; one taken in part is taken whole.
+
+    The cut of a source is one place in its order, so texts are not shuffled: they meet one row per source.
+    """
+    place = F.struct(F.col("order"), F.col(key).alias("key"))
+    cuts = _cuts(docs, key, text, source, seed, targets).groupBy("source").agg(
+        F.max("epochs").alias("__epochs"), F.max(F.when(F.col("last") > 0, place)).alias("__cut"))
+    own = F.struct(order_key(key, seed).alias("order"), F.col(key).alias("key"))
+    times = (F.col("__epochs") + F.coalesce(own <= F.col("__cut"), F.lit(False)).cast("long")).cast("int")
+    return (
+        docs.join(broadcast_if_small(cuts.withColumnRenamed("source", "__source")),
+                  F.col(source).eqNullSafe(F.col("__source")))
+        .withColumn("__times", times).filter("__times > 0")
+        .withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthi.llm import embedding_dups, jaccard_join, lang_id, mixing, piece_bpe, substring_dedup, top_products
+from granthi.llm import attention_lm, embedding_dups, jaccard_join, lang_id, mixing, piece_bpe, substring_dedup, top_products
 from granthi.llm.common import fold, table
 
 
@@ -44,6 +44,13 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document text by word counts and by the attention model."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 7) == 2)
+    learned = attention_lm.fit(docs, ~F.col("held_out"), public_tokenizers.path("piece_bpe_32k.model"))
+    return attention_lm.score(docs, learned, keep=("held_out",))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at cosine 0.9 and their components for every vector."""
     return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -56,6 +63,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_topk": op8_exact_topk,
+    "op9_lm_score": op9_lm_score,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
