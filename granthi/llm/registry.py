@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthi.llm import attention_lm, embedding_dups, html_text, jaccard_join, lang_id, mixing, piece_bpe, substring_dedup, top_products
+from granthi.llm import (attention_lm, embedding_dups, html_text, jaccard_join, lang_id, mixing, piece_bpe, substring_dedup,
+                         tool_calls, top_products)
 from granthi.llm.common import fold, table
 
 
@@ -23,6 +24,35 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+# Tools of the calls that op3_tool_calls derives: name, field, JSON type, required.
+TOOLS = [("search", "query", "string", True), ("search", "limit", "integer", True),
+         ("count", "limit", "number", True), ("count", "exact", "boolean", False),
+         ("note", "query", "string", True), ("note", "limit", "string", False)]
+
+
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tool use: assistant turns are calls, the turns after them results.
+
+    The number of words of a turn chooses the tool, so that some arguments don't fit their schema; a call
+    needs the calls at a half and at a third of its turn.
+    """
+    turns = table(spark, sf_dir, "conversations").withColumn("words", mixing.word_count("text"))
+    by_turn = lambda c: F.concat(F.lit("call-"), c.cast("string"))
+    tool = F.element_at(F.array(*map(F.lit, ("search", "count", "note", "other"))),
+                        (F.pmod("words", F.lit(4)) + 1).cast("int"))
+    arguments = F.to_json(F.struct(
+        F.col("words").alias("limit"), F.when(F.pmod("words", F.lit(3)) > 0, F.substring("text", 1, 40)).alias("query"),
+        F.when(F.pmod("words", F.lit(5)) == 0, F.lit(True)).alias("exact")))
+    needs = lambda n: by_turn(F.floor(F.col("turn") / n))
+    calls = turns.filter("role = 'assistant'").select(
+        "conv_id", by_turn(F.col("turn")).alias("call_id"), F.col("turn").alias("place"), tool.alias("name"),
+        arguments.alias("arguments"), F.when(F.col("turn") > 0, F.array(needs(2), needs(3))).alias("depends"))
+    results = turns.filter("role <> 'assistant'").select(
+        "conv_id", by_turn(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("place"), F.col("text").alias("content"))
+    rows = ", ".join(f"('{name}', '{field}', '{kind}', {required})" for name, field, kind, required in TOOLS)
+    return tool_calls.link(calls, results, spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, field, kind, required)"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
@@ -64,6 +94,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
+    "op3_tool_calls": op3_tool_calls,
     "op4_html_text": op4_html_text,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_jaccard_join": op6_jaccard_join,
@@ -136,4 +167,38 @@ SQL: dict[str, str] = {
             FROM scored
         )
         SELECT * FROM ranked WHERE rank <= 5""",
+    "op3_tool_calls": r"""
+        WITH RECURSIVE turns AS (
+            SELECT *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words FROM conversations
+        ), calls AS (
+            SELECT conv_id, turn, words, ['search', 'count', 'note', 'other'][(words % 4 + 1)::INT] AS name,
+                   CASE WHEN words % 3 > 0 THEN substring(text, 1, 40) END AS query, words % 5 = 0 AS exact
+            FROM turns WHERE role = 'assistant'
+        ), needs AS (
+            SELECT DISTINCT a.conv_id, a.turn, b.turn AS needed FROM calls a JOIN calls b
+            ON a.conv_id = b.conv_id AND a.turn > 0 AND b.turn IN (a.turn // 2, a.turn // 3)
+        ), paths AS (
+            SELECT conv_id, turn, turn AS at, 0 AS depth FROM calls
+            UNION
+            SELECT p.conv_id, p.turn, n.needed, depth + 1 FROM paths p JOIN needs n ON p.conv_id = n.conv_id AND p.at = n.turn
+        ), levels AS (
+            SELECT conv_id, turn, max(depth)::INT AS level FROM paths GROUP BY ALL
+        ), linked AS (
+            SELECT c.*, l.level, r.turn IS NOT NULL AS has_result, r.text AS content,
+                   list_sort(list_filter([
+                       CASE WHEN name = 'other' THEN 'unknown tool' END,
+                       CASE WHEN name IN ('search', 'note') AND query IS NULL THEN 'missing: query' END,
+                       CASE WHEN name = 'note' THEN 'wrong type: limit' END,
+                       CASE WHEN name IN ('search', 'note') AND exact THEN 'not in schema: exact' END,
+                       CASE WHEN name = 'count' AND query IS NOT NULL THEN 'not in schema: query' END
+                   ], lambda x: x IS NOT NULL)) AS errs
+            FROM calls c JOIN levels l USING (conv_id, turn)
+            LEFT JOIN turns r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role <> 'assistant'
+        )
+        SELECT conv_id, 'call-' || turn AS call_id, turn AS place, name, level, has_result, len(errs) = 0 AS valid,
+               array_to_string(errs, '; ') AS errors,
+               '{"arguments":{' || CASE WHEN exact THEN '"exact":true,' ELSE '' END || '"limit":' || words
+               || coalesce(',"query":' || to_json(query)::VARCHAR, '') || '},"id":"call-' || turn || '","level":' || level
+               || ',"name":"' || name || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
+        FROM linked""",
 }
