@@ -67,12 +67,12 @@ def l2_normalised(vector: Column) -> Column:
 def hashed_vector(text: Column, dim: int = 64) -> Column:
     """Built-in embedder: hashed bag of words, unit length, the same for query and passage.
 
-    A token's slot is the first byte of its MD5 modulo ``dim``. The sorted slots are counted by
+    A token's slot is the first 28 bits of its MD5 modulo ``dim``, so that all slots are met. The sorted slots are counted by
     one fold that appends once per slot, so the cost grows with the text, not text times slots.
     """
     slots = F.sort_array(F.transform(
         search_tokens(text),
-        lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 2), 16, 10).cast("int") % dim),
+        lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 7), 16, 10).cast("int") % dim),
     ))
     empty = F.struct(
         F.lit(-1).alias("slot"), F.lit(0).alias("n"),

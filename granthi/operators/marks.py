@@ -111,24 +111,24 @@ def verify_licences(asked: DataFrame, registry: DataFrame) -> DataFrame:
 def match_schemes(products: DataFrame, keywords: DataFrame) -> DataFrame:
     """Schemes whose keyword occurs in the description: a semi-join shape, one row per pair.
 
-    ``keywords`` is a rule table (scheme, keyword); its size is checked before the broadcast
-    that the substring condition needs, and the shared descriptions are matched once each.
+    ``keywords`` is (scheme, keyword) of any size; empty keywords match nothing. Runs of characters of the
+    texts, as long as the shortest keyword, meet the beginnings of the keywords in an equi-join, and only
+    those pairs are compared. Shared descriptions are matched once each.
     """
-    rules = keywords.select("scheme", F.lower("keyword").alias("keyword"))
-    if not _is_rule_table(rules):
-        raise ValueError("the keyword table is too large for a rule table")
+    rules = keywords.select("scheme", F.lower("keyword").alias("keyword")).filter(F.length("keyword") > 0).distinct()
+    n = rules.agg(F.min(F.length("keyword"))).first()[0] or 1
     distinct = products.select(F.lower("description").alias("text")).distinct()
+    starts = F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - (n - 1))).otherwise(
+        F.array().cast("array<int>"))
+    runs = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(n))))
     hits = (
-        distinct.join(F.broadcast(rules), F.col("text").contains(F.col("keyword")))
-        .select("text", "scheme").distinct()
+        distinct.select("text", F.explode(runs).alias("run"))
+        .join(rules.withColumn("run", F.substring("keyword", 1, n)), "run")
+        .filter(F.contains("text", "keyword")).select("text", "scheme").distinct()
     )
     return products.join(hits, F.lower("description") == F.col("text")).select("product_id", "scheme")
 
 
-def _is_rule_table(df: DataFrame, rows: int = 10_000) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
 def compliance_gaps(matched: DataFrame, schemes: DataFrame, held: DataFrame) -> DataFrame:
     """Matched schemes that no active held licence covers, with the mandatory flag.
 
@@ -139,6 +139,3 @@ def compliance_gaps(matched: DataFrame, schemes: DataFrame, held: DataFrame) ->
         broadcast_if_small(schemes), "scheme"
     ).select("product_id", "scheme", F.when(F.col("mandatory"), "mandatory").otherwise("voluntary").alias("gap"))
 
-
-LICENCE_SCHEMES = {"cml": "ISI", "crs_r": "CRS", "huid": "HALLMARK"}
-KINDS = [k for k, *_ in lx.MARK_KINDS]

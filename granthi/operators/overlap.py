@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granthi import lexicons as lx
-from granthi.functions.text import split_words
+from granthi.functions.text import WS, split_words
 from granthi.session import broadcast_if_small
 
 
@@ -52,33 +52,39 @@ def verbatim_runs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
 
 
 def redact_runs(texts: DataFrame, runs: DataFrame, key: str, clause: str) -> DataFrame:
-    """Replace every covered word run by one placeholder that names its source clause.
+    """Replace every covered word run by one placeholder that names its source clauses.
 
     ``runs`` is (key, left_start, n_words, clause). Spans of one text are merged first; they are
-    bounded by the text's own length.
+    bounded by the text's own length. White space outside the spans stays as it is, and a text without a
+    run comes out unchanged with 0 spans.
     """
     spans = runs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
         F.col("left_start").alias("a"), (F.col("left_start") + F.col("n_words")).alias("b"),
-        F.col(clause).alias("clause"),
+        F.array(F.col(clause)).alias("clauses"),
     ))).alias("spans"))
-    empty = F.array().cast("array<struct<a:int,b:int,clause:string>>")
+    empty = F.array().cast("array<struct<a:int,b:int,clauses:array<string>>>")
     merged = F.aggregate("spans", empty, lambda out, s: F.when(
         (F.size(out) > 0) & (s["a"] <= F.element_at(out, -1)["b"]),
         F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(
             F.element_at(out, -1)["a"].alias("a"),
             F.greatest(F.element_at(out, -1)["b"], s["b"]).alias("b"),
-            F.element_at(out, -1)["clause"].alias("clause")))),
+            F.array_union(F.element_at(out, -1)["clauses"], s["clauses"]).alias("clauses")))),
     ).otherwise(F.concat(out, F.array(F.struct(
-        s["a"].alias("a"), s["b"].alias("b"), s["clause"].alias("clause"))))))
-    staged = texts.join(spans, key).select(key, split_words(F.col("text")).alias("w"), merged.alias("m"))
+        s["a"].alias("a"), s["b"].alias("b"), s["clauses"].alias("clauses"))))))
+    # Words with the white space before them, so that joining them gives the text back.
+    staged = texts.join(spans, key, "left").select(
+        key, "text", F.regexp_extract_all("text", F.lit(f"[{WS}]*[^{WS}]+"), F.lit(0)).alias("w"),
+        F.regexp_extract("text", f"[{WS}]*\\z", 0).alias("tail"), F.when(F.col("spans").isNotNull(), merged).alias("m"))
     # Text between the spans: each span contributes the words before it and its placeholder.
     pieces = F.transform("m", lambda s, i: F.concat(
         F.slice("w", F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("m"), i - 1)["b"]) + 1,
                 s["a"] - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("m"), i - 1)["b"])),
-        F.array(F.concat(F.lit("[see "), s["clause"], F.lit("]"))),
+        F.array(F.concat(F.regexp_extract(F.element_at("w", s["a"] + 1), f"^[{WS}]*", 0), F.lit("[see "),
+                         F.array_join(s["clauses"], ", "), F.lit("]"))),
     ))
     end = F.element_at("m", -1)["b"]
     rest = F.slice("w", end + 1, F.size("w") - end)
+    redacted = F.concat(F.array_join(F.concat(F.flatten(pieces), rest), ""), F.col("tail"))
     return staged.select(
-        key, F.array_join(F.concat(F.flatten(pieces), rest), " ").alias("redacted"), F.size("m").alias("spans")
-    )
+        key, F.when(F.col("m").isNull(), F.col("text")).otherwise(redacted).alias("redacted"),
+        F.coalesce(F.size("m"), F.lit(0)).alias("spans"))

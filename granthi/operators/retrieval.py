@@ -28,19 +28,25 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Ranks are taken on scores rounded to 9 places, so equal passages tie and the id decides.
 RANK_DIGITS = 9
 QUERY_MATRIX_ROWS = 20_000
+RANKED_ROWS = 100
 GRID_CORPUS_ROWS = 50_000
 GRID_QUERY_ROWS = 5_000
 # Cells of the score matrix held at once in a task.
 SCORE_CELLS = 4_000_000
 
 
-def query_phrases(text: Column) -> Column:
-    """Phrases of a query, each an array of index tokens: identifiers first, then terms."""
+def query_phrases(text: Column, max_terms: int | None = None) -> Column:
+    """Phrases of a query, each an array of index tokens: identifiers first, then terms.
+
+    All terms count unless ``max_terms`` asks for the first ones only.
+    """
     words = F.filter(
         split_words(F.translate(text, QUERY_SYNTAX, " " * len(QUERY_SYNTAX))), lambda t: F.length(t) > 1
     )
     content = F.filter(words, lambda t: ~F.lower(t).isin(lx.QUERY_STOPWORDS))
-    kept = F.slice(F.when(F.size(content) > 0, content).otherwise(words), 1, lx.MAX_QUERY_TERMS)
+    kept = F.when(F.size(content) > 0, content).otherwise(words)
+    if max_terms is not None:
+        kept = F.slice(kept, 1, max_terms)
     phrases = F.concat(identifiers(text), kept)
     return F.filter(F.transform(phrases, lambda p: search_tokens(p)), lambda p: F.size(p) > 0)
 
@@ -142,7 +148,8 @@ def per_distinct_text(queries: DataFrame, run: Callable[[DataFrame], DataFrame])
     is not gathered in one task; a large set is a shuffle join that AQE splits when skewed.
     """
     first = queries.groupBy("text").agg(F.min("query_id").alias("first_id"))
-    small = fits_broadcast(first)
+    # A ranking has at most RANKED_ROWS rows per text, so this bounds what is broadcast of it as well.
+    small = fits_broadcast(first, max_rows=BROADCAST_MAX_ROWS // RANKED_ROWS)
     ranked = run(first.select(F.col("first_id").alias("query_id"), "text")).withColumnRenamed("query_id", "first_id")
     same = queries.join(F.broadcast(first) if small else first, "text").select("query_id", "first_id")
     columns = [c for c in ranked.columns if c != "first_id"]
@@ -385,11 +392,15 @@ def search(passages: DataFrame, vectors: DataFrame | None, queries: DataFrame, m
 
 
 def hydrate(hits: DataFrame, passages: DataFrame, most_hits: int | None = None) -> DataFrame:
-    """Join the winners to their passages; an unknown chunk drops out and ranks keep their order.
+    """Join the winners to their passages; an unknown chunk drops out and the others are numbered anew from 1.
+
+    Ranks are numbered on ids, before any text is joined, so every use of a hit counts alike.
 
     ``most_hits`` is a proven bound (queries times k): below the broadcast limit the passages
     are not shuffled.
     """
+    by_rank = Window.partitionBy("query_id").orderBy("rank")
+    hits = hits.join(passages.select("chunk_id"), "chunk_id", "left_semi").withColumn("rank", F.row_number().over(by_rank))
     if most_hits is not None and most_hits <= BROADCAST_MAX_ROWS:
         hits = F.broadcast(hits)
     sources = F.array_compact(F.array(

@@ -21,60 +21,110 @@ MIN_TOKENS, MAX_TOKENS = 400, 800
 OVERLAP_SHARE = 0.15
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _SKIPPED = {"script", "style", "noscript"}
+_BLOCK_LEVEL = {"address", "article", "aside", "blockquote", "body", "caption", "dd", "details", "dialog", "div", "dl", "dt",
+                "fieldset", "figcaption", "figure", "footer", "form", "head", "header", "hr", "html", "legend", "main", "menu",
+                "nav", "ol", "option", "pre", "section", "select", "summary", "textarea", "ul"}
+_BREAKS = _BLOCK_LEVEL | _HEADINGS | {"p", "li", "br"}
 
 
 class _Blocks(HTMLParser):
-    """Collects (kind, text) blocks of one page; tables become markdown rows."""
+    """Collects (kind, text) blocks of one page; tables become markdown rows. No text is lost.
+
+    Every block-level tag ends the block before it. Text outside headings, paragraphs, items and tables
+    is a block of kind ``other``, which a user may leave out.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, str]] = []
         self.kind, self.words, self.skip = None, [], 0
-        self.rows, self.cells = None, None
+        self.rows, self.cells, self.in_cell = None, None, False
+
+    def _text(self):
+        text, self.words = " ".join("".join(self.words).split()), []
+        return text
 
     def _flush(self):
-        text = " ".join(" ".join(self.words).split())
-        if text and self.kind:
-            self.blocks.append((self.kind, text))
-        self.kind, self.words = None, []
+        text = self._text()
+        if text:
+            self.blocks.append((self.kind or "other", text))
+        self.kind = None
+
+    def _end_row(self):
+        if self.cells is not None:
+            if self.in_cell:
+                self.cells.append(self._text())
+            self.rows.append(self.cells)
+        self.cells, self.in_cell = None, False
+
+    def _end_table(self):
+        self._end_row()
+        rows = [r for r in self.rows if r]
+        if rows:
+            lines = ["| " + " | ".join(r) + " |" for r in rows]
+            lines.insert(1, "|" + " --- |" * len(rows[0]))
+            self.blocks.append(("table", "\n".join(lines)))
+        self.rows = None
+        self._flush()
 
     def handle_starttag(self, tag, attrs):
         if tag in _SKIPPED:
             self.skip += 1
         elif tag == "table":
+            if self.rows is not None:
+                self._end_table()
             self._flush()
             self.rows = []
-        elif tag == "tr" and self.rows is not None:
-            self.cells = []
-        elif tag in ("td", "th") and self.cells is not None:
-            self.words = []
-        elif self.rows is None and (tag in _HEADINGS or tag in ("p", "li", "title")):
+        elif self.rows is not None:
+            if tag == "tr":
+                self._end_row()
+                self._flush()
+                self.cells = []
+            elif tag in ("td", "th"):
+                if self.cells is None:
+                    self._flush()
+                    self.cells = []
+                elif self.in_cell:
+                    self.cells.append(self._text())
+                else:
+                    self._flush()
+                self.in_cell = True
+            elif tag in _BREAKS:
+                self.words.append(" ")
+        elif tag in _HEADINGS or tag in ("p", "li", "title"):
             self._flush()
             self.kind = {"p": "paragraph", "li": "paragraph", "title": "title"}.get(tag, "heading")
+        elif tag in _BLOCK_LEVEL:
+            self._flush()
+        elif tag == "br":
+            self.words.append(" ")
 
     def handle_endtag(self, tag):
         if tag in _SKIPPED:
             self.skip = max(0, self.skip - 1)
-        elif tag in ("td", "th") and self.cells is not None:
-            self.cells.append(" ".join(" ".join(self.words).split()))
-            self.words = []
-        elif tag == "tr" and self.cells is not None:
-            self.rows.append(self.cells)
-            self.cells = None
         elif tag == "table" and self.rows is not None:
-            rows = [r for r in self.rows if r]
-            if rows:
-                lines = ["| " + " | ".join(r) + " |" for r in rows]
-                lines.insert(1, "|" + " --- |" * len(rows[0]))
-                self.blocks.append(("table", "\n".join(lines)))
-            self.rows, self.words = None, []
-        elif self.rows is None and (tag in _HEADINGS or tag in ("p", "li", "title")):
+            self._end_table()
+        elif self.rows is not None:
+            if tag in ("td", "th") and self.in_cell:
+                self.cells.append(self._text())
+                self.in_cell = False
+            elif tag == "tr":
+                self._end_row()
+            elif tag in _BREAKS:
+                self.words.append(" ")
+        elif tag in _BLOCK_LEVEL or tag in _HEADINGS or tag in ("p", "li", "title"):
             self._flush()
 
     def handle_data(self, data):
-        if not self.skip and (self.kind or self.cells is not None):
+        if not self.skip:
             self.words.append(data)
 
+    def finish(self):
+        self.close()
+        if self.rows is not None:
+            self._end_table()
+        self._flush()
+
 
 def html_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, pos, kind, text) of every HTML page; PDF bytes are left to another reader."""
@@ -84,8 +134,7 @@ def html_blocks(pages: DataFrame) -> DataFrame:
             for page_id, html in zip(pdf["page_id"], pdf["html"]):
                 parser = _Blocks()
                 parser.feed(html)
-                parser.close()
-                parser._flush()
+                parser.finish()
                 out.extend((page_id, i, kind, text) for i, (kind, text) in enumerate(parser.blocks))
             yield pd.DataFrame(out, columns=["page_id", "pos", "kind", "text"])
 

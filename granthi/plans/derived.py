@@ -286,8 +286,3 @@ def supplied_answers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").where("role = 'assistant'").select(
         k.alias("query_id"), s(pick(LEAK_OPENERS, k % 5), F.col("text"), tail).alias("answer"),
         (k % 5).alias("n_sources"))
-
-
-def embedded(df: DataFrame, key: str) -> DataFrame:
-    """Vectors of any text table by the built-in embedder."""
-    return df.select(key, hashed_vector(F.col("text")).cast("array<float>").alias("embedding"))

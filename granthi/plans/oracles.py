@@ -93,7 +93,7 @@ def phrases(source: str, name: str = "phrases") -> str:
     return f"""words AS (SELECT query_id, text, list_filter(string_split_regex({cleaned}, '\\s+'), lambda t: length(t) > 1) AS w FROM {source}),
 kept AS (SELECT query_id, text, w, list_filter(w, lambda t: NOT list_contains({lst(lx.QUERY_STOPWORDS)}, lower(t))) AS c FROM words),
 raw_phrases AS (SELECT query_id, unnest(list_concat({standards('text')}, {gazettes('text')},
-  list_slice(CASE WHEN len(c) > 0 THEN c ELSE w END, 1, {lx.MAX_QUERY_TERMS}))) AS p FROM kept),
+  CASE WHEN len(c) > 0 THEN c ELSE w END)) AS p FROM kept),
 {name} AS (SELECT query_id, array_to_string({tokens('p')}, ' ') AS phrase, count(*)::BIGINT AS times
   FROM raw_phrases WHERE len({tokens('p')}) > 0 GROUP BY 1, 2)"""
 
@@ -141,7 +141,8 @@ SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits"""
 ORACLES["dense_topk"] = f"""WITH {VECTORS}, {DENSE}, {ranked('dense', lx.TOP_K, 'hits')}
 SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits"""
 ORACLES["hybrid_topk"] = HYBRID + " SELECT query_id, rank, chunk_id, round(score, 6) AS score, keyword_rank, semantic_rank FROM hybrid"
-ORACLES["hydrate_hits"] = HYBRID + """ SELECT query_id, rank, chunk_id, round(score, 6) AS score, keyword_rank, semantic_rank,
+_POSITION = "(row_number() OVER (PARTITION BY query_id ORDER BY rank))::INT AS rank"
+ORACLES["hydrate_hits"] = HYBRID + f""" SELECT query_id, {_POSITION}, chunk_id, round(score, 6) AS score, keyword_rank, semantic_rank,
  array_to_string(list_filter([CASE WHEN keyword_rank IS NOT NULL THEN 'keyword' END, CASE WHEN semantic_rank IS NOT NULL THEN 'semantic' END], lambda x: x IS NOT NULL), ' | ') AS sources,
  relpath, page_number::BIGINT AS page_number, title, category, text, relpath || ' p.' || page_number AS citation FROM hybrid JOIN passages USING (chunk_id)"""
 ORACLES["query_terms"] = f"""WITH {QUESTIONS}, asked AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT query_id + 1000000000, text FROM questions),
@@ -349,7 +350,7 @@ _TT = f"toks AS (SELECT chunk_id, {tokens('text')} AS text, {tokens('title')} AS
 ORACLES["postings"] = f"""WITH {PASSAGES}, {_TT} SELECT unnest(text) AS term, chunk_id, 'text' AS col, unnest(range(0, len(text))) AS pos FROM toks
 UNION ALL SELECT unnest(title), chunk_id, 'title', unnest(range(0, len(title))) FROM toks"""
 ORACLES["bm25_stats"] = f"WITH {PASSAGES}, {_TT} SELECT count(*) AS n_chunks, round(avg(len(text) + len(title)), 6) AS avgdl FROM toks"
-ORACLES["embed_missing"] = f"""WITH slots AS (SELECT doc_id AS chunk_id, list_transform({tokens('text')}, lambda t: ('0x' || left(md5(t), 2))::INT % 64) AS s FROM documents d
+ORACLES["embed_missing"] = f"""WITH slots AS (SELECT doc_id AS chunk_id, list_transform({tokens('text')}, lambda t: ('0x' || left(md5(t), 7))::INT % 64) AS s FROM documents d
  WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)),
 counts AS (SELECT chunk_id, list_transform(range(0, 64), lambda i: len(list_filter(s, lambda x: x = i))::DOUBLE) AS c FROM slots),
 norms AS (SELECT *, sqrt(list_dot_product(c, c)) AS norm FROM counts)
@@ -456,13 +457,13 @@ _OUT = lst(lx.OUT_OF_DOMAIN_WORDS)
 def scope_ctes(source: str, column: str) -> str:
     return f"""sc0 AS (SELECT *, trim({column}, ' ' || chr(10)) AS sq, lower(trim({column}, ' ' || chr(10))) AS low, {stems(column)} AS sw FROM {source}),
 sc1 AS (SELECT *, list_sort(list_concat(list_filter(sw, lambda w: list_contains({_OUT}, w)), list_filter({lst(lx.OUT_OF_DOMAIN_PHRASES)}, lambda p: contains(low, p)))) AS off FROM sc0),
-scoped AS (SELECT *, CASE WHEN length(sq) < 3 THEN 'empty question' WHEN len(list_filter({lst(lx.STRONG_IN_DOMAIN)}, lambda t: contains(low, t))) > 0
+scoped AS (SELECT *, CASE WHEN length(sq) < 3 THEN 'nothing asked' WHEN len(list_filter({lst(lx.STRONG_IN_DOMAIN)}, lambda t: contains(low, t))) > 0
   OR regexp_matches(low, '\\bis\\s*(?:/\\s*(?:iec|iso|en))?\\s*:?\\s*\\d{{2,5}}\\b') THEN 'explicit standards reference'
-  WHEN regexp_matches(sq, '[{DEV}]') THEN 'hindi question' WHEN len(off) > 0 THEN 'off-domain subject: ' || array_to_string(off, ', ')
-  WHEN len(list_filter(sw, lambda w: list_contains({lst(lx.IN_DOMAIN)}, w))) = 0 THEN 'no domain terms' ELSE 'domain vocabulary present' END AS scope_reason FROM sc1)"""
+  WHEN regexp_matches(sq, '[{DEV}]') THEN 'hindi question' WHEN len(off) > 0 THEN 'other subject: ' || array_to_string(off, ', ')
+  WHEN len(list_filter(sw, lambda w: list_contains({lst(lx.IN_DOMAIN)}, w))) = 0 THEN 'no domain terms' ELSE 'words of the field' END AS scope_reason FROM sc1)"""
 
 
-_IN = "scope_reason IN ('explicit standards reference', 'hindi question', 'domain vocabulary present')"
+_IN = "scope_reason IN ('explicit standards reference', 'hindi question', 'words of the field')"
 ORACLES["scope_gate"] = f"WITH {ASKED}, {scope_ctes('asked', 'text')} SELECT query_id, {_IN} AS in_scope, scope_reason AS reason FROM scoped"
 _HI, _EN = lit(lx.LANGUAGE_NAMES["hi"]), lit(lx.LANGUAGE_NAMES["en"])
 _LANG = f"CASE WHEN regexp_matches(text, '[{DEV}]') THEN {_HI} ELSE {_EN} END"
@@ -527,9 +528,11 @@ def found_in_notices(source: str) -> str:
 
 
 UNIQUE = "uq AS (SELECT min(query_id) AS query_id, text FROM questions WHERE role = 'user' GROUP BY text)"
-FOUND = f"WITH {NOTICES}, {QUESTIONS}, {UNIQUE}, {found_in_notices('uq')}"
+FOUND = f"""WITH {NOTICES}, {QUESTIONS}, {UNIQUE}, {bm25('uq', 'notices', lx.PASSAGE_WEIGHTS, 6)}, {ranked('scores', lx.TOP_K, 'text_hits')},
+users AS (SELECT query_id, text FROM questions WHERE role = 'user'),
+hits AS (SELECT u.query_id, h.chunk_id, h.rank FROM users u JOIN uq ON uq.text = u.text JOIN text_hits h ON h.query_id = uq.query_id)"""
 ORACLES["forced_refusals"] = FOUND + f""" SELECT query_id, CASE WHEN regexp_matches(text, '[{DEV}]') THEN {lit(lx.REPLIES[('nothing', 'hi')])} ELSE {lit(lx.REPLIES[('nothing', 'en')])} END AS answer
- FROM uq ANTI JOIN hits USING (query_id)"""
+ FROM users ANTI JOIN hits USING (query_id)"""
 ORACLES["source_block"] = FOUND + """ SELECT query_id, string_agg('[S' || rank || '] ' || title || chr(10) || '(file: ' || relpath || ', page ' || page_number
  || coalesce(', downloaded from ' || source_url, '') || ')' || chr(10) || trim(left(text, 1400)), chr(10) || chr(10) ORDER BY rank) AS sources FROM hits JOIN notices USING (chunk_id) GROUP BY 1"""
 
@@ -552,10 +555,10 @@ def _say(kind: str) -> str:
     return f"CASE WHEN regexp_matches(text, '[{DEV}]') THEN {lit(lx.REPLIES[(kind, 'hi')])} ELSE {lit(lx.REPLIES[(kind, 'en')])} END"
 
 
-ORACLES["extractive_answers"] = FOUND + f""", {extract('uq', 'hits')} SELECT query_id, CASE WHEN q.lines IS NULL THEN {_say('nothing')} ELSE {_say('quoted')} || chr(10) || chr(10) || q.lines END AS answer,
+ORACLES["extractive_answers"] = FOUND + f""", {extract('users', 'hits')} SELECT query_id, CASE WHEN q.lines IS NULL THEN {_say('nothing')} ELSE {_say('quoted')} || chr(10) || chr(10) || q.lines END AS answer,
  coalesce(cited, '') AS cited, q.lines IS NOT NULL AS grounded, q.lines IS NULL AS refused, q.lines IS NOT NULL AS extractive,
- CASE WHEN q.lines IS NULL THEN 'no term-matching sentence in retrieved passages' ELSE '' END AS reason FROM uq LEFT JOIN quoted q USING (query_id)"""
-ORACLES["cited_sources"] = FOUND + f""", {extract('uq', 'hits')} SELECT h.query_id, h.rank, h.chunk_id, q.ranks IS NOT NULL AS is_cited FROM hits h LEFT JOIN quoted q USING (query_id)
+ CASE WHEN q.lines IS NULL THEN 'no sentence of the hits has a term of the question' ELSE '' END AS reason FROM users LEFT JOIN quoted q USING (query_id)"""
+ORACLES["cited_sources"] = FOUND + f""", {extract('users', 'hits')} SELECT h.query_id, h.rank, h.chunk_id, q.ranks IS NOT NULL AS is_cited FROM hits h LEFT JOIN quoted q USING (query_id)
  WHERE q.ranks IS NULL OR list_contains(q.ranks, h.rank)"""
 ORACLES["answer_batch"] = f"""WITH {NOTICES}, {QUESTIONS}, turns AS (SELECT conv_id, turn, role, text FROM questions), {EXPANDED},
 asked AS (SELECT conv_id * 8 + turn AS query_id, text, expanded FROM expanded), {INTENTS}, {scope_ctes('intents', 'expanded')},
@@ -565,7 +568,7 @@ surv AS (SELECT * FROM judged WHERE intent = 'question' AND in_scope), uq AS (SE
 {extract('surv', 'allhits')}, {_REPLIES}, firsts AS (SELECT query_id, min_by(score, rank) AS fs FROM allhits GROUP BY 1)
 SELECT query_id, 'answer' AS kind, CASE WHEN q.lines IS NULL THEN {_say('nothing')} ELSE {_say('quoted')} || chr(10) || chr(10) || q.lines END AS answer, coalesce(cited, '') AS cited,
  q.lines IS NOT NULL AS grounded, q.lines IS NULL AS refused, q.lines IS NOT NULL AS extractive,
- CASE WHEN q.lines IS NULL THEN 'no term-matching sentence in retrieved passages' WHEN fs IS NULL THEN 'no matching passage' WHEN round(fs, 9) >= 2.0 THEN '' ELSE 'below the keyword floor' END AS reason
+ CASE WHEN q.lines IS NULL THEN 'no sentence of the hits has a term of the question' WHEN fs IS NULL THEN 'no matching passage' WHEN round(fs, 9) >= 2.0 THEN '' ELSE 'below the keyword floor' END AS reason
  FROM surv LEFT JOIN quoted q USING (query_id) LEFT JOIN firsts USING (query_id)
 UNION ALL SELECT query_id, CASE WHEN intent = 'question' THEN 'refusal' ELSE 'small_talk' END, reply, '', false, intent = 'question', false,
  CASE WHEN intent = 'question' THEN 'out of scope: ' || scope_reason ELSE 'small talk: ' || intent END
@@ -636,14 +639,14 @@ ORACLES["intent_distribution"] = f"""WITH {MSG} SELECT {pick(['standard_lookup',
 CALLS = """calls AS (SELECT ts, event_id AS id, (props->>'$.k')::BIGINT - 20 AS p, floor(value)::BIGINT - 5 AS c FROM events)"""
 ORACLES["daily_usage"] = f"""WITH {CALLS} SELECT ts::DATE AS date, count(*) AS calls, sum(greatest(p, 0))::BIGINT AS prompt_tokens, sum(greatest(c, 0))::BIGINT AS completion_tokens,
  (sum(greatest(p, 0)) + sum(greatest(c, 0)))::BIGINT AS total_tokens FROM calls GROUP BY 1"""
-ORACLES["stream_daily_usage"] = ORACLES["daily_usage"].replace("FROM calls GROUP", "FROM calls WHERE ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP")
+ORACLES["stream_daily_usage"] = ORACLES["daily_usage"]
 ORACLES["cap_admission"] = f"WITH {CALLS} SELECT ts::DATE AS date, id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, id) <= {CAP} AS admitted FROM calls"
 ORACLES["stream_cap"] = ORACLES["cap_admission"]
 ORACLES["cap_remaining"] = f"""WITH {CALLS} SELECT ts::DATE AS date, least(count(*), {CAP}) AS admitted_calls, greatest({CAP} - count(*), 0) AS remaining FROM calls GROUP BY 1"""
 ORACLES["latest_feedback"] = "SELECT user_id AS message_id, max_by(event_id * 7 % 3 - 1, (ts, event_id)) AS rating FROM events GROUP BY 1"
 ORACLES["page_titles"] = r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, '' AS identifiers FROM pages"""
 ORACLES["stream_embed"] = "SELECT doc_id AS chunk_id, 64::BIGINT AS dim FROM documents"
-ORACLES["hits_json"] = HYBRID + """ SELECT query_id, rank, '{"chunk_id":' || chunk_id || ',"title":' || to_json(title) || ',"category":' || to_json(category) || ',"relpath":' || to_json(relpath)
+ORACLES["hits_json"] = HYBRID + " SELECT query_id, " + _POSITION + """, '{"chunk_id":' || chunk_id || ',"title":' || to_json(title) || ',"category":' || to_json(category) || ',"relpath":' || to_json(relpath)
  || ',"page_number":' || page_number || ',"citation":' || to_json(relpath || ' p.' || page_number) || ',"score":' || round(score, 6)
  || ',"matched_by":[' || CASE WHEN keyword_rank IS NOT NULL AND semantic_rank IS NOT NULL THEN '"keyword","semantic"' WHEN keyword_rank IS NOT NULL THEN '"keyword"' WHEN semantic_rank IS NOT NULL THEN '"semantic"' ELSE '' END || ']'
  || coalesce(',"keyword_rank":' || keyword_rank, '') || coalesce(',"semantic_rank":' || semantic_rank, '') || ',"text":' || to_json(text) || '}' AS hit FROM hybrid JOIN passages USING (chunk_id)"""

@@ -18,7 +18,7 @@ from granthi.operators import (
     tariff, webpages,
 )
 from granthi.plans import derived as d
-from granthi.session import materialise, settled, shared_dir
+from granthi.session import broadcast_if_small, materialise, settled, shared_dir
 from granthi.sources import corpus as src
 from granthi.streaming import jobs
 
@@ -273,11 +273,6 @@ def exact_dedup(spark, sf):
     return plain(dedup.resolve_copies(dedup.content_hashes(d.corpus(spark, sf))))
 
 
-def _rolled(spark, sf):
-    docs, cleaned = cleaned_pages(spark, sf)
-    return dedup.roll_up(docs.select("doc_id", "relpath", "category", F.lit(None).cast("string").alias("error")), cleaned)
-
-
 @query
 def doc_rollup(spark, sf):
     """Status counts of damaged pages: every sentence line of a varied document is a page."""
@@ -586,10 +581,11 @@ def _question_batch(spark, sf):
 
 
 def _notice_hits(spark, sf):
-    """Keyword hits of the distinct question texts over the notices, hydrated."""
+    """Keyword hits of every question over the notices, hydrated; equal texts are searched once."""
     notes = d.notices(spark, sf)
-    asked = d.questions(spark, sf).where("role = 'user'").groupBy("text").agg(F.min("query_id").alias("query_id"))
-    hits = materialise(retrieval.search(notes, None, asked, "keyword"), "notice-hits")
+    asked = d.questions(spark, sf).where("role = 'user'").select("query_id", "text")
+    hits = materialise(
+        retrieval.per_distinct_text(asked, lambda q: retrieval.search(notes, None, q, "keyword")), "notice-hits")
     return asked, retrieval.hydrate(hits, notes, asked.count() * lx.TOP_K)
 
 
@@ -707,7 +703,7 @@ def pathway_steps(spark, sf):
 def category_stats(spark, sf):
     """Customers as documents by nation, orders as chunks: the fan-out report."""
     docs = d.table(spark, sf, "customer").join(
-        F.broadcast(d.table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")
+        broadcast_if_small(d.table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")
     ).select(F.col("c_custkey").alias("doc_id"), F.col("n_name").alias("category"), (F.col("c_custkey") % 11 + 1).alias("page_count"),
              (F.col("c_custkey") % 3).alias("pages_scanned"), (F.col("c_custkey") % 4).alias("pages_corrupt"))
     chunks = d.table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"))
@@ -897,8 +893,8 @@ def _call_stream(spark, sf):
 def stream_daily_usage(spark, sf):
     root = _scratch(spark, "stream-usage")
     usage = jobs.daily_usage(_call_stream(spark, sf))
-    jobs.write_stream(usage, f"{root}/out", f"{root}/cp").awaitTermination()
-    return spark.read.schema(usage.schema).parquet(f"{root}/out")
+    jobs.keep_latest(usage, "date", f"{root}/out", f"{root}/cp").awaitTermination()
+    return jobs.latest(spark, usage.schema, "date", f"{root}/out")
 
 
 @query

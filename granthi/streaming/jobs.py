@@ -85,7 +85,7 @@ def embed_chunks(stream: DataFrame, out: str, checkpoint: str, embedder: Embedde
 
 
 def daily_usage(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Calls and tokens per day of event time; a day appears once the watermark passed it."""
+    """Calls and tokens per day of event time; the watermark bounds the state, later calls of a closed day are dropped."""
     prompt = F.sum(F.greatest(F.col("prompt_tokens"), F.lit(0)))
     completion = F.sum(F.greatest(F.col("completion_tokens"), F.lit(0)))
     return (
@@ -97,6 +97,23 @@ def daily_usage(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
+def keep_latest(df: DataFrame, key: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Rows of an aggregation as they change, one folder per micro-batch: the open last day is there as well."""
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(_batch_dir(out, batch_id))
+
+    return (
+        df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+        .outputMode("update").trigger(availableNow=True).start()
+    )
+
+
+def latest(spark: SparkSession, schema: T.StructType, key: str, out: str) -> DataFrame:
+    """The newest row of each key that ``keep_latest`` has written."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(out)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*schema.fieldNames()), "batch_id").alias("r")).select("r.*")
+
+
 def write_stream(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return (
         df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
