@@ -19,7 +19,7 @@ from granthi import lexicons as lx
 from granthi.functions.text import (
     QUERY_SYNTAX, gazette_numbers, identifiers, search_tokens, split_words, standard_numbers,
 )
-from granthi.operators.index import corpus_stats, token_arrays
+from granthi.operators.index import corpus_stats, postings, token_arrays
 from granthi.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, broadcast_if_small, fits_broadcast
 
 # Functions that run in Python workers travel with the task: workers need no package.
@@ -105,18 +105,68 @@ def bm25_scores(passages: DataFrame, queries: DataFrame,
     """BM25 of every (query, chunk) pair that shares a phrase: query_id, chunk_id, score."""
     tokens = token_arrays(passages, list(weights))
     phrases = query_terms(queries)
-    # One small job: the phrase lengths in use and whether the phrases may be broadcast.
+    small, lengths = _measured(phrases)
+    return _bm25(phrase_matches(tokens, phrases, weights, lengths or [1], small), corpus_stats(tokens), phrases, small)
+
+
+def _measured(phrases: DataFrame) -> tuple[bool, list[int]]:
+    """One small job: whether the phrases (with their gains) may be broadcast, and the lengths in use."""
     n_phrases, size, lengths = phrases.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("phrase") + 16), F.lit(0)),
+        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("phrase") + 40), F.lit(0)),
         F.sort_array(F.collect_set(F.size("terms"))),
     ).first()
-    small = n_phrases <= BROADCAST_MAX_ROWS and size <= BROADCAST_MAX_BYTES
-    matches = phrase_matches(tokens, phrases, weights, lengths or [1], small)
+    return n_phrases <= BROADCAST_MAX_ROWS and size <= BROADCAST_MAX_BYTES, lengths
+
+
+def stored_matches(postings: DataFrame, doc_len: DataFrame, phrases: DataFrame, weights: dict[str, float],
+                   small: bool) -> DataFrame:
+    """The same as ``phrase_matches`` from stored postings: no text and no token array is read.
+
+    A phrase of n tokens occurs where the postings of all its tokens agree on a start.
+    """
+    terms = phrases.select("phrase", "terms").distinct().select("phrase", F.size("terms").alias("n"),
+                                                                F.posexplode("terms").alias("offset", "term"))
+    held = postings.filter(F.col("col").isin(list(weights))).join(F.broadcast(terms) if small else terms, "term")
+    weight = F.lit(0.0)
+    for column, w in weights.items():
+        weight = F.when(F.col("col") == column, F.lit(float(w))).otherwise(weight)
+    single = held.filter("n = 1").select("phrase", "chunk_id", weight.alias("w"))
+    runs = (
+        held.filter("n > 1").groupBy("phrase", "n", "chunk_id", "col", (F.col("pos") - F.col("offset")).alias("start"))
+        .count().filter(F.col("count") == F.col("n")).select("phrase", "chunk_id", weight.alias("w"))
+    )
+    return (
+        single.union(runs).groupBy("chunk_id", "phrase").agg(F.sum("w").alias("f"))
+        .join(doc_len.select("chunk_id", "dl"), "chunk_id")
+    )
+
+
+def keyword_index(passages: DataFrame, weights: dict[str, float] = lx.PASSAGE_WEIGHTS) -> dict[str, DataFrame]:
+    """What a keyword search reads: postings, doc_len and corpus_stats, to be written once."""
+    tokens = token_arrays(passages, list(weights))
+    return {"postings": postings(tokens, list(weights)), "doc_len": tokens.select("chunk_id", "dl"),
+            "corpus_stats": corpus_stats(tokens)}
+
+
+def indexed_search(index: dict[str, DataFrame], queries: DataFrame, k: int,
+                   weights: dict[str, float] = lx.PASSAGE_WEIGHTS) -> DataFrame:
+    """BM25 top-k over a written index: query_id, chunk_id, score, rank."""
+    def run(asked: DataFrame) -> DataFrame:
+        phrases = query_terms(asked)
+        small, _ = _measured(phrases)
+        matches = stored_matches(index["postings"], index["doc_len"], phrases, weights, small)
+        return top_k(_bm25(matches, index["corpus_stats"], phrases, small), k)
+
+    return per_distinct_text(queries, run)
+
+
+def _bm25(matches: DataFrame, stats: DataFrame, phrases: DataFrame, small: bool) -> DataFrame:
+    """Scores from matches (phrase, chunk_id, f, dl) and one row of statistics."""
     # Reads the same columns as the scoring branch, so both branches reuse one shuffle.
     frequency = matches.groupBy("phrase").agg(
         F.count_if((F.col("f") > 0) & (F.col("dl") > 0)).alias("df")
     )
-    stats = F.broadcast(corpus_stats(tokens))
+    stats = F.broadcast(stats)
     idf = F.greatest(
         F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(lx.IDF_FLOOR)
     )

@@ -138,6 +138,7 @@ fused AS (SELECT query_id, chunk_id, coalesce(1.0::DOUBLE / (60 + kw.rank), 0) +
 
 ORACLES["bm25_topk"] = f"""WITH {PASSAGES}, {QUERIES}, {bm25('queries', 'passages', lx.PASSAGE_WEIGHTS)}, {ranked('scores', lx.TOP_K, 'hits')}
 SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits"""
+ORACLES["indexed_bm25_topk"] = ORACLES["bm25_topk"]
 ORACLES["dense_topk"] = f"""WITH {VECTORS}, {DENSE}, {ranked('dense', lx.TOP_K, 'hits')}
 SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits"""
 ORACLES["hybrid_topk"] = HYBRID + " SELECT query_id, rank, chunk_id, round(score, 6) AS score, keyword_rank, semantic_rank FROM hybrid"

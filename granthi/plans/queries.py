@@ -354,6 +354,16 @@ def bm25_topk(spark, sf):
     return plain(hits.select("query_id", "rank", "chunk_id", "score"))
 
 
+@query
+def indexed_bm25_topk(spark, sf):
+    """The index is built and written; the search reads nothing else."""
+    root = _scratch(spark, "keyword-index")
+    tables = retrieval.keyword_index(d.passages(spark, sf))
+    src.write_index(tables, root)
+    hits = retrieval.indexed_search(src.read_index(spark, root, list(tables)), d.benchmark_queries(spark, sf), lx.TOP_K)
+    return plain(hits.select("query_id", "rank", "chunk_id", "score"))
+
+
 @query
 def dense_topk(spark, sf):
     asked = d.vector_queries(spark, sf).where("embedding is not null")

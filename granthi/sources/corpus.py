@@ -164,8 +164,13 @@ def write_index(tables: dict[str, DataFrame], root: str) -> None:
         out.parquet(f"{root.rstrip('/')}/{name}")
 
 
+def read_index(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
+    """Tables of a written index."""
+    return {name: spark.read.parquet(f"{root.rstrip('/')}/{name}") for name in names}
+
+
 __all__ = [
     "explode_pages", "full_golden", "golden_cases", "identifier_golden", "latest_meta", "load_tariff",
-    "meta_value", "read_files", "read_golden", "read_provenance_csv", "source_urls", "table",
+    "meta_value", "read_files", "read_golden", "read_index", "read_provenance_csv", "source_urls", "table",
     "with_path_parts", "write_index",
 ]

@@ -75,3 +75,20 @@ def test_hashed_vectors_use_all_slots(spark):
     text = " ".join(f"w{i}" for i in range(20000))
     vector = spark.createDataFrame([(text,)], "text string").select(index.hashed_vector(F.col("text"), 1024)).first()[0]
     assert len(vector) == 1024 and sum(x > 0 for x in vector) > 1000
+
+
+def test_search_over_the_written_index(spark, tmp_path):
+    from granthi.sources import corpus
+
+    passages = spark.createDataFrame(
+        [(1, "red zinc IS 302 part", "t", "c"), (2, "zinc red red", "t zinc", "c"), (3, "blue", None, None), (4, "302 is red zinc", "x", "c")],
+        "chunk_id long, text string, title string, category string")
+    weights = {"text": 1.0, "title": 0.5}
+    asked = spark.createDataFrame([(1, "IS 302 zinc"), (2, "red red"), (3, ""), (4, "IS 302 zinc")], "query_id long, text string")
+    tables = retrieval.keyword_index(passages, weights)
+    corpus.write_index(tables, str(tmp_path))
+    stored = corpus.read_index(spark, str(tmp_path), list(tables))
+    found = retrieval.indexed_search(stored, asked, 3, weights)
+    plain = retrieval.keyword_search(passages, asked, 3, weights)
+    key = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in df.collect())
+    assert key(found) == key(plain) and key(found)
