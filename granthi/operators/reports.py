@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granthi import lexicons as lx
+from granthi.session import broadcast_if_small, materialise
 
 
 def category_stats(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -187,7 +188,8 @@ def admit_calls(calls: DataFrame, limit: int = lx.DAILY_CALL_LIMIT, enabled: boo
     """Whether each call is admitted: the n-th call of a day is, while n is within the limit."""
     if not enabled or limit <= 0:
         return calls.select(F.to_date("ts").alias("date"), "ts", "id", F.lit(False).alias("admitted"))
-    last = admission_threshold(calls, limit).select("date", "last")
+    # One row per day, measured before it is sent to the calls: they are not gathered by day.
+    last = broadcast_if_small(materialise(admission_threshold(calls, limit).select("date", "last"), "thresholds"))
     return calls.withColumn("date", F.to_date("ts")).join(last, "date").select(
         "date", "ts", "id", (F.struct("ts", "id") <= F.col("last")).alias("admitted")
     )

@@ -77,9 +77,14 @@ def explode_pages(docs: DataFrame, keys: list[str], text: str = "text") -> DataF
 
 
 def read_provenance_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The download log as raw rows with their line order."""
+    """The download log as raw rows with their line order: by file name, place in the file, and line.
+
+    Partitions come in order of size when there are several files, so the running number alone is no order.
+    """
     raw = spark.read.schema(PROVENANCE_SCHEMA).option("header", True).option("encoding", "UTF-8").csv(path)
-    return raw.withColumn("line_id", F.monotonically_increasing_id())
+    return raw.withColumn("line_id", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line")))
 
 
 def source_urls(log: DataFrame) -> DataFrame:
@@ -92,6 +97,16 @@ def source_urls(log: DataFrame) -> DataFrame:
     )
 
 
+def write_matrix(matrix: DataFrame, path: str) -> None:
+    """Replace the whole code matrix."""
+    matrix.write.mode("overwrite").parquet(path)
+
+
+def write_meta(entries: DataFrame, path: str) -> None:
+    """Append run metadata (key, value, ts); ``latest_meta`` reads the newest value of a key."""
+    entries.select("key", "value", "ts").write.mode("append").parquet(path)
+
+
 def load_tariff(raw: DataFrame) -> DataFrame:
     """Clean a raw matrix; a missing column is an error that names it."""
     missing = [src for src, _ in lx.TARIFF_COLUMNS if src not in raw.columns]
@@ -172,5 +187,5 @@ def read_index(spark: SparkSession, root: str, names: list[str]) -> dict[str, Da
 __all__ = [
     "explode_pages", "full_golden", "golden_cases", "identifier_golden", "latest_meta", "load_tariff",
     "meta_value", "read_files", "read_golden", "read_index", "read_provenance_csv", "source_urls", "table",
-    "with_path_parts", "write_index",
+    "with_path_parts", "write_index", "write_matrix", "write_meta",
 ]

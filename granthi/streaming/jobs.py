@@ -15,6 +15,7 @@ from granthi import lexicons as lx
 from granthi.operators.chunking import chunk_pages, number_chunks
 from granthi.operators.index import Embedder, embed_missing
 from granthi.operators.pages import clean_pages, with_page_status
+from granthi.session import broadcast_if_small
 from granthi.sources.corpus import explode_pages
 
 CHUNK_SCHEMA = T.StructType([
@@ -146,7 +147,7 @@ def admit_calls(stream: DataFrame, out: str, state: str, checkpoint: str,
         )
         last = fits.groupBy("date").agg(
             F.max(F.struct("ts", "id")).alias("last"), F.count(F.lit(1)).alias("now"))
-        decided = calls.join(last.select("date", "last"), "date", "left").select(
+        decided = calls.join(broadcast_if_small(last.select("date", "last")), "date", "left").select(
             "date", "ts", "id",
             F.coalesce(F.struct("ts", "id") <= F.col("last"), F.lit(False)).alias("admitted"),
         )

@@ -92,3 +92,35 @@ def test_search_over_the_written_index(spark, tmp_path):
     plain = retrieval.keyword_search(passages, asked, 3, weights)
     key = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in df.collect())
     assert key(found) == key(plain) and key(found)
+
+
+def test_log_lines_keep_their_order_over_files(spark, tmp_path):
+    from granthi.sources import corpus
+
+    head = ",".join(f.name for f in corpus.PROVENANCE_SCHEMA)
+    name, url = [f.name for f in corpus.PROVENANCE_SCHEMA].index("filename"), [f.name for f in corpus.PROVENANCE_SCHEMA].index("source_url")
+
+    def line(file, where):
+        cells = [""] * len(corpus.PROVENANCE_SCHEMA)
+        cells[name], cells[url] = file, where
+        return ",".join(cells)
+
+    (tmp_path / "a.csv").write_text("\n".join([head, line("x", "first")]) + "\n")
+    (tmp_path / "b.csv").write_text("\n".join([head, line("x", "second"), *(line(f"y{i}", "u") for i in range(2000))]) + "\n")
+    (tmp_path / "c.csv").write_text("\n".join([head, line("x", "third"), line("x", "last"), line("z", "u")]) + "\n")
+    got = {r.filename: r.source_url for r in corpus.source_urls(corpus.read_provenance_csv(spark, str(tmp_path))).collect()}
+    assert got["x"] == "last"
+
+
+def test_metadata_and_matrix_are_written(spark, tmp_path):
+    from granthi.sources import corpus
+
+    schema = "key string, value string, ts timestamp"
+    corpus.write_meta(spark.sql("SELECT 'k' AS key, 'old' AS value, timestamp '2024-01-01' AS ts"), f"{tmp_path}/meta")
+    corpus.write_meta(spark.sql("SELECT 'k' AS key, 'new' AS value, timestamp '2024-01-02' AS ts"), f"{tmp_path}/meta")
+    asked = spark.createDataFrame([("k",), ("none",)], "key string")
+    got = corpus.meta_value(spark.read.schema(schema).parquet(f"{tmp_path}/meta"), asked, "-")
+    assert {(r.key, r.value) for r in got.collect()} == {("k", "new"), ("none", "-")}
+    for rows in ([("1", "a")], [("2", "b")]):
+        corpus.write_matrix(spark.createDataFrame(rows, "hsn_cd string, product string"), f"{tmp_path}/matrix")
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/matrix").collect()] == [("2", "b")]
