@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -105,6 +106,14 @@ def steps(sizes: list[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]
         yield begin, len(sizes)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and what one job leaves would add to the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``step`` over each Arrow batch, in place: no shuffle, nothing kept between batches."""
 
@@ -112,6 +121,7 @@ def map_batches(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], Ite
         for batch in batches:
             if batch.num_rows:
                 yield from step(batch)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -160,6 +170,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
     if held:
         rows = pa.Table.from_batches(held).combine_chunks()
         yield rows, cuts(rows)
+    give_back()
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
