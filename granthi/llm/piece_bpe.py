@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from granthi.llm.common import map_batches
 
 BLANK = "▁"
-REMEMBERED_UNITS = 500_000
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_UNITS = 300_000
+REMEMBERED_PAIRS = 400_000
 REMEMBERED_LENGTH = 64
 NEVER = float("inf")
 
