@@ -36,7 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     classes = materialise(jaccard_join.similar_documents(docs).filter(F.col("doc_id").isNotNull()), "classes")
     first = classes.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id").select(*COLUMNS)
+    # The ids grow with the documents, so they are never broadcast: the same plan at every size.
+    kept = docs.join(first.hint("merge"), "doc_id").select(*COLUMNS)
     # Ids are unique unless rows are repeated; only then do the rows have to be compared.
     if not classes.groupBy("doc_id").count().filter("count > 1").isEmpty():
         kept = kept.groupBy("doc_id").agg(*[F.min_by(c, F.xxhash64("text")).alias(c) for c in COLUMNS[1:]])
