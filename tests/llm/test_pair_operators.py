@@ -5,10 +5,13 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -297,6 +300,27 @@ def test_gradients_agree_with_differences():
         assert grads[name][at] == pytest.approx((up - down) / 2e-4, rel=2e-2, abs=1e-3)
 
 
+def test_output_tables_take_every_token_with_its_context():
+    g = random.Random(4)
+    texts = [" ".join(g.choices(["tree", "of", "the", "house", "unbelievable"], k=k)) for k in (700, 30, 1)] + [None]
+    coder = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    model = attention_lm.AttentionModel(coder.get_piece_size())
+    model.emit = np.random.default_rng(4).dirichlet(np.ones(len(model.emit)), attention_lm.STATES).T.astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(4), pa.int64())], ["text", "h"])
+    sent = SimpleNamespace(value=(model, coder.serialized_model_proto(), np.zeros(0, np.uint64)))
+    got = np.zeros(model.emit.shape)
+    for part in attention_lm._gather(sent, len(model.emit))(iter([batch])):
+        got[np.asarray(part.column(0))] += np.asarray(part.column(1).flatten()).reshape(-1, attention_lm.STATES)
+    s = attention_lm.stream(common.text_bytes(batch.column(0)), coder)
+    windows = attention_lm.Windows(s, coder.bos_id())
+    inputs, own, targets, scored = windows.take(np.arange(len(windows.start)))
+    joint = model.forward(inputs, own)[0] * model.emit[targets]
+    want = np.zeros(model.emit.shape)
+    np.add.at(want, targets[scored], (joint / joint.sum(axis=-1, keepdims=True))[scored])
+    assert got.sum(axis=1) == pytest.approx(np.bincount(s.ids, minlength=len(got)), abs=1e-2)
+    assert got == pytest.approx(want, abs=1e-2)
+
+
 def test_model_edges(odd):
     learned = attention_lm.fit(odd, F.col("doc_id") < 6, MODEL)
     rows = attention_lm.score(odd, learned).collect()
