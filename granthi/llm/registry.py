@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granthi.llm import (attention_lm, embedding_dups, html_text, jaccard_join, lang_id, mixing, piece_bpe, substring_dedup,
@@ -30,27 +30,50 @@ TOOLS = [("search", "query", "string", True), ("search", "limit", "integer", Tru
          ("note", "query", "string", True), ("note", "limit", "string", False)]
 
 
-def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as tool use: assistant turns are calls, the turns after them results.
-
-    The number of words of a turn chooses the tool, so that some arguments don't fit their schema; a call
-    needs the calls at a half and at a third of its turn.
-    """
-    turns = table(spark, sf_dir, "conversations").withColumn("words", mixing.word_count("text"))
+def tool_use(turns: DataFrame, query: Column, is_result: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, results and schemas of conversations, with ``query`` as the argument of that name."""
+    turns = turns.withColumn("words", mixing.word_count("text"))
     by_turn = lambda c: F.concat(F.lit("call-"), c.cast("string"))
     tool = F.element_at(F.array(*map(F.lit, ("search", "count", "note", "other"))),
                         (F.pmod("words", F.lit(4)) + 1).cast("int"))
     arguments = F.to_json(F.struct(
-        F.col("words").alias("limit"), F.when(F.pmod("words", F.lit(3)) > 0, F.substring("text", 1, 40)).alias("query"),
+        F.col("words").alias("limit"), F.when(F.pmod("words", F.lit(3)) > 0, query).alias("query"),
         F.when(F.pmod("words", F.lit(5)) == 0, F.lit(True)).alias("exact")))
     needs = lambda n: by_turn(F.floor(F.col("turn") / n))
     calls = turns.filter("role = 'assistant'").select(
         "conv_id", by_turn(F.col("turn")).alias("call_id"), F.col("turn").alias("place"), tool.alias("name"),
         arguments.alias("arguments"), F.when(F.col("turn") > 0, F.array(needs(2), needs(3))).alias("depends"))
-    results = turns.filter("role <> 'assistant'").select(
+    results = turns.filter(is_result).select(
         "conv_id", by_turn(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("place"), F.col("text").alias("content"))
     rows = ", ".join(f"('{name}', '{field}', '{kind}', {required})" for name, field, kind, required in TOOLS)
-    return tool_calls.link(calls, results, spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, field, kind, required)"))
+    return calls, results, turns.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(name, field, kind, required)")
+
+
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tool use: assistant turns are calls, the turns after them results.
+
+    The number of words of a turn chooses the tool, so that some arguments don't fit their schema; a call
+    needs the calls at a half and at a third of its turn. As in the SQL twin the argument ``query`` is the beginning of
+    the text and results without a call are left out; ``op3_whole_turns`` has both whole.
+    """
+    return tool_calls.link(*tool_use(table(spark, sf_dir, "conversations"), F.substring("text", 1, 40), F.col("role") != "assistant"))
+
+
+def op3_whole_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op3_tool_calls`` with the whole text as argument; results without a call and calls without an id are rows too.
+
+    Turns without a role are results. ``status`` tells the rows apart: call, orphan result, call without id.
+    """
+    calls, results, schemas = tool_use(
+        table(spark, sf_dir, "conversations"), F.col("text"), ~F.col("role").eqNullSafe(F.lit("assistant")))
+    linked = tool_calls.link(calls, results, schemas).withColumn("status", F.lit("call"))
+    alone = tool_calls.orphans(calls, results).select(
+        *tool_calls.KEY, "place", F.lit("orphan result").alias("status"),
+        F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")), {"ignoreNullFields": "false"}).alias("json"))
+    no_id = calls.filter(F.col("conv_id").isNull() | F.col("call_id").isNull()).select(
+        *tool_calls.KEY, "place", "name", F.lit(False).alias("has_result"), F.lit("call without id").alias("status"),
+        F.to_json(F.struct("arguments", F.col("call_id").alias("id"), "name"), {"ignoreNullFields": "false"}).alias("json"))
+    return linked.unionByName(alone, allowMissingColumns=True).unionByName(no_id, allowMissingColumns=True)
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +118,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op3_tool_calls": op3_tool_calls,
+    "op3_whole_turns": op3_whole_turns,
     "op4_html_text": op4_html_text,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_jaccard_join": op6_jaccard_join,

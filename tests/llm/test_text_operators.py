@@ -1,6 +1,7 @@
 """Language ID, mixing, SentencePiece, HTML, tool calls: models, round trips and edge cases."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -205,6 +206,29 @@ def test_tool_calls(spark):
     assert tool_calls.link(calls.limit(0), results.limit(0), schemas.limit(0)).count() == 0
 
 
+def test_whole_turns_are_rows(spark, tmp_path):
+    g = random.Random(3)
+    text = lambda: " ".join(g.choices(["find", "the", '"old"', "bill"], k=g.randint(30, 300)))
+    roles = ["system", "user", "assistant", "user", "user", "assistant", "assistant", None, None, "assistant"]
+    turns = [(c, i, role, text()) for c in (1, 2, 3) for i, role in enumerate(roles)] + [(None, 4, "assistant", "x y"), (9, 0, None, None)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = entry.queries()["op3_whole_turns"](spark, str(tmp_path)).collect()
+    called = {(c, i) for c, i, role, _ in turns if role == "assistant" and c is not None}
+    at = {(r.conv_id, r.place, r.status): json.loads(r.json) for r in rows}
+    assert len(at) == len(rows)
+    assert {k[:2] for k in at if k[2] == "call"} == called and (None, 4, "call without id") in at
+    alone = {(c, i): t for c, i, role, t in turns if role != "assistant" and (c, i - 1) not in called}
+    assert {k[:2]: v["result"] for k, v in at.items() if k[2] == "orphan result"} == alone
+    linked = {(c, i - 1): t for c, i, role, t in turns if role != "assistant" and (c, i - 1) in called}
+    asked = 0
+    for c, i, role, t in turns:
+        if (c, i) in called:
+            got = at[c, i, "call"]
+            assert got["arguments"].get("query") == (t if len(t.split()) % 3 else None) and got["result"] == linked.get((c, i))
+            asked += "query" in got["arguments"]
+    assert asked
+
+
 def test_fold_is_crc32(spark):
     rows = spark.range(50).select("id", fold("id", 7).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 7 for r in rows)
