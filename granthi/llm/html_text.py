@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from granthi.llm.common import map_batches, steps
 
 SAMPLE_PAGES = 300
+SAMPLE_RUNS = 1 << 16
 FRAMES = 900
 PAGE_STEP = 4 << 20
 
@@ -418,16 +419,29 @@ def fit(texts: list[str], seed: int = 0) -> BoostedTrees:
     return trees
 
 
-def extract(pages: DataFrame, key: tuple[str, ...] = ("page_id", "url"), source: str = "html",
-            chooser: str = "page_id") -> DataFrame:
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    runs = [run for s in batch.column(0).to_pylist() for _, run in parse(s).runs if len(run) > 20]
+    yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string())], ["run"])
+
+
+def sampled_runs(pages: DataFrame, key: tuple[str, ...], source: str) -> list[str]:
+    """Text runs of about ``SAMPLE_PAGES`` pages, at most ``SAMPLE_RUNS``, in order of their hash.
+
+    Pages are chosen by the hash of all columns and equal ones count once, so no id, null or repeated, brings many pages.
+    """
+    span = 1 << 30
+    chosen = F.xxhash64(*[F.col(c).cast("string") for c in key], F.col(source))
+    n = pages.agg(F.approx_count_distinct(chosen)).first()[0]
+    sample = pages.filter(F.pmod(chosen, F.lit(span)) < F.lit(int(min(1.0, SAMPLE_PAGES / max(n, 1)) * span))) \
+        .select(*key, source).distinct()
+    return [r.run for r in map_batches(sample.select(source), "run string", _runs)
+            .orderBy(F.xxhash64("run"), "run").limit(SAMPLE_RUNS).collect()]
+
+
+def extract(pages: DataFrame, key: tuple[str, ...] = ("page_id", "url"), source: str = "html") -> DataFrame:
     """The columns ``key`` with text and n_chars. The trees (a few kilobytes) go to the workers once; map-only."""
     spark = pages.sparkSession
-    n = pages.count()
-    span = 1 << 30
-    sample = [r[0] for r in pages.filter(
-        F.pmod(F.xxhash64(F.col(chooser).cast("string")), F.lit(span)) < F.lit(int(min(1.0, SAMPLE_PAGES / max(n, 1)) * span)))
-        .select(F.col(source)).collect()]
-    texts = [run for s in sample for _, run in parse(s).runs if len(run) > 20]
+    texts = sampled_runs(pages, key, source)
     sent = spark.sparkContext.broadcast(fit(texts))
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

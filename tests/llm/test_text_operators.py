@@ -182,6 +182,17 @@ def test_decoding_keeps_no_child_of_a_dropped_element():
     assert kept.tolist() == [True, False, False, False, True, True]
 
 
+def test_page_sample_is_bounded_for_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "SAMPLE_PAGES", 20)
+    pages = spark.range(2000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("page_id"), F.lit("u").alias("url"),
+        F.concat(F.lit("<p>a paragraph of its own, number "), F.when(F.col("id") < 1500, F.col("id")).otherwise(0), F.lit("</p>")).alias("html"))
+    runs = html_text.sampled_runs(pages, ("page_id", "url"), "html")
+    assert 3 <= len(runs) <= 60
+    monkeypatch.setattr(html_text, "SAMPLE_RUNS", 2)
+    assert len(html_text.sampled_runs(pages, ("page_id", "url"), "html")) <= 2
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([
         (1, "a", 0, "search", '{"query": "x", "limit": 3}', None), (1, "b", 1, "search", '{"limit": "3", "z": {"k": 1, "a": [2]}}', ["a"]),
