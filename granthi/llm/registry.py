@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthi.llm import (attention_lm, embedding_dups, html_text, jaccard_join, lang_id, mixing, piece_bpe, substring_dedup,
+from granthi.llm import (attention_lm, conversation_repair, embedding_dups, html_text, jaccard_join, lang_id, mixing, piece_bpe, substring_dedup,
                          tool_calls, top_products)
 from granthi.llm.common import fold, table
 
@@ -114,6 +114,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest edits that bring every damaged conversation into order."""
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
@@ -126,6 +131,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_lm_score": op9_lm_score,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 SQL: dict[str, str] = {
@@ -225,4 +231,89 @@ SQL: dict[str, str] = {
                || coalesce(',"query":' || to_json(query)::VARCHAR, '') || '},"id":"call-' || turn || '","level":' || level
                || ',"name":"' || name || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
         FROM linked""",
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE given AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s
+            FROM conversations
+        ), summed AS (
+            SELECT *, xor(4294967295::BIGINT, list_reduce(
+                list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT),
+                lambda c, b: list_reduce([0::BIGINT, 1, 2, 3, 4, 5, 6, 7],
+                    lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)),
+                4294967295::BIGINT)) % 20 AS kind
+            FROM given
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM summed WHERE kind <> 0
+        ), placed AS (
+            SELECT *, row_number() OVER w AS k, lag(role) OVER w AS before,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+                   NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+                   NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open_end
+            FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+        ), faults AS (
+            SELECT *, NOT blank AND seen AS duplicate, NOT blank AND NOT seen AND open_end AS truncated FROM placed
+        ), counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+                   count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND before[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n
+            FROM faults GROUP BY conv_id
+        ), best AS (
+            SELECT conv_id, 0::BIGINT AS k, {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]} AS b0,
+                   NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]) AS b1, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]) AS b2,
+                   NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]) AS b3
+            FROM counts
+            UNION ALL
+            SELECT conv_id, k,
+                   d0,
+                   list_sort(list_filter([d1, CASE WHEN r = 's' THEN k0 END], lambda x: x IS NOT NULL))[1],
+                   list_sort(list_filter([d2, CASE WHEN r = 'u' THEN k0 END, CASE WHEN r = 'u' THEN k1 END,
+                                          CASE WHEN r = 'u' THEN k3 END, r0, r1, r3], lambda x: x IS NOT NULL))[1],
+                   list_sort(list_filter([d3, CASE WHEN r = 'a' THEN k2 END, r2], lambda x: x IS NOT NULL))[1]
+            FROM (
+                SELECT conv_id, k, r,
+                       CASE WHEN s0 IS NOT NULL THEN {'c': s0.c + 2, 'a': s0.a || 'D', 't': s0.t} END AS d0,
+                       CASE WHEN s1 IS NOT NULL THEN {'c': s1.c + 2, 'a': s1.a || 'D', 't': s1.t} END AS d1,
+                       CASE WHEN s2 IS NOT NULL THEN {'c': s2.c + 2, 'a': s2.a || 'D', 't': s2.t} END AS d2,
+                       CASE WHEN s3 IS NOT NULL THEN {'c': s3.c + 2, 'a': s3.a || 'D', 't': s3.t} END AS d3,
+                       CASE WHEN s0 IS NOT NULL AND f THEN {'c': s0.c + w, 'a': s0.a || 'K', 't': list_append(s0.t, line)} END AS k0,
+                       CASE WHEN s1 IS NOT NULL AND f THEN {'c': s1.c + w, 'a': s1.a || 'K', 't': list_append(s1.t, line)} END AS k1,
+                       CASE WHEN s2 IS NOT NULL AND f THEN {'c': s2.c + w, 'a': s2.a || 'K', 't': list_append(s2.t, line)} END AS k2,
+                       CASE WHEN s3 IS NOT NULL AND f THEN {'c': s3.c + w, 'a': s3.a || 'K', 't': list_append(s3.t, line)} END AS k3,
+                       CASE WHEN s0 IS NOT NULL AND f THEN {'c': s0.c + w + 1, 'a': s0.a || 'R', 't': list_append(s0.t, 'user:' || text)} END AS r0,
+                       CASE WHEN s1 IS NOT NULL AND f THEN {'c': s1.c + w + 1, 'a': s1.a || 'R', 't': list_append(s1.t, 'user:' || text)} END AS r1,
+                       CASE WHEN s2 IS NOT NULL AND f THEN {'c': s2.c + w + 1, 'a': s2.a || 'R', 't': list_append(s2.t, 'assistant:' || text)} END AS r2,
+                       CASE WHEN s3 IS NOT NULL AND f THEN {'c': s3.c + w + 1, 'a': s3.a || 'R', 't': list_append(s3.t, 'user:' || text)} END AS r3
+                FROM (
+                    SELECT conv_id, k, r, f, w, line, text, s0, s1, s2,
+                           list_sort(list_filter([s3, {'c': s2.c + 5, 'a': s2.a || 'I', 't': list_append(s2.t, 'assistant:')}],
+                                                 lambda x: x IS NOT NULL))[1] AS s3
+                    FROM (
+                        SELECT b.conv_id, f.k, f.role[1] AS r, NOT (blank OR duplicate) AS f, CASE WHEN truncated THEN 5 ELSE 0 END AS w,
+                               role || ':' || text AS line, text, b0 AS s0, b1 AS s1, b3 AS s3,
+                               list_sort(list_filter([b2,
+                                   CASE WHEN b0 IS NOT NULL THEN {'c': b0.c + 5, 'a': b0.a || 'I', 't': list_append(b0.t, 'user:')} END,
+                                   CASE WHEN b1 IS NOT NULL THEN {'c': b1.c + 5, 'a': b1.a || 'I', 't': list_append(b1.t, 'user:')} END,
+                                   CASE WHEN b3 IS NOT NULL THEN {'c': b3.c + 5, 'a': b3.a || 'I', 't': list_append(b3.t, 'user:')} END
+                               ], lambda x: x IS NOT NULL))[1] AS s2
+                        FROM best b JOIN faults f ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND f.k = b.k + 1
+                    )
+                )
+            )
+        ), ends AS (
+            SELECT b.conv_id, list_sort(list_filter([b0, b3,
+                       CASE WHEN b2 IS NOT NULL THEN {'c': b2.c + 5, 'a': b2.a || 'I', 't': list_append(b2.t, 'assistant:')} END,
+                       CASE WHEN b1 IS NOT NULL THEN {'c': b1.c + 10, 'a': b1.a || 'II', 't': b1.t || ['user:', 'assistant:']} END
+                   ], lambda x: x IS NOT NULL))[1] AS e
+            FROM best b JOIN counts c ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.k = c.n
+        )
+        SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.c, 0)::BIGINT AS cost,
+               coalesce(e.a, '') AS audit, sha256(coalesce(array_to_string(e.t, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) g
+        LEFT JOIN counts c ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN ends d ON g.conv_id IS NOT DISTINCT FROM d.conv_id""",
 }
