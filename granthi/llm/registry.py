@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthi.llm import (attention_lm, conversation_repair, embedding_dups, html_text, jaccard_join, lang_id, mixing, piece_bpe, substring_dedup,
+from granthi.llm import (attention_lm, conversation_repair, embedding_dups, html_text, jaccard_join, lang_id, mixing, periodic_runs, piece_bpe, substring_dedup,
                          tool_calls, top_products)
 from granthi.llm.common import fold, table
 
@@ -114,6 +114,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, a tenth of which get a planted period."""
+    return periodic_runs.find_runs(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest edits that bring every damaged conversation into order."""
     return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
@@ -131,6 +136,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_lm_score": op9_lm_score,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
