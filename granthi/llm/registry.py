@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthi.llm import (attention_lm, conversation_repair, embedding_dups, html_text, jaccard_join, lang_id, mixing, periodic_runs, piece_bpe, substring_dedup,
+from granthi.llm import (attention_lm, conversation_repair, embedding_dups, html_text, jaccard_join, lang_id, mixing, periodic_runs, piece_bpe, run_index, substring_dedup,
                          tool_calls, top_products)
 from granthi.llm.common import fold, table
 
@@ -114,6 +114,12 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of 50-byte strings that a document with a smaller id has."""
+    return run_index.remove_matches(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of repeated words in every document, a tenth of which get a planted period."""
     return periodic_runs.find_runs(table(spark, sf_dir, "documents"))
@@ -136,6 +142,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_lm_score": op9_lm_score,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_run_index": op11_run_index,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -237,6 +244,30 @@ SQL: dict[str, str] = {
                || coalesce(',"query":' || to_json(query)::VARCHAR, '') || '},"id":"call-' || turn || '","level":' || level
                || ',"name":"' || name || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
         FROM linked""",
+    "op11_run_index": r"""
+        WITH docs AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+        ), windows AS (
+            SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM docs
+        ), cut AS (
+            SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS w FROM windows
+        ), firsts AS (
+            SELECT w, min(doc_id) AS first FROM cut GROUP BY w HAVING min(doc_id) < max(doc_id)
+        ), marked AS (
+            SELECT doc_id, i, i > 50 + lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS new FROM cut JOIN firsts USING (w) WHERE doc_id > first
+        ), spans AS (
+            SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (
+                SELECT doc_id, i, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked)
+            GROUP BY doc_id, g
+        ), lists AS (
+            SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM spans GROUP BY doc_id
+        )
+        SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda j:
+                   substring(h, (2 * CASE WHEN j = 0 THEN 0 ELSE b[j] END + 1)::BIGINT,
+                             (2 * (CASE WHEN j = len(a) THEN n ELSE a[j + 1] END - CASE WHEN j = 0 THEN 0 ELSE b[j] END))::BIGINT)), '') END))
+                   AS kept_sha256
+        FROM docs d LEFT JOIN lists USING (doc_id)""",
     "op13_conversation_repair": r"""
         WITH RECURSIVE given AS (
             SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
