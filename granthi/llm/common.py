@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granthi.session import materialise
+
 # Words of the contracts: runs of anything but blank, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,6 +30,26 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(modulus))
 
 
+def same(left: str, right: str) -> Column:
+    """Equality that the planner does not take for a join key, so that a join stays on the shuffle by document."""
+    return F.col(left).bitwiseXOR(F.col(right)) == 0
+
+
+def numbering(hashed: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """From (doc_id, hash of the text): what adds ``tag``, the number of a text among the different texts of its id, to such rows.
+
+    All texts but the first of an id, which are few or none, are written as a table.
+    """
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("hash")) - 1
+    others = materialise(hashed.select("doc_id", "hash").distinct().withColumn("tag", number).filter("tag > 0").toDF("id", "of", "tag"), "others")
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        joined = rows.join(others, (F.col("doc_id") == F.col("id")) & same("hash", "of"), "left")
+        return joined.withColumn("tag", F.coalesce("tag", F.lit(0))).drop("id", "of")
+
+    return numbered
+
+
 def spaces() -> np.ndarray:
     """True for the bytes that part words."""
     out = np.zeros(256, bool)

@@ -11,8 +11,9 @@ Groups: of the copies of an anchor or a window within one batch of rows only one
 others are already known to be repeated and travel under a key of their own. So a task gets at most one row per
 hash and batch, even when a third of all documents share a passage. The texts are shuffled once, by document.
 
-Null and empty texts have no words. Rows with the same document id count as one document (equal rows
-get equal results); rows with a null id take no part and are kept whole.
+Null and empty texts have no words. Rows with the same document id count as one document: equal places of it are one start,
+so equal rows don't remove each other's words and get equal results, and of different texts each has its own result. Rows
+with a null id take no part and are kept whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granthi.llm.common import U64, Rolling, local_index, map_batches, mix, steps, text_bytes, words_of
+from granthi.llm.common import U64, Rolling, local_index, map_batches, mix, numbering, same, steps, text_bytes, words_of
 from granthi.session import materialise
 
 WINDOW = 20
@@ -45,13 +46,19 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _later(hashes: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that have an equal one before them in this order, rows that are equal to any other)."""
+    """(rows that have an equal one before them in this order, rows that are equal to any other).
+
+    Rows that agree in hash and order with the first of their hash are as early as that one.
+    """
     place = np.lexsort((*order[::-1], *hashes[::-1])) if hashes.ndim > 1 else np.lexsort((*order[::-1], hashes))
     ordered = hashes[..., place]
     same = (ordered[..., 1:] == ordered[..., :-1]).reshape(-1, len(place) - 1).all(axis=0) if len(place) > 1 \
         else np.zeros(0, bool)
     later, shared = np.zeros(len(place), bool), np.zeros(len(place), bool)
     later[place[1:]] = same
+    if order:
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], ~same])[: len(place)], np.arange(len(place)), 0))
+        later[place] &= np.any([o[place] != o[place[first]] for o in order], axis=0)
     shared[place[1:]] |= same
     shared[place[:-1]] |= same
     return later, shared
@@ -63,8 +70,8 @@ def _fingerprints(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     words = [len(t.tobytes().split()) for t in texts]
     pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
     yield pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(words, pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
-        ["doc_id", "n_words", "f1", "f2"])
+        [batch.column(0), batch.column(2), pa.array(words, pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
+        ["doc_id", "hash", "n_words", "f1", "f2"])
 
 
 def _anchors(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -89,10 +96,10 @@ def _anchors(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Windows that hold a repeated anchor: (h1, hp = 32 bits of hash, known, 31 of place; doc_id)."""
-    texts, ids, anchors = text_bytes(batch.column(1)), np.asarray(batch.column(0)), batch.column(2)
+    """Windows that hold a repeated anchor: (h1, hp = 32 bits of hash, known, 31 of place; doc_id, tag)."""
+    texts, ids, anchors, tags = text_bytes(batch.column(1)), np.asarray(batch.column(0)), batch.column(2), np.asarray(batch.column(3))
     flat, offsets = np.asarray(anchors.values).astype(np.int64), np.asarray(anchors.offsets)
-    first, second, places, docs = [], [], [], []
+    first, second, places, docs, of = [], [], [], [], []
     for a, b in steps([len(t) for t in texts]):
         words, firsts = words_of(texts[a:b])
         row, place, size = local_index(firsts)
@@ -110,15 +117,16 @@ def _windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         second.append(_WINDOWS[1].spans(words, at, at + WINDOW) >> U64(32))
         places.append(place[at].astype(U64))
         docs.append(ids[a:b][row[at]])
+        of.append(tags[a:b][row[at]])
     if not first:
         return
-    h1, h2, at, doc = map(np.concatenate, (first, second, places, docs))
+    h1, h2, at, doc, tag = map(np.concatenate, (first, second, places, docs, of))
     later, _ = _later(np.stack([h1, h2]), doc, at)
     own = mix(doc.view(U64) + mix(at))
     h1, h2 = np.where(later, own, h1), np.where(later, own & U64(0xFFFFFFFF), h2)
     yield pa.RecordBatch.from_arrays(
-        [_signed(h1), _signed((h2 << U64(32)) | (later.astype(U64) << U64(31)) | at), pa.array(doc)],
-        ["h1", "hp", "doc_id"])
+        [_signed(h1), _signed((h2 << U64(32)) | (later.astype(U64) << U64(31)) | at), pa.array(doc), pa.array(tag)],
+        ["h1", "hp", "doc_id", "tag"])
 
 
 def _cut(untouched: bool):
@@ -160,19 +168,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     more = [f"__{i}" for i in range(len(keep))]
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"),
                         *[F.col(f"`{c}`").alias(m) for c, m in zip(keep, more)])
-    named = plain.filter(F.col("doc_id").isNotNull())
+    named = plain.filter(F.col("doc_id").isNotNull()).withColumn("hash", F.xxhash64("text"))
+    numbered = numbering(named)
     # The three joins with the texts are on this one shuffle: the same columns, so that the exchange is reused.
-    by_doc = named.repartition("doc_id")
-    prints = materialise(map_batches(named.select("doc_id", "text"), "doc_id long, n_words long, f1 long, f2 long",
-                                     _fingerprints), "prints")
+    by_doc = numbered(named.repartition("doc_id")).select("doc_id", "text", "tag", *more)
+    prints = materialise(numbered(map_batches(named.select("doc_id", "text", "hash"), "doc_id long, hash long, n_words long, f1 long, f2 long",
+                                              _fingerprints)), "prints")
     # Documents whose word sequence an earlier document has. Groups are reduced before they meet their members.
     groups = (prints.filter(F.col("n_words") >= WINDOW).groupBy("f1", "f2")
               .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     copies = (prints.join(groups, ["f1", "f2"]).filter(F.col("doc_id") > F.col("first"))
-              .select("doc_id").distinct().withColumn("copy", F.lit(True)))
+              .select(F.col("doc_id").alias("id"), F.col("tag").alias("of")).distinct().withColumn("copy", F.lit(True)))
     copies = materialise(copies, "copies")
 
-    marked = by_doc.join(copies, "doc_id", "left")
+    this_text = (F.col("doc_id") == F.col("id")) & same("tag", "of")
+    marked = by_doc.join(copies, this_text, "left").drop("id", "of")
     anchors = map_batches(marked.filter(F.col("copy").isNull()).select("doc_id", "text", *more), "key long, doc_id long", _anchors)
     # Dealt by the expression itself: a column for it would travel with every row.
     anchors = anchors.repartition(F.shiftrightunsigned("key", 17))
@@ -183,14 +193,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
         .filter((F.col("key").bitwiseAND(F.lit(KNOWN)) != 0) | F.col("before").isNotNull() | F.col("after").isNotNull())
         .groupBy("doc_id").agg(F.collect_set(F.col("key").bitwiseAND(F.lit(LAST_PLACE)).cast("int")).alias("anchors"))
     )
-    windows = map_batches(by_doc.join(repeated, "doc_id").select("doc_id", "text", "anchors", *more),
-                          "h1 long, hp long, doc_id long", _windows).repartition("h1")
+    windows = map_batches(by_doc.join(repeated, "doc_id").select("doc_id", "text", "anchors", "tag", *more),
+                          "h1 long, hp long, doc_id long, tag int", _windows).repartition("h1")
     among_equal = Window.partitionBy("h1", F.shiftrightunsigned("hp", 32)).orderBy("doc_id", "place")
     later = (
         windows.withColumn("place", F.col("hp").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
         .withColumn("rank", F.rank().over(among_equal))
         .filter((F.col("hp").bitwiseAND(F.lit(0x80000000)) != 0) | (F.col("rank") > 1))
-        .groupBy("doc_id").agg(F.collect_set("place").alias("starts"))
+        .groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("of")).agg(F.collect_set("place").alias("starts"))
     )
     kinds = dict(docs.dtypes)
     result = ", ".join(["doc_id long, n_words long, n_removed long, kept_text string",
@@ -198,7 +208,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     unnamed = plain.filter(F.col("doc_id").isNull()).select(
         "doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("starts"), *more)
     return map_batches(
-        marked.join(later, "doc_id", "left")
+        marked.join(later, this_text, "left")
         .select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts", *more),
         result, _cut(untouched),
     ).union(map_batches(unnamed, result, _cut(untouched))).toDF("doc_id", "n_words", "n_removed", "kept_text", *keep)
