@@ -407,34 +407,39 @@ def fuse(keyword: DataFrame, semantic: DataFrame, boost: DataFrame | None = None
 
 
 def search(passages: DataFrame, vectors: DataFrame | None, queries: DataFrame, mode: str = "hybrid",
-           top: int = lx.TOP_K, candidates: int = lx.CANDIDATE_K) -> DataFrame:
+           top: int = lx.TOP_K, candidates: int = lx.CANDIDATE_K,
+           keyword: Callable[[DataFrame, int], DataFrame] | None = None,
+           dense: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Hits of one mode: query_id, chunk_id, rank, score and both rankers' ranks and scores.
 
     ``queries`` is (query_id, text) plus ``embedding`` where a vector exists. A mode whose table
-    is missing raises, keyword search never needs vectors.
+    is missing raises, keyword search never needs vectors. ``keyword`` and ``dense`` rank (queries, k) over a
+    written index in place of the passages and vectors.
     """
     if mode not in ("keyword", "semantic", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
-    if mode != "keyword" and vectors is None:
+    if mode != "keyword" and vectors is None and dense is None:
         raise ValueError(f"mode {mode} is unavailable: no vectors")
+    keyword = keyword or (lambda asked, k: keyword_search(passages, asked, k))
+    dense = dense or (lambda asked, k: dense_search(vectors, asked, k))
     null_i, null_d = F.lit(None).cast("int"), F.lit(None).cast("double")
     if mode == "keyword":
-        hits = keyword_search(passages, queries, top)
+        hits = keyword(queries, top)
         return hits.select(
             "query_id", "chunk_id", "rank", "score", F.col("rank").alias("keyword_rank"),
             F.col("score").alias("keyword_score"), null_i.alias("semantic_rank"), null_d.alias("semantic_score"),
         )
     asked = queries.where(F.col("embedding").isNotNull())
     if mode == "semantic":
-        hits = dense_search(vectors, asked, top)
+        hits = dense(asked, top)
         return hits.select(
             "query_id", "chunk_id", "rank", "score", null_i.alias("keyword_rank"),
             null_d.alias("keyword_score"), F.col("rank").alias("semantic_rank"),
             F.col("score").alias("semantic_score"),
         )
     return fuse(
-        keyword_search(passages, queries, candidates),
-        dense_search(vectors, asked, candidates),
+        keyword(queries, candidates),
+        dense(asked, candidates),
         identifier_matches(passages, queries, top),
         top,
     ).select("query_id", "chunk_id", "rank", "score", "keyword_rank", "keyword_score",

@@ -139,6 +139,19 @@ fused AS (SELECT query_id, chunk_id, coalesce(1.0::DOUBLE / (60 + kw.rank), 0) +
 ORACLES["bm25_topk"] = f"""WITH {PASSAGES}, {QUERIES}, {bm25('queries', 'passages', lx.PASSAGE_WEIGHTS)}, {ranked('scores', lx.TOP_K, 'hits')}
 SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits"""
 ORACLES["indexed_bm25_topk"] = ORACLES["bm25_topk"]
+ORACLES["bounded_bm25_topk"] = ORACLES["bm25_topk"]
+ORACLES["indexed_hybrid_topk"] = f"{HYBRID} SELECT query_id, rank, chunk_id, round(score, 6) AS score, keyword_rank, semantic_rank FROM hybrid"
+DRAFTS = """given AS (SELECT * REPLACE (CASE WHEN chunk_id % 2 = 1 AND chunk_id % 5 = 0 THEN 'draft of ' || reverse(text) ELSE text END AS text) FROM passages)"""
+ALIVE = "given AS (SELECT * FROM passages WHERE chunk_id % 7 <> 0)"
+
+
+def _state(states: str, given: str) -> str:
+    """Top-k over one state of a changing index."""
+    return f"""SELECT unnest({states}) AS state, query_id, rank, chunk_id, score FROM (WITH {PASSAGES}, {given}, {QUERIES},
+{bm25('queries', 'given', lx.PASSAGE_WEIGHTS)}, {ranked('scores', lx.TOP_K, 'hits')} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits)"""
+
+
+ORACLES["segmented_bm25_topk"] = f"{_state('[1]', DRAFTS)} UNION ALL {_state('[2, 3]', ALIVE)}"
 ORACLES["dense_topk"] = f"""WITH {VECTORS}, {DENSE}, {ranked('dense', lx.TOP_K, 'hits')}
 SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits"""
 ORACLES["hybrid_topk"] = HYBRID + " SELECT query_id, rank, chunk_id, round(score, 6) AS score, keyword_rank, semantic_rank FROM hybrid"

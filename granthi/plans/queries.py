@@ -14,12 +14,13 @@ from granthi.functions import gate
 from granthi.functions import questions as qf
 from granthi.functions import text as tx
 from granthi.operators import (
-    answers, chunking, context, dedup, index, marks, overlap, pages, reports, retrieval, routing,
+    answers, bounded, chunking, context, dedup, index, marks, overlap, pages, reports, retrieval, routing,
     tariff, webpages,
 )
 from granthi.plans import derived as d
 from granthi.session import broadcast_if_small, materialise, settled, shared_dir
 from granthi.sources import corpus as src
+from granthi.sources import segments
 from granthi.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -299,6 +300,25 @@ def rechunk_plan(spark, sf):
     return dedup.plan_rechunk(docs, done, 2)
 
 
+@query
+def rechunk_apply(spark, sf):
+    """The chunk table after a version bump: chunks of documents at the version stay, the others are cut anew."""
+    docs = d.clause_pages(spark, sf)
+    done = d.table(spark, sf, "labels").select("doc_id", (F.col("quality") + 1).alias("version"))
+    text = F.substring_index("text", "\n", 1)
+    old = docs.join(done, "doc_id").select("doc_id", F.lit(1).alias("rules"), text.alias("text"))
+    plan = dedup.plan_rechunk(docs.select("doc_id"), done, 2)
+    fresh = docs.join(plan, "doc_id").select("doc_id", F.lit(2).alias("rules"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).filter(
+        "text <> ''").drop("pos")
+    return plain(dedup.rechunked(old, plan, fresh))
+
+
+@query
+def ingest_totals(spark, sf):
+    """Documents of ``ingest_upsert`` by status."""
+    return dedup.ingest_summary(ingest_upsert(spark, sf))
+
+
 # --- index ----------------------------------------------------------------------------
 
 
@@ -364,6 +384,48 @@ def indexed_bm25_topk(spark, sf):
     return plain(hits.select("query_id", "rank", "chunk_id", "score"))
 
 
+def _documents_as_passages(spark, sf):
+    return d.passages(spark, sf).withColumn("doc_id", F.col("chunk_id"))
+
+
+@query
+def bounded_bm25_topk(spark, sf):
+    """A segment of all passages; blocks that cannot reach the k-th score stay closed."""
+    root = _scratch(spark, "segments")
+    segments.add(spark, root, _documents_as_passages(spark, sf))
+    hits = bounded.bounded_search(segments.open_index(spark, root), d.benchmark_queries(spark, sf), lx.TOP_K)
+    return plain(hits.select("query_id", "rank", "chunk_id", "score"))
+
+
+@query
+def segmented_bm25_topk(spark, sf):
+    """Searches of an index between its changes: two additions (every fifth odd text a draft); drafts replaced and every seventh
+    document deleted; all merged."""
+    root, given = _scratch(spark, "segments"), _documents_as_passages(spark, sf)
+    draft = (F.col("doc_id") % 2 == 1) & (F.col("doc_id") % 5 == 0)
+    segments.add(spark, root, given.filter("doc_id % 2 = 0"))
+    both = segments.add(spark, root, given.filter("doc_id % 2 = 1").withColumn("text", F.when(draft, d.s("draft of ", F.reverse("text"))).otherwise(F.col("text"))))
+    segments.replace(spark, root, given.filter(draft))
+    fewer = segments.delete(spark, root, given.filter("doc_id % 7 = 0"))
+    merged = segments.merge(spark, root)
+    out = None
+    for state, version in enumerate((both, fewer, merged), 1):
+        hits = bounded.bounded_search(segments.open_index(spark, root, version), d.benchmark_queries(spark, sf), lx.TOP_K)
+        one = hits.select(F.lit(state).alias("state"), "query_id", "rank", "chunk_id", "score")
+        out = one if out is None else out.unionByName(one)
+    return plain(out)
+
+
+@query
+def indexed_hybrid_topk(spark, sf):
+    root = _scratch(spark, "segments")
+    segments.add(spark, root, _documents_as_passages(spark, sf))
+    opened = segments.open_index(spark, root)
+    hits = retrieval.search(d.passages(spark, sf), d.vectors(spark, sf), d.vector_queries(spark, sf), "hybrid",
+                            keyword=lambda asked, k: bounded.bounded_search(opened, asked, k))
+    return plain(hits.select("query_id", "rank", "chunk_id", "score", "keyword_rank", "semantic_rank"))
+
+
 @query
 def dense_topk(spark, sf):
     asked = d.vector_queries(spark, sf).where("embedding is not null")
