@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from granthi.llm.common import map_batches
 
 BLANK = "▁"
-REMEMBERED_UNITS = 300_000
+REMEMBERED_UNITS = 400_000
 REMEMBERED_PAIRS = 400_000
 REMEMBERED_LENGTH = 64
 NEVER = float("inf")
@@ -63,15 +63,21 @@ class PieceCodec:
         # A piece that merging its own text doesn't give can't be a result.
         self.reachable = {p: i for p, i in self.ids.items() if self.merge(p) == [i]}
         self.longest_piece = max(map(len, self.reachable), default=0)
+        # For every beginning of a piece the longest piece that it begins with.
+        self.within: dict[str, tuple[int, int]] = {"": (0, 0)}
+        for piece in self.reachable:
+            for n in range(1, len(piece) + 1):
+                if piece[:n] not in self.within:
+                    known = self.reachable.get(piece[:n])
+                    self.within[piece[:n]] = self.within[piece[: n - 1]] if known is None else (n, known)
         self.machine = ahocorasick.Automaton()
         for piece, i in self.reachable.items():
             self.machine.add_word(piece, i)
         self.machine.make_automaton()
         self.names = [str(i) for i in range(len(pieces))]
-        self.raw = {name: bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].replace(BLANK, " ").encode()
-                    for i, name in enumerate(self.names)}
-        self.encoded = _Memory(lambda unit: ",".join([self.names[i] for i in self.encode_unit(unit)]))
-        self.decoded = _Memory(self.spell)
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].replace(BLANK, " ").encode()
+                    for i in range(len(pieces))]
+        self.known = _Memory(self.code_unit)
 
     def merge(self, text: str, keep: int = 1) -> list[int]:
         """Merging step by step, the definition, until at most ``keep`` pieces are left."""
@@ -124,15 +130,6 @@ class PieceCodec:
             self.pairs[key] = known
         return known
 
-    def longest(self, text: str, at: int, below: int) -> tuple[int, int]:
-        """(length, piece) of the longest piece at a position that is shorter than ``below``; (0, 0) if none."""
-        ids = self.reachable
-        for length in range(min(self.machine.longest_prefix(text[at: at + self.longest_piece]), below - 1), 0, -1):
-            piece = ids.get(text[at: at + length])
-            if piece is not None:
-                return length, piece
-        return 0, 0
-
     def backtrack(self, text: str) -> list[int]:
         """Pieces of a text whose characters all belong to the vocabulary.
 
@@ -149,11 +146,18 @@ class PieceCodec:
             before = piece
         else:
             return chain
-        size, failed, at, below = len(text), 0, 0, 1 << 60
+        # What fitted so far stays; at its end a shorter match than the one that didn't fit comes next.
+        size, failed, at, below = len(text), 0, 0, len(self.pieces[piece])
         path: list[tuple[int, int, int]] = []  # piece, start, length
-        before = -1
+        for fitting in chain:
+            length = len(self.pieces[fitting])
+            path.append((fitting, at, length))
+            at += length
+        within, reach, widest = self.within, self.machine.longest_prefix, self.longest_piece
         while at < size:
-            length, piece = self.longest(text, at, below)
+            # The longest piece here that is shorter than ``below``, if any.
+            held = reach(text[at: at + widest])
+            length, piece = within[text[at: at + (held if held < below else below - 1)]]
             if length:
                 if failed >> (at + length) & 1 or before >= 0 and not (
                         known(before << 32 | piece) or compatible(before, piece)):
@@ -180,38 +184,44 @@ class PieceCodec:
                 begin = i + 1
         return out + self.backtrack(unit[begin:]) if begin < len(unit) else out
 
-    def encode_texts(self, text: str) -> list[str]:
-        """Ids of the units of a text, each unit's joined by commas."""
-        if not text:
-            return []
-        units = self.units(BLANK + text.replace(" ", BLANK))
-        return list(map(self.encoded.__getitem__, units))
+    def code_unit(self, unit: str) -> tuple[str, str]:
+        """Ids of a unit, joined by commas, and the text they decode to."""
+        ids = self.encode_unit(unit)
+        return ",".join([self.names[i] for i in ids]), self.spell(ids)
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for unit in self.encode_texts(text) for i in unit.split(",")]
+    def coded(self, text: str) -> list[tuple[str, str]]:
+        """Ids and decoded text of the units of a text, in turn."""
+        return list(map(self.known.__getitem__, self.units(BLANK + text.replace(" ", BLANK)))) if text else []
 
-    def spell(self, ids: str) -> str:
-        return b"".join(map(self.raw.__getitem__, ids.split(","))).decode("utf-8", "replace")
+    def encode(self, text: str) -> list[int]:
+        return [int(i) for ids, _ in self.coded(text) for i in ids.split(",")]
 
-    def decode_units(self, units: list[str]) -> str:
-        """Text of units of ids; the blank set before every text is taken off."""
-        text = "".join(map(self.decoded.__getitem__, units))
-        return text[1:] if text.startswith(" ") else text
+    def spell(self, ids: list[int]) -> str:
+        return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
-        return self.decode_units([",".join(map(str, ids))] if ids else [])
+        return unblanked(self.spell(ids))
+
+
+def unblanked(text: str) -> str:
+    """Without the blank that is set before every text."""
+    return text[1:] if text.startswith(" ") else text
 
 
 class _Memory(dict):
-    """Remembers results of short keys; starts anew when it is full, so its size is bounded."""
+    """Remembers results of short keys in two generations: when the younger is full it becomes the older, and what is asked
+    for again comes back from there. Its size is bounded, and what is in use is never forgotten."""
 
     def __init__(self, make) -> None:
-        self.make = make
+        self.make, self.old = make, {}
 
-    def __missing__(self, key: str) -> str:
-        value = self.make(key)
+    def __missing__(self, key: str) -> tuple[str, str]:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED_UNITS:
+            if len(self) >= REMEMBERED_UNITS // 2:
+                self.old = self.copy()
                 self.clear()
             self[key] = value
         return value
@@ -241,9 +251,9 @@ def encode_decode(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
         coder = codec(pieces.value, model_path)
         counts, id_digests, text_digests, all_ids, all_texts = [], [], [], [], []
         for value in batch.column(1).to_pylist():
-            units = coder.encode_texts(value or "")
-            ids = ",".join(units)
-            decoded = coder.decode_units(units)
+            units = coder.coded(value or "")
+            ids = ",".join([i for i, _ in units])
+            decoded = unblanked("".join([t for _, t in units]))
             counts.append(ids.count(",") + 1 if ids else 0)
             id_digests.append(hashlib.sha256(ids.encode()).hexdigest())
             text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
