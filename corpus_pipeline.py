@@ -30,17 +30,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents the one with the smallest id stays (once, if its row is repeated).
+    """Of each class of similar texts the one with the smallest id stays.
 
+    Rows are told apart by id and text: an equal row counts once, different texts of one id are documents of their own.
     Rows without an id take no part and stay.
     """
-    classes = materialise(jaccard_join.similar_documents(docs).filter(F.col("doc_id").isNotNull()), "classes")
-    first = classes.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    keyed = docs.filter(F.col("doc_id").isNotNull()).withColumn("__key", F.xxhash64("doc_id", "text"))
+    classes = materialise(jaccard_join.similar_documents(keyed, key="__key").toDF("__key", "class", "n_links").distinct(), "classes")
+    ids = keyed.select("__key", "doc_id").distinct()
+    first = classes.join(ids, "__key").groupBy("class").agg(F.min(F.struct("doc_id", "__key"))["__key"].alias("__key")).select("__key")
     # The ids grow with the documents, so they are never broadcast: the same plan at every size.
-    kept = docs.join(first.hint("merge"), "doc_id").select(*COLUMNS)
-    # Ids are unique unless rows are repeated; only then do the rows have to be compared.
-    if not classes.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.groupBy("doc_id").agg(*[F.min_by(c, F.xxhash64("text")).alias(c) for c in COLUMNS[1:]])
+    kept = keyed.join(first.hint("merge"), "__key").groupBy("__key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
 
 

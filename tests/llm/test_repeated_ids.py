@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from granthi.llm import substring_dedup
 
 
@@ -39,3 +40,14 @@ def test_passages_of_repeated_rows_and_ids(spark, parts):
     given = rows()
     got = substring_dedup.remove_repeats(spark.createDataFrame(given, "doc_id long, text string").repartition(parts)).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got) == brute(given)
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    g = random.Random(3)
+    a, b, c = (" ".join(g.choices([f"v{i}" for i in range(500)], k=80)) for _ in range(3))
+    near = b.rsplit(" ", 1)[0] + " end"
+    given = [(1, a), (1, a), (1, b), (2, c), (3, near), (4, None), (None, a)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted([(1, a), (1, b), (2, c), (4, None), (None, a)], key=key)
