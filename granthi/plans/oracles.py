@@ -357,6 +357,12 @@ SELECT row_id, CASE WHEN failed THEN 'failed' WHEN k.h IS NOT NULL THEN 'unchang
 FROM docs d LEFT JOIN firsts f ON f.source = d.source AND f.h = d.h LEFT JOIN known k ON k.source = d.source AND k.h = d.h"""
 ORACLES["rechunk_plan"] = """SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'regenerate' ELSE 'create' END AS action
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR l.quality + 1 <> 2"""
+ORACLES["ingest_totals"] = f"SELECT status, count(*) AS documents FROM ({ORACLES['ingest_upsert']}) GROUP BY 1"
+ORACLES["rechunk_apply"] = r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\n([A-Z])', chr(10) || '(a) \1', 'g'),
+  '\. ([OTE])', '.' || chr(10) || '4.2 \1', 'g'), chr(10)) AS x FROM documents),
+current AS (SELECT doc_id FROM labels WHERE quality + 1 = 2)
+SELECT doc_id, 1 AS rules, x[1] AS text FROM p SEMI JOIN current USING (doc_id)
+UNION ALL SELECT * FROM (SELECT doc_id, 2, unnest(x) AS text FROM p ANTI JOIN current USING (doc_id)) WHERE text <> ''"""
 
 # --- index
 ORACLES["tokenise"] = f"SELECT doc_id, {join(tokens('text'))} AS tokens FROM documents"
