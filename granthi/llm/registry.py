@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granthi.llm import (attention_lm, conversation_repair, embedding_dups, html_text, jaccard_join, lang_id, mixing, periodic_runs, piece_bpe, run_index, substring_dedup,
@@ -30,20 +30,20 @@ TOOLS = [("search", "query", "string", True), ("search", "limit", "integer", Tru
          ("note", "query", "string", True), ("note", "limit", "string", False)]
 
 
-def tool_use(turns: DataFrame, query: Column, is_result: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Calls, results and schemas of conversations, with ``query`` as the argument of that name."""
+def tool_use(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, results and schemas of conversations: assistant turns are calls, all others (without a role too) results."""
     turns = turns.withColumn("words", mixing.word_count("text"))
     by_turn = lambda c: F.concat(F.lit("call-"), c.cast("string"))
     tool = F.element_at(F.array(*map(F.lit, ("search", "count", "note", "other"))),
                         (F.pmod("words", F.lit(4)) + 1).cast("int"))
     arguments = F.to_json(F.struct(
-        F.col("words").alias("limit"), F.when(F.pmod("words", F.lit(3)) > 0, query).alias("query"),
+        F.col("words").alias("limit"), F.when(F.pmod("words", F.lit(3)) > 0, F.col("text")).alias("query"),
         F.when(F.pmod("words", F.lit(5)) == 0, F.lit(True)).alias("exact")))
     needs = lambda n: by_turn(F.floor(F.col("turn") / n))
     calls = turns.filter("role = 'assistant'").select(
         "conv_id", by_turn(F.col("turn")).alias("call_id"), F.col("turn").alias("place"), tool.alias("name"),
         arguments.alias("arguments"), F.when(F.col("turn") > 0, F.array(needs(2), needs(3))).alias("depends"))
-    results = turns.filter(is_result).select(
+    results = turns.filter(~F.col("role").eqNullSafe(F.lit("assistant"))).select(
         "conv_id", by_turn(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("place"), F.col("text").alias("content"))
     rows = ", ".join(f"('{name}', '{field}', '{kind}', {required})" for name, field, kind, required in TOOLS)
     return calls, results, turns.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(name, field, kind, required)")
@@ -52,28 +52,13 @@ def tool_use(turns: DataFrame, query: Column, is_result: Column) -> tuple[DataFr
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as tool use: assistant turns are calls, the turns after them results.
 
-    The number of words of a turn chooses the tool, so that some arguments don't fit their schema; a call
-    needs the calls at a half and at a third of its turn. As in the SQL twin the argument ``query`` is the beginning of
-    the text and results without a call are left out; ``op3_whole_turns`` has both whole.
+    The number of words of a turn chooses the tool, so that some arguments don't fit their schema; the whole text is an
+    argument; a call needs the calls at a half and at a third of its turn. ``status`` tells linked calls from what has no link:
+    orphan and spare results, calls with a repeated id or without one.
     """
-    return tool_calls.link(*tool_use(table(spark, sf_dir, "conversations"), F.substring("text", 1, 40), F.col("role") != "assistant"))
-
-
-def op3_whole_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``op3_tool_calls`` with the whole text as argument; results without a call and calls without an id are rows too.
-
-    Turns without a role are results. ``status`` tells the rows apart: call, orphan result, call without id.
-    """
-    calls, results, schemas = tool_use(
-        table(spark, sf_dir, "conversations"), F.col("text"), ~F.col("role").eqNullSafe(F.lit("assistant")))
+    calls, results, schemas = tool_use(table(spark, sf_dir, "conversations"))
     linked = tool_calls.link(calls, results, schemas).withColumn("status", F.lit("call"))
-    alone = tool_calls.orphans(calls, results).select(
-        *tool_calls.KEY, "place", F.lit("orphan result").alias("status"),
-        F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")), {"ignoreNullFields": "false"}).alias("json"))
-    no_id = calls.filter(F.col("conv_id").isNull() | F.col("call_id").isNull()).select(
-        *tool_calls.KEY, "place", "name", F.lit(False).alias("has_result"), F.lit("call without id").alias("status"),
-        F.to_json(F.struct("arguments", F.col("call_id").alias("id"), "name"), {"ignoreNullFields": "false"}).alias("json"))
-    return linked.unionByName(alone, allowMissingColumns=True).unionByName(no_id, allowMissingColumns=True)
+    return linked.unionByName(tool_calls.unlinked(calls, results), allowMissingColumns=True)
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +119,6 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op3_tool_calls": op3_tool_calls,
-    "op3_whole_turns": op3_whole_turns,
     "op4_html_text": op4_html_text,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_jaccard_join": op6_jaccard_join,
@@ -215,7 +199,7 @@ SQL: dict[str, str] = {
             SELECT *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words FROM conversations
         ), calls AS (
             SELECT conv_id, turn, words, ['search', 'count', 'note', 'other'][(words % 4 + 1)::INT] AS name,
-                   CASE WHEN words % 3 > 0 THEN substring(text, 1, 40) END AS query, words % 5 = 0 AS exact
+                   CASE WHEN words % 3 > 0 THEN text END AS query, words % 5 = 0 AS exact
             FROM turns WHERE role = 'assistant'
         ), needs AS (
             SELECT DISTINCT a.conv_id, a.turn, b.turn AS needed FROM calls a JOIN calls b
@@ -236,14 +220,22 @@ SQL: dict[str, str] = {
                        CASE WHEN name = 'count' AND query IS NOT NULL THEN 'not in schema: query' END
                    ], lambda x: x IS NOT NULL)) AS errs
             FROM calls c JOIN levels l USING (conv_id, turn)
-            LEFT JOIN turns r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role <> 'assistant'
+            LEFT JOIN turns r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role IS DISTINCT FROM 'assistant'
+        ), alone AS (
+            SELECT r.* FROM turns r LEFT JOIN calls c ON r.conv_id = c.conv_id AND r.turn = c.turn + 1
+            WHERE r.role IS DISTINCT FROM 'assistant' AND c.turn IS NULL
         )
         SELECT conv_id, 'call-' || turn AS call_id, turn AS place, name, level, has_result, len(errs) = 0 AS valid,
                array_to_string(errs, '; ') AS errors,
                '{"arguments":{' || CASE WHEN exact THEN '"exact":true,' ELSE '' END || '"limit":' || words
                || coalesce(',"query":' || to_json(query)::VARCHAR, '') || '},"id":"call-' || turn || '","level":' || level
-               || ',"name":"' || name || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
-        FROM linked""",
+               || ',"name":"' || name || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json, 'call' AS status
+        FROM linked
+        UNION ALL
+        SELECT conv_id, 'call-' || (turn - 1), turn, NULL, NULL, NULL, NULL, NULL,
+               '{"id":' || coalesce('"call-' || (turn - 1) || '"', 'null') || ',"result":' || coalesce(to_json(text)::VARCHAR, 'null') || '}',
+               'orphan result'
+        FROM alone""",
     "op11_run_index": r"""
         WITH docs AS (
             SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents

@@ -217,13 +217,52 @@ def test_tool_calls(spark):
     assert tool_calls.link(calls.limit(0), results.limit(0), schemas.limit(0)).count() == 0
 
 
+def test_rows_without_a_link(spark):
+    calls = spark.createDataFrame([
+        (1, "a", 3, "t", "{}", None, "x"), (1, "a", 3, "t", "{}", None, "y"), (1, "a", 4, "t", '{"k": 1}', ["b"], "x"), (1, "a", None, None, None, None, "x"),
+        (1, None, 5, "t", "{}", None, "x"), (None, None, None, None, None, None, None)],
+        "conv_id long, call_id string, place long, name string, arguments string, depends array<string>, status string")
+    results = spark.createDataFrame([(1, "a", 6, "r"), (1, "a", 6, "r"), (1, "a", 7, None), (1, "z", 8, "lost"), (1, "z", 8, "lost"), (None, None, None, None)],
+                                    "conv_id long, call_id string, place long, content string")
+    schemas = spark.createDataFrame([("t", "k", "integer", False)], "name string, field string, kind string, required boolean")
+    assert [(r.place, r.errors) for r in tool_calls.link(calls, results, schemas).collect()] == [
+        (None, "arguments are no object; spare results; unknown tool")]
+    left = sorted((r.status, str(r.conv_id), str(r.place)) for r in tool_calls.unlinked(calls, results).collect())
+    assert left == [("call without id", "1", "5"), ("call without id", "None", "None"), ("orphan result", "1", "8"), ("orphan result", "1", "8"),
+                    ("orphan result", "None", "None"), ("repeated id", "1", "3"), ("repeated id", "1", "4"),
+                    ("spare result", "1", "6"), ("spare result", "1", "7")]
+    assert tool_calls.unlinked(calls.limit(0), results.limit(0)).count() == 0
+
+
+def test_levels_against_longest_paths(spark):
+    g = random.Random(5)
+    needs = {}
+    for c in range(6):
+        for i in range(40):
+            needs[c, i] = [j for j in {g.randrange(-2, 40) if c == 5 else g.randrange(-2, max(i, 1)) for _ in range(g.randint(0, 3))} if j != i or c == 5]
+    for i in range(600):  # one long chain
+        needs[9, i] = [i - 1] if i else []
+    for i in range(10):  # a cycle, what needs it, and what it needs
+        needs[10, i] = [(i + 1) % 4] if i < 4 else [i - 1] if i < 8 else []
+    needs[10, 0].append(9)
+    expected, settled = {}, True
+    while settled:
+        settled = {k: max([expected[k[0], j] + 1 for j in v if (k[0], j) in needs], default=0)
+                   for k, v in needs.items() if k not in expected and all((k[0], j) in expected for j in v if (k[0], j) in needs)}
+        expected |= settled
+    calls = spark.createDataFrame([(c, str(i), [str(j) for j in v]) for (c, i), v in needs.items()],
+                                  "conv_id long, call_id string, depends array<string>")
+    got = {(r.conv_id, int(r.call_id)): r.level for r in tool_calls.levels(calls).collect()}
+    assert got == expected and expected[9, 599] == 599 and (10, 7) not in got
+
+
 def test_whole_turns_are_rows(spark, tmp_path):
     g = random.Random(3)
     text = lambda: " ".join(g.choices(["find", "the", '"old"', "bill"], k=g.randint(30, 300)))
     roles = ["system", "user", "assistant", "user", "user", "assistant", "assistant", None, None, "assistant"]
     turns = [(c, i, role, text()) for c in (1, 2, 3) for i, role in enumerate(roles)] + [(None, 4, "assistant", "x y"), (9, 0, None, None)]
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    rows = entry.queries()["op3_whole_turns"](spark, str(tmp_path)).collect()
+    rows = entry.queries()["op3_tool_calls"](spark, str(tmp_path)).collect()
     called = {(c, i) for c, i, role, _ in turns if role == "assistant" and c is not None}
     at = {(r.conv_id, r.place, r.status): json.loads(r.json) for r in rows}
     assert len(at) == len(rows)
