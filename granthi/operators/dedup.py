@@ -74,19 +74,21 @@ def plan_ingest(batch: DataFrame, existing: DataFrame, keys: list[str]) -> DataF
     """Status of each fetched row: failed, unchanged, skipped (repeated in the batch), created.
 
     ``batch`` carries the keys, ``row_id`` and ``error``. One row per (keys) is created, the
-    one with the smallest ``row_id``; the minimum is an aggregate, so hot keys combine early.
+    one with the smallest ``row_id``. One hash may own a third of the batch, so rows are salted by id:
+    minima are combined per salt, and the decision is joined back on keys and salt.
     """
-    fetched = batch.where(F.col("error").isNull())
-    firsts = fetched.groupBy(*keys).agg(F.min("row_id").alias("first_id"))
+    salted = batch.withColumn("__salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
+    per_salt = salted.where(F.col("error").isNull()).groupBy(*keys, "__salt").agg(F.min("row_id").alias("first_id"))
+    firsts = per_salt.groupBy(*keys).agg(F.min("first_id").alias("first_id"))
     known = existing.select(*keys).distinct().withColumn("known", F.lit(True))
-    decided = firsts.join(known, keys, "left")
+    decided = per_salt.select(*keys, "__salt").join(firsts.join(known, keys, "left"), keys)
     status = (
         F.when(F.col("error").isNotNull(), "failed")
         .when(F.col("known"), "unchanged")
         .when(F.col("row_id") == F.col("first_id"), "created")
         .otherwise("skipped")
     )
-    return batch.join(decided, keys, "left").select(*batch.columns, status.alias("status"))
+    return salted.join(decided, [*keys, "__salt"], "left").select(*batch.columns, status.alias("status"))
 
 
 def ingest_summary(planned: DataFrame) -> DataFrame:

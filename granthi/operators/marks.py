@@ -33,22 +33,24 @@ def mark_kind(value: Column) -> Column:
 
 
 def decode(marks: DataFrame, value: str = "value") -> DataFrame:
-    """Kind, recognition, label, caution, hint and warnings of each mark."""
+    """Kind, recognition, label, explanation, note on the shape, caution, hint and warnings of each mark."""
     spark = marks.sparkSession
     kinds = spark.createDataFrame(
-        lx.MARK_KINDS, "kind string, label string, caution string, verify_at string, hint string"
+        lx.MARK_KINDS, "kind string, label string, explanation string, caution string, verify_at string, hint string"
     )
     digits = F.length(F.regexp_extract(strip_ws(F.col(value)), LICENCE, 1))
     warning = F.when(
         (F.col("kind") == "licence") & (digits != 10),
         F.array(F.concat(F.lit("expected 10 digits, found "), digits.cast("string"))),
     ).otherwise(F.array().cast("array<string>"))
+    note = F.when(F.col("kind") == "licence", F.concat(F.lit("Shape of a licence with "), digits.cast("string"), F.lit(" digits."))).when(
+        F.col("kind") != "unknown", F.concat(F.lit("Shape of a "), F.lower("label"), F.lit(".")))
     return (
         marks.withColumn("kind", mark_kind(F.col(value)))
         .join(F.broadcast(kinds), "kind", "left")
         .select(
             *marks.columns, "kind", (F.col("kind") != "unknown").alias("recognised"), "label",
-            "caution", "verify_at",
+            "explanation", note.alias("format_note"), "caution", "verify_at",
             F.coalesce("hint", strip_ws(F.coalesce(F.col(value), F.lit("")))).alias("search_hint"),
             warning.alias("warnings"),
         )
@@ -108,22 +110,32 @@ def verify_licences(asked: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
+RUN_LENGTHS = (16, 8, 4, 2, 1)
+
+
 def match_schemes(products: DataFrame, keywords: DataFrame) -> DataFrame:
     """Schemes whose keyword occurs in the description: a semi-join shape, one row per pair.
 
-    ``keywords`` is (scheme, keyword) of any size; empty keywords match nothing. Runs of characters of the
-    texts, as long as the shortest keyword, meet the beginnings of the keywords in an equi-join, and only
-    those pairs are compared. Shared descriptions are matched once each.
+    ``keywords`` is (scheme, keyword) of any size; empty keywords match nothing. Keywords fall into classes of 1, 2, 4,
+    8 and 16 characters, the greatest not above their length. Runs of characters of the texts, of each length that
+    a class has, meet the beginnings of its keywords in an equi-join, and only those pairs are compared: a
+    keyword of one letter costs its own matches and leaves the long ones selective. Shared descriptions are matched once each.
     """
     rules = keywords.select("scheme", F.lower("keyword").alias("keyword")).filter(F.length("keyword") > 0).distinct()
-    n = rules.agg(F.min(F.length("keyword"))).first()[0] or 1
+    size = F.length("keyword")
+    rules = rules.withColumn("n", F.coalesce(*[F.when(size >= n, F.lit(n)) for n in RUN_LENGTHS]))
+    lengths = sorted(r["n"] for r in rules.select("n").distinct().collect())
     distinct = products.select(F.lower("description").alias("text")).distinct()
-    starts = F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - (n - 1))).otherwise(
-        F.array().cast("array<int>"))
-    runs = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(n))))
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - (n - 1))).otherwise(
+            F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(n))))
+
+    found = F.concat(F.array().cast("array<string>"), *[runs(n) for n in lengths])
     hits = (
-        distinct.select("text", F.explode(runs).alias("run"))
-        .join(rules.withColumn("run", F.substring("keyword", 1, n)), "run")
+        distinct.select("text", F.explode(found).alias("run"))
+        .join(rules.withColumn("run", F.substring("keyword", F.lit(1), F.col("n"))), "run")
         .filter(F.contains("text", "keyword")).select("text", "scheme").distinct()
     )
     return products.join(hits, F.lower("description") == F.col("text")).select("product_id", "scheme")

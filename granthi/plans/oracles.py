@@ -231,7 +231,7 @@ ORACLES["tariff_load"] = f"WITH {TARIFF_CELLS} SELECT * EXCLUDE (id) FROM tariff
 ORACLES["golden_cases"] = """SELECT text AS question, 'src' || (item_id % 20) || '/' AS expect_doc, CASE WHEN item_id % 3 = 0 THEN 'checked' ELSE '' END AS note,
  CASE WHEN item_id % 4 = 0 THEN 'hi' ELSE 'en' END AS language FROM benchmark"""
 ORACLES["run_meta_latest"] = """WITH keys AS (SELECT DISTINCT event_type AS key FROM events UNION SELECT DISTINCT event_type || '_built' FROM events),
-m AS (SELECT event_type AS key, max_by(props, ts) AS value FROM events GROUP BY 1) SELECT key, coalesce(value, 'none') AS value FROM keys LEFT JOIN m USING (key)"""
+m AS (SELECT event_type AS key, props AS value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC NULLS LAST, props DESC NULLS LAST) = 1) SELECT key, coalesce(value, 'none') AS value FROM keys LEFT JOIN m USING (key)"""
 
 # --- gate
 VARIED = f"""varied AS (SELECT doc_id, CASE doc_id % 7
@@ -437,9 +437,10 @@ kinded AS (SELECT mark_id, value, trim(value) AS v, CASE WHEN regexp_matches(tri
  WHEN regexp_matches(trim(value), '(?i)^R\s*[-–]\s*\d{6,12}$') THEN 'crs'
  WHEN regexp_matches(trim(value), '(?i)^IS\s*(?:/\s*(?:IEC|ISO|EN))?\s*:?\s*\d{2,5}(?:\s*[-–]\s*\d{1,2})?(?:\s*\(?\s*Part\s*\d+\s*\)?)?(?:\s*[:\-]\s*(?:19|20)\d{2})?$') THEN 'standard'
  WHEN regexp_matches(trim(value), '(?i)^[A-Z0-9]{6}$') AND regexp_matches(value, '[0-9]') THEN 'hallmark' ELSE 'unknown' END AS kind FROM marks)"""
-_KINDS = "kinds(kind, label, caution, verify_at, hint) AS (VALUES " + ", ".join(
+_KINDS = "kinds(kind, label, explanation, caution, verify_at, hint) AS (VALUES " + ", ".join(
     "(" + ", ".join(lit(v) for v in row) + ")" for row in lx.MARK_KINDS) + ")"
-ORACLES["decode_marks"] = rf"""WITH {MARKS}, {_KINDS} SELECT mark_id, value, kind, kind <> 'unknown' AS recognised, label, caution, verify_at, coalesce(hint, v) AS search_hint,
+ORACLES["decode_marks"] = rf"""WITH {MARKS}, {_KINDS} SELECT mark_id, value, kind, kind <> 'unknown' AS recognised, label, explanation,
+ CASE WHEN kind = 'licence' THEN 'Shape of a licence with ' || length(regexp_extract(v, '\d+')) || ' digits.' WHEN kind <> 'unknown' THEN 'Shape of a ' || lower(label) || '.' END AS format_note, caution, verify_at, coalesce(hint, v) AS search_hint,
  CASE WHEN kind = 'licence' AND length(regexp_extract(v, '\d+')) <> 10 THEN 'expected 10 digits, found ' || length(regexp_extract(v, '\d+')) ELSE '' END AS warnings
  FROM kinded JOIN kinds USING (kind)"""
 ORACLES["mark_kind_counts"] = f"WITH {MARKS} SELECT kind, count(*) AS marks FROM kinded GROUP BY 1"

@@ -904,12 +904,13 @@ def latest_feedback(spark, sf):
 
 
 def _web_pages(spark, sf):
-    """Raw pages; every fifth gets a table row, every tenth is a PDF."""
+    """Raw pages, every fifth with a table row; PDF rows come beside them under negative ids."""
     k = F.col("page_id")
     row = d.s("<table><tr><th>Page</th><th>Host</th></tr><tr><td>", k, "</td><td>", F.col("url"), "</td></tr></table></article>")
-    html = F.when(k % 10 == 9, d.s("%PDF-1.7 ", F.col("html"))).when(
-        k % 5 == 0, F.replace("html", F.lit("</article>"), row)).otherwise(F.col("html"))
-    return d.table(spark, sf, "pages").select("page_id", html.alias("html"))
+    pages = d.table(spark, sf, "pages").select("page_id", "url", "html")
+    html = F.when(k % 5 == 0, F.replace("html", F.lit("</article>"), row)).otherwise(F.col("html"))
+    pdf = pages.where(k % 10 == 9).select((-k).alias("page_id"), d.s("%PDF-1.7 ", F.col("html")).alias("html"))
+    return pages.select("page_id", html.alias("html")).unionByName(pdf)
 
 
 @query

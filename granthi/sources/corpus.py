@@ -152,8 +152,8 @@ def _json_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def latest_meta(entries: DataFrame) -> DataFrame:
-    """Run metadata: the last write per key wins."""
-    return entries.groupBy("key").agg(F.max_by("value", "ts").alias("value"))
+    """Run metadata: the last write per key wins, of equal times the greatest value."""
+    return entries.groupBy("key").agg(F.max(F.struct("ts", "value"))["value"].alias("value"))
 
 
 def meta_value(entries: DataFrame, keys: DataFrame, default: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Nothing is dropped: page text, question terms, hits without a passage, texts without a run, long rule tables."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from granthi.operators import answers, index, marks, overlap, retrieval, webpages
+from granthi.operators import answers, dedup, index, marks, overlap, retrieval, webpages
+from granthi.sources import corpus
 
 WORDS = re.compile(r"\w+")
 
@@ -71,6 +73,33 @@ def test_many_keywords(spark):
     assert got == {(i, f"s{i}") for i in range(300)}
 
 
+def test_keywords_of_unlike_lengths(spark):
+    g = random.Random(2)
+    texts = ["".join(g.choices("abAB c", k=g.randint(0, 60))) for _ in range(200)] + [None, ""]
+    words = ["a", "Z", "", "ab c", *{"".join(g.choices("abc ", k=k)) for k in (2, 3, 5, 8, 9, 17, 20) for _ in range(4)}, texts[0], texts[1][3:30]]
+    products = spark.createDataFrame(list(enumerate(texts)), "product_id long, description string")
+    rules = spark.createDataFrame([(f"s{i % 9}", w) for i, w in enumerate(words)], "scheme string, keyword string")
+    got = [(r.product_id, r.scheme) for r in marks.match_schemes(products, rules).collect()]
+    want = {(p, f"s{i % 9}") for p, t in enumerate(texts) for i, w in enumerate(words) if t and w and w.lower() in t.lower()}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert marks.match_schemes(products, rules.limit(0)).count() == 0
+
+
+def test_last_write_of_equal_times(spark):
+    rows = [("k", v, 1) for v in ("b", "c", "a")] + [("k", "z", 0), ("n", None, 2)]
+    entries = spark.createDataFrame(rows, "key string, value string, ts long")
+    assert {r.key: r.value for r in corpus.latest_meta(entries).collect()} == {"k": "c", "n": None}
+
+
+def test_ingest_of_a_hot_hash(spark):
+    rows = [(i, "hot", None if i % 7 else "broken") for i in range(500)] + [(500, "old", None), (501, None, "x"), (502, "hot", None)]
+    batch = spark.createDataFrame(rows, "row_id long, h string, error string")
+    planned = dedup.plan_ingest(batch, spark.createDataFrame([("old",)], "h string"), ["h"])
+    got = {r.row_id: r.status for r in planned.collect()}
+    assert len(got) == 503 and [i for i, s in got.items() if s == "created"] == [1] and got[500] == "unchanged" and got[501] == "failed"
+    assert all((got[i] == "failed") == (i % 7 == 0) for i in range(500)) and got[502] == "skipped"
+
+
 def test_hashed_vectors_use_all_slots(spark):
     text = " ".join(f"w{i}" for i in range(20000))
     vector = spark.createDataFrame([(text,)], "text string").select(index.hashed_vector(F.col("text"), 1024)).first()[0]
