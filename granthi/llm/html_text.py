@@ -11,8 +11,10 @@ parts are known (articles, menus, headers, footers, sidebars, notices, adverts,
 and no attribute tokens. The pages themselves are not labelled.
 
 Text: character references are decoded, scripts, styles, comments and the head are no text, block elements end a block,
-white space inside a block is one space, blocks are trimmed and joined by a line feed. Null and empty pages give the
-empty text; a page cut off inside a tag loses that tag only. Rows are independent, repeated ones too.
+white space inside a block is one space, blocks are trimmed and joined by a line feed. Formulas, drawings and the fallback text of
+media count as text. Null and empty pages give the empty text; a page cut off inside a tag loses that tag only, and a
+quote that is never closed ends with its tag. Rows are independent, repeated ones too. Time is linear in the page, however many
+tags are open.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,12 +43,23 @@ BLOCK = frozenset("""address article aside blockquote body center dd details dia
     footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select
     summary table tbody td tfoot th thead tr ul caption""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head script style template noscript title svg math iframe object canvas audio video".split())
-RAW = frozenset("script style title textarea noscript iframe xmp".split())
+SILENT = frozenset("head script style template title iframe".split())
+RAW = frozenset("script style title textarea iframe xmp".split())
 # An opening tag ends an open element of these names, up to the nearest of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
           "option": ({"option"}, {"select"})}
+
+
+def _closing(name: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Elements that an opening tag ends, and those above which it ends none."""
+    ends, limit = CLOSES.get(name, (set(), set()))
+    if name in BLOCK:
+        ends, limit = ends | {"p"}, limit | {"button", "td", "th", "table"}
+    return frozenset(ends), frozenset(limit - ends)
+
+
+ENDS = {name: _closing(name) for name in BLOCK | CLOSES.keys()}
 KINDS = ("nav menu", "header hgroup", "footer", "aside", "form input button select option textarea label fieldset",
          "article main", "section div", "p blockquote pre", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "a",
          "table tbody tr td th", "b i em strong span u s small sub sup code q mark time abbr cite")
@@ -63,7 +78,7 @@ TOKENS = {
 GROUP = {token: i for i, words in enumerate(TOKENS.values()) for token in words.split()}
 KIND = {tag: i for i, tags in enumerate(KINDS) for tag in tags.split()}
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|</([a-zA-Z][^\s>]*)[^>]*(?:>|\Z)"
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(>|\Z)|</([a-zA-Z][^\s>]*)[^>]*(?:>|\Z)"
                     r"|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:class|id|role|itemprop|aria-label|data-[a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PARTS = re.compile(r"[a-z]+|\d+")
@@ -75,7 +90,7 @@ _GROUPS = len(TOKENS)
 class Page:
     tag: list[str] = field(default_factory=list)
     groups: list[int] = field(default_factory=list)  # bit per token group
-    parent: list[int] = field(default_factory=list)
+    parent: list[int] = field(default_factory=list)  # smaller than the element: page order
     runs: list[tuple[int, str]] = field(default_factory=list)  # (element, text) or (-1, "") at a block's edge
 
 
@@ -93,12 +108,14 @@ def parse(source: str | None) -> Page:
     """Elements in page order (a parent before its children) and the text runs between them."""
     page = Page(["#"], [0], [-1])
     open_at, silent = [0], 0
+    places: dict[str, list[int]] = defaultdict(list)  # where in open_at the elements of a name are, ascending
     runs, at, size = page.runs, 0, len(source or "")
 
     def close(down_to: int) -> None:
         nonlocal silent
         while len(open_at) > down_to:
             gone = page.tag[open_at.pop()]
+            places[gone].pop()
             silent -= gone in SILENT
             if gone in BLOCK:
                 runs.append((-1, ""))
@@ -119,15 +136,12 @@ def parse(source: str | None) -> Page:
             if not m.group(3):
                 break  # cut off inside the tag
             name = name.lower()
-            ends, limit = CLOSES.get(name, ((), ()))
-            if name in BLOCK:
-                ends, limit = {*ends, "p"}, {*limit, "button", "td", "th", "table"}
-            for i in range(len(open_at) - 1, 0, -1):
-                tag = page.tag[open_at[i]]
-                if tag in ends:
-                    close(i)
-                elif tag in limit:
-                    break
+            if name in ENDS:
+                ends, limit = ENDS[name]
+                floor = max((places[tag][-1] for tag in limit if places.get(tag)), default=0)
+                lowest = [own[k] for own in (places[tag] for tag in ends if places.get(tag)) if (k := bisect_right(own, floor)) < len(own)]
+                if lowest:
+                    close(min(lowest))
             page.tag.append(name)
             page.groups.append(attribute_groups(m.group(2)))
             page.parent.append(open_at[-1])
@@ -137,6 +151,7 @@ def parse(source: str | None) -> Page:
                 runs.append((open_at[-1], " "))
             if name in VOID:
                 continue
+            places[name].append(len(open_at))
             open_at.append(len(page.tag) - 1)
             silent += name in SILENT
             if name in RAW:
@@ -146,10 +161,8 @@ def parse(source: str | None) -> Page:
                 close(len(open_at) - 1)
         elif m.group(4):
             name = m.group(4).lower()
-            for i in range(len(open_at) - 1, 0, -1):
-                if page.tag[open_at[i]] == name:
-                    close(i)
-                    break
+            if places.get(name):
+                close(places[name][-1])
     return page
 
 
@@ -184,15 +197,21 @@ def describe(pages: list[Page]) -> Forest:
     parent = np.concatenate([np.array(p.parent) for p in pages]) + starts[own_page]
     roots = np.concatenate([np.array(p.parent) for p in pages]) < 0
     parent[roots] = np.flatnonzero(roots)
-    depth = np.zeros(n, np.int64)
-    for i, p in enumerate(pages):
-        own = depth[starts[i]: starts[i] + sizes[i]]
-        for j, up in enumerate(p.parent):
-            if up >= 0:
-                own[j] = own[up] + 1
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
     kind = np.array([KIND.get(t, len(KINDS)) for p in pages for t in p.tag])
     groups = np.array([g for p in pages for g in p.groups])
+    # In page order a parent is before its children and a subtree is one stretch: masks go down, ends come up.
+    ups, depths, last = parent.tolist(), [0] * n, list(range(1, n + 1))
+    seen = (groups | (1 << (_GROUPS + kind))).tolist()
+    for i, up in enumerate(ups):
+        if up != i:
+            depths[i] = depths[up] + 1
+            seen[i] |= seen[up]
+    for i in range(n - 1, -1, -1):
+        if last[ups[i]] < last[i]:
+            last[ups[i]] = last[i]
+    depth, last = np.array(depths, np.int64), np.array(last, np.int64)
+    masks = (np.array(seen, np.int64)[:, None] >> np.arange(_GROUPS + len(KINDS) + 1)) & 1
+    path_bits, path = masks[:, :_GROUPS].astype(float), masks[:, _GROUPS:].astype(float)
     chars, marks, linked = np.zeros(n), np.zeros(n), np.zeros(n)
     for i, p in enumerate(pages):
         for node, run in p.runs:
@@ -200,20 +219,11 @@ def describe(pages: list[Page]) -> Forest:
                 chars[starts[i] + node] += len(run)
                 marks[starts[i] + node] += run.count(".") + run.count(",")
     tags, paragraphs = np.ones(n), (kind == KIND["p"]).astype(float)
-    above_kind = np.zeros((n, len(KINDS) + 1))
-    above_kind[np.arange(n), kind] = 1
-    path = above_kind.copy()
     bits = ((groups[:, None] >> np.arange(_GROUPS)) & 1).astype(float)
-    path_bits = bits.copy()
-    for level in levels[1:]:
-        path[level] = np.maximum(path[level], path[parent[level]])
-        path_bits[level] = np.maximum(path_bits[level], path_bits[parent[level]])
     linked = np.where(path[:, KIND["a"]] > 0, chars, 0)
-    inside = bits.copy()
-    below = np.stack([chars, marks, linked, tags, paragraphs, (kind == KIND["h1"]).astype(float)], axis=1)
-    for level in levels[:0:-1]:
-        np.add.at(below, parent[level], below[level])
-        np.add.at(inside, parent[level], inside[level])
+    sums = np.zeros((n + 1, 7))
+    np.cumsum(np.column_stack([chars, marks, linked, tags, paragraphs, kind == KIND["h1"], bits[:, -1]]), axis=0, out=sums[1:])
+    below = sums[last] - sums[:-1]  # whole numbers, exact
     total = np.maximum(below[starts[own_page], 0], 1)
     siblings = np.bincount(parent, minlength=n)[parent]
     order = np.arange(n) - parent
@@ -224,7 +234,7 @@ def describe(pages: list[Page]) -> Forest:
         below[:, 1] / np.maximum(below[:, 0], 1), below[:, 3] / np.maximum(below[:, 0], 1), below[:, 4], below[:, 5] > 0,
         depth, siblings, order, (np.arange(n) - starts[own_page]) / sizes[own_page], np.log1p(sibling_chars),
         sibling_links / np.maximum(sibling_chars * siblings, 1), below[parent, 2] / np.maximum(below[parent, 0], 1),
-        kind, path, path_bits, bits, inside[:, -1:] > 0,
+        kind, path, path_bits, bits, below[:, 6] > 0,
     ]).astype(np.float32)
     return Forest(parent, depth, starts, features)
 
@@ -292,18 +302,16 @@ class BoostedTrees:
 
 def decode(forest: Forest, odds: np.ndarray) -> np.ndarray:
     """Kept elements: the choice of best total odds in which every kept element's parent is kept."""
-    worth = odds.copy()
-    worth[forest.starts] = 1e9  # the page itself
-    deepest = int(forest.depth.max(initial=0))
-    for d in range(deepest, 0, -1):
-        level = np.flatnonzero(forest.depth == d)
-        gain = np.maximum(worth[level], 0)
-        np.add.at(worth, forest.parent[level], gain)
-    kept = worth > 0
-    for d in range(1, deepest + 1):
-        level = np.flatnonzero(forest.depth == d)
-        kept[level] &= kept[forest.parent[level]]
-    return kept
+    worth, ups = odds.tolist(), forest.parent.tolist()
+    for i in forest.starts.tolist():
+        worth[i] = 1e9  # the page itself
+    for i in range(len(ups) - 1, -1, -1):
+        if worth[i] > 0 and ups[i] != i:
+            worth[ups[i]] += worth[i]
+    kept = [w > 0 for w in worth]
+    for i, up in enumerate(ups):
+        kept[i] = kept[i] and kept[up]
+    return np.array(kept, bool)
 
 
 def frames(texts: list[str], count: int, seed: int = 0) -> Iterator[str]:

@@ -4,8 +4,10 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -193,6 +195,47 @@ def test_page_sample_is_bounded_for_null_and_repeated_ids(spark, monkeypatch):
     assert len(html_text.sampled_runs(pages, ("page_id", "url"), "html")) <= 2
 
 
+def test_open_tags_and_rare_elements(spark):
+    start = time.perf_counter()
+    for opening in ("<b>", "<div>", "<li>", "<td>", "<p>", "</i>", "<b></i>"):
+        page = html_text.parse("<article>" + opening * 100_000 + "end")
+        forest = html_text.describe([page])
+        kept = html_text.decode(forest, np.ones(len(page.tag)))
+        assert html_text.blocks(page, kept) == "end" and forest.depth.max() < len(page.tag)
+    assert time.perf_counter() - start < 60
+    whole = lambda s: html_text.blocks(p := html_text.parse(s), np.ones(len(p.tag), bool))
+    assert whole("<p>let <math><mi>x</mi></math> be <svg><text>n</text></svg> <noscript><b>bold</b></noscript></p>") == "let x be n bold"
+    assert whole('<p title="it>Body text</p><p>more</p>') == "Body text\nmore"
+    assert whole("""<p title='a>b' id = "c>d" lang=it's>one</p><p data-x="y>z">two</p>""") == "one\ntwo"
+    assert whole("<p>a<p>b<table><tr><td><p>c<td>d<tr><td>e</table>f<ul><li>g<ul><li>h</ul><li>i</ul>") == "a\nb\nc\nd\ne\nf\ng\nh\ni"
+    body = "".join(f"<p>Paragraph {i} says that the long road, the bridge and the mill belong to the village.</p>" for i in range(8))
+    source = f"<html><body><nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>Title</h1>{body}<p>so let <math><mi>x</mi></math> be given, and go on.</p></article></body></html>"
+    words = spark.createDataFrame([(i, "u", source) for i in range(3)], "page_id long, url string, html string")
+    assert all("so let x be given" in r.text and "Home" not in r.text for r in html_text.extract(words).collect())
+
+
+def test_features_against_a_walk_up():
+    g = random.Random(4)
+    names = ["div", "p", "a", "li", "ul", "b", "td", "table", "nav"]
+    pages = []
+    for _ in range(5):
+        parts = [g.choice([f"<{n} class='ad'>", f"<{n}>", f"</{n}>", "some, text."]) for n in g.choices(names, k=80)]
+        pages.append(html_text.parse("".join(parts)))
+    forest = html_text.describe(pages)
+    n = len(forest.parent)
+    for i in range(n):
+        line = [i]
+        while forest.parent[line[-1]] != line[-1]:
+            line.append(int(forest.parent[line[-1]]))
+        assert forest.depth[i] == len(line) - 1 and all(a > b for a, b in zip(line, line[1:]))
+    chars = np.expm1(forest.features[:, 0].astype(float)).round()
+    total = chars.copy()
+    for i in range(n - 1, -1, -1):
+        if forest.parent[i] != i:
+            total[forest.parent[i]] += total[i]
+    assert np.allclose(np.expm1(forest.features[:, 1].astype(float)), total, atol=0.01)
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([
         (1, "a", 0, "search", '{"query": "x", "limit": 3}', None), (1, "b", 1, "search", '{"limit": "3", "z": {"k": 1, "a": [2]}}', ["a"]),
