@@ -154,6 +154,7 @@ def _state(states: str, given: str) -> str:
 ORACLES["segmented_bm25_topk"] = f"{_state('[1]', DRAFTS)} UNION ALL {_state('[2, 3]', ALIVE)}"
 ORACLES["dense_topk"] = f"""WITH {VECTORS}, {DENSE}, {ranked('dense', lx.TOP_K, 'hits')}
 SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits"""
+ORACLES["pruned_dense_topk"] = ORACLES["dense_topk"]
 ORACLES["hybrid_topk"] = HYBRID + " SELECT query_id, rank, chunk_id, round(score, 6) AS score, keyword_rank, semantic_rank FROM hybrid"
 _POSITION = "(row_number() OVER (PARTITION BY query_id ORDER BY rank))::INT AS rank"
 ORACLES["hydrate_hits"] = HYBRID + f""" SELECT query_id, {_POSITION}, chunk_id, round(score, 6) AS score, keyword_rank, semantic_rank,

@@ -14,7 +14,7 @@ from granthi.functions import gate
 from granthi.functions import questions as qf
 from granthi.functions import text as tx
 from granthi.operators import (
-    answers, bounded, chunking, context, dedup, index, marks, overlap, pages, reports, retrieval, routing,
+    answers, bounded, chunking, context, dedup, index, marks, overlap, pages, pivots, reports, retrieval, routing,
     tariff, webpages,
 )
 from granthi.plans import derived as d
@@ -433,6 +433,14 @@ def dense_topk(spark, sf):
     return plain(hits.select("query_id", "rank", "chunk_id", "score"))
 
 
+@query
+def pruned_dense_topk(spark, sf):
+    """The same hits from vectors written by pivots, without opening the blocks that cannot hold any."""
+    cells = pivots.build(d.vectors(spark, sf))
+    hits, _ = pivots.search(cells, d.vector_queries(spark, sf), lx.TOP_K)
+    return plain(hits.select("query_id", "rank", "chunk_id", "score"))
+
+
 @query
 def rrf(spark, sf):
     """Fusion of two given rankings: parts per supplier by quantity and by price."""
