@@ -30,6 +30,8 @@ QUESTION_TEMPLATES = [
     "क्या CRS registration की validity renewal जरूरी है?",
     "Tell me about the citizens charter complaint response timeline of the bureau",
 ]
+TURN_OPENER = "Which licence covers this: "
+ITEM_OPENER = "Which standard clause says: "
 SUBJECTS = [query for *_, query in lx.STEPS]
 LEVELS = ["Tariff Item", "Sub-heading", "Heading", "Chapter"]
 LEAK_OPENERS = ["We need to look at this. ", "Okay, so ", "", "First, I ", "The answer: "]
@@ -117,6 +119,19 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def document_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The user turns of conversations as they are and as a request, and benchmark texts: each distinct text is one question."""
+    said = table(spark, sf, "conversations").where("role = 'user' AND text IS NOT NULL")
+    asked = said.select("text").unionByName(said.select(s(TURN_OPENER, F.col("text")).alias("text"))).unionByName(
+        table(spark, sf, "benchmark").where("text IS NOT NULL").select(s(ITEM_OPENER, F.col("text")).alias("text")))
+    number = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 12), 16, 10).cast("bigint")
+    return asked.distinct().select(number.alias("query_id"), "text", F.col("text").alias("expanded"), hashed_vector(F.col("text")).alias("embedding"))
+
+
+def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return passages(spark, sf).select("chunk_id", hashed_vector(F.col("text")).alias("embedding"))
+
+
 def varied_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as pages, damaged in seven ways by id: scripts, glyph escapes, lost vowels."""
     t, k = F.col("text"), F.col("doc_id") % 7

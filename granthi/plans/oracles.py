@@ -559,16 +559,16 @@ ORACLES["source_block"] = FOUND + """ SELECT query_id, string_agg('[S' || rank |
  || coalesce(', downloaded from ' || source_url, '') || ')' || chr(10) || trim(left(text, 1400)), chr(10) || chr(10) ORDER BY rank) AS sources FROM hits JOIN notices USING (chunk_id) GROUP BY 1"""
 
 
-def extract(source: str, hits: str) -> str:
+def extract(source: str, hits: str, passages: str = "notices") -> str:
     """CTEs ending in quoted(query_id, ranks, lines)."""
     return f"""terms AS (SELECT query_id, list_distinct(list_filter(list_transform(list_filter(string_split_regex(text, '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) > 2), lambda t: lower(t)),
   lambda t: NOT list_contains({lst(lx.ANSWER_STOPWORDS)}, t))) AS terms FROM {source}),
 sents0 AS (SELECT h.query_id, h.rank, n.relpath, n.page_number, terms, string_split(regexp_replace(n.text, '([.;:])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss
-  FROM {hits} h JOIN notices n USING (chunk_id) JOIN terms t ON t.query_id = h.query_id WHERE h.rank <= 5),
+  FROM {hits} h JOIN {passages} n USING (chunk_id) JOIN terms t ON t.query_id = h.query_id WHERE h.rank <= 5),
 sents AS (SELECT query_id, rank, relpath, page_number, terms, unnest(ss) AS s, unnest(range(0, len(ss))) AS pos FROM sents0),
 counted AS (SELECT *, len(list_filter(terms, lambda t: contains(lower(s), t))) AS c FROM sents),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY c DESC, pos) AS bn FROM counted WHERE c > 0),
-lined AS (SELECT query_id, rank, '[S' || rank || '] ' || relpath || ', page ' || page_number || ':' || chr(10) || '    ' || string_agg(trim(s), chr(10) || '    ' ORDER BY bn) AS line
+lined AS (SELECT query_id, rank, '[S' || rank || '] ' || relpath || ', page ' || page_number || ':' || chr(10) || '    ' || string_agg(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), chr(10) || '    ' ORDER BY bn) AS line
   FROM best WHERE bn <= 2 GROUP BY query_id, rank, relpath, page_number),
 quoted AS (SELECT query_id, string_agg(rank::VARCHAR, ' | ' ORDER BY rank) AS cited, string_agg(line, chr(10) || chr(10) ORDER BY rank) AS lines, list(rank) AS ranks FROM lined GROUP BY 1)"""
 
@@ -633,6 +633,37 @@ ORACLES["pathway_steps"] = f"""WITH {NOTICES}, {CASES}, {VALID}, {ROUTED}, {_STE
 SELECT case_id, scheme_code, position::BIGINT AS position, title, CASE WHEN citations IS NULL THEN {lit(lx.STEP_NOT_COVERED)} ELSE {lit(lx.STEP_COVERED)} END AS detail, coalesce(citations, '') AS citations
 FROM routed JOIN steps USING (step_list) JOIN sq USING (text) LEFT JOIN cit USING (query_id)"""
 
+_VECTOR = f"""(SELECT list_transform(c, lambda x: (CASE WHEN norm > 0 THEN x / norm ELSE 0 END)::FLOAT::DOUBLE) FROM (SELECT c, sqrt(list_dot_product(c, c)) AS norm FROM (
+ SELECT list_transform(range(0, 64), lambda i: len(list_filter(slots, lambda x: x = i))::DOUBLE) AS c)))"""
+
+
+def vectors_of(name: str, source: str, key: str) -> str:
+    """CTE of hashed vectors: ``name`` (key, e)."""
+    return f"""{name} AS (SELECT {key}, {_VECTOR} AS e FROM (SELECT {key}, list_transform({tokens('text')}, lambda t: ('0x' || left(md5(t), 7))::INT % 64) AS slots FROM {source}))"""
+
+
+ORACLES["document_answers"] = f"""WITH {PASSAGES}, said AS (SELECT text FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+given AS (SELECT text FROM said UNION SELECT {lit(d.TURN_OPENER)} || text FROM said UNION SELECT {lit(d.ITEM_OPENER)} || text FROM benchmark WHERE text IS NOT NULL),
+asked AS (SELECT ('0x' || left(md5(text), 12))::BIGINT AS query_id, text, text AS expanded FROM given), {INTENTS}, {scope_ctes('intents', 'expanded')},
+judged AS (SELECT query_id, text, expanded, intent, {_IN} AS in_scope, scope_reason FROM scoped),
+surv AS (SELECT * FROM judged WHERE intent = 'question' AND in_scope), {bm25('surv', 'passages', lx.PASSAGE_WEIGHTS, 3)}, {ranked('scores', lx.CANDIDATE_K, 'kw')},
+{vectors_of('qv', 'surv', 'query_id')}, {vectors_of('pv', 'passages', 'chunk_id')},
+dense AS (SELECT query_id, chunk_id, list_dot_product(qv.e, pv.e) AS score FROM qv, pv), {ranked('dense', lx.CANDIDATE_K, 'sem')},
+fused AS (SELECT query_id, chunk_id, coalesce(1.0::DOUBLE / (60 + kw.rank), 0) + coalesce(1.0::DOUBLE / (60 + sem.rank), 0) AS score,
+  kw.rank AS keyword_rank, sem.rank AS semantic_rank, sem.score AS semantic_score FROM kw FULL JOIN sem USING (query_id, chunk_id)),
+{ranked('fused', lx.TOP_K, 'hybrid', 'keyword_rank NULLS LAST, semantic_rank NULLS LAST, ')},
+{extract('surv', 'hybrid', 'passages')}, {_REPLIES}, firsts AS (SELECT query_id, min_by(score, rank) AS fs, max(semantic_score) AS cosine FROM hybrid GROUP BY 1)
+SELECT query_id, 'answer' AS kind, CASE WHEN q.lines IS NULL THEN {_say('nothing')} ELSE {_say('quoted')} || chr(10) || chr(10) || q.lines END AS answer, coalesce(cited, '') AS cited,
+ q.lines IS NOT NULL AS grounded, q.lines IS NULL AS refused, q.lines IS NOT NULL AS extractive,
+ CASE WHEN q.lines IS NULL THEN 'no sentence of the hits has a term of the question' WHEN fs IS NULL THEN 'no matching passage'
+  WHEN cosine IS NOT NULL THEN CASE WHEN round(cosine, 9) >= {lx.MIN_COSINE} THEN '' ELSE 'below the cosine floor' END
+  WHEN round(fs, 9) >= {lx.MIN_KEYWORD_SCORE} THEN '' ELSE 'below the keyword floor' END AS reason
+ FROM surv LEFT JOIN quoted q USING (query_id) LEFT JOIN firsts USING (query_id)
+UNION ALL SELECT query_id, CASE WHEN intent = 'question' THEN 'refusal' ELSE 'small_talk' END, reply, '', false, intent = 'question', false,
+ CASE WHEN intent = 'question' THEN 'out of scope: ' || scope_reason ELSE 'small talk: ' || intent END
+ FROM judged j LEFT JOIN replies r ON r.kind = CASE WHEN intent = 'question' THEN 'refusal' ELSE intent END AND r.code = CASE WHEN regexp_matches(text, '[{DEV}]') THEN 'hi' ELSE 'en' END
+ WHERE intent <> 'question' OR NOT in_scope"""
+
 # --- reports
 ORACLES["category_stats"] = """WITH per AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
 SELECT n_name AS category, count(*) AS documents, sum(c_custkey % 11 + 1)::BIGINT AS pages, sum(c_custkey % 3)::BIGINT AS scanned, sum(c_custkey % 4)::BIGINT AS corrupt, coalesce(sum(n), 0)::BIGINT AS chunks

@@ -730,6 +730,22 @@ def answer_batch(spark, sf):
     return plain(answers.answer_batch(_question_batch(spark, sf), d.notices(spark, sf)))
 
 
+def _document_search(spark, sf):
+    """Keyword and dense rankings over written indexes of the documents."""
+    root = _scratch(spark, "segments")
+    segments.add(spark, root, _documents_as_passages(spark, sf))
+    opened, cells = segments.open_index(spark, root), pivots.build(d.document_vectors(spark, sf))
+    return {"keyword": lambda asked, k: bounded.bounded_search(opened, asked, k),
+            "dense": lambda asked, k: pivots.search(cells, asked, k)[0]}
+
+
+@query
+def document_answers(spark, sf):
+    """Conversations and benchmark texts answered from the whole documents by hybrid search over written indexes."""
+    return plain(answers.answer_batch(d.document_questions(spark, sf), d.passages(spark, sf), d.document_vectors(spark, sf),
+                                      "hybrid", **_document_search(spark, sf)))
+
+
 @query
 def verbatim_runs(spark, sf):
     docs = d.table(spark, sf, "documents").select("doc_id", "text")
