@@ -663,6 +663,15 @@ UNION ALL SELECT query_id, CASE WHEN intent = 'question' THEN 'refusal' ELSE 'sm
  CASE WHEN intent = 'question' THEN 'out of scope: ' || scope_reason ELSE 'small talk: ' || intent END
  FROM judged j LEFT JOIN replies r ON r.kind = CASE WHEN intent = 'question' THEN 'refusal' ELSE intent END AND r.code = CASE WHEN regexp_matches(text, '[{DEV}]') THEN 'hi' ELSE 'en' END
  WHERE intent <> 'question' OR NOT in_scope"""
+ORACLES["pathway_evidence"] = f"""WITH {NOTICES}, {_STEPS}, sq AS (SELECT row_number() OVER (ORDER BY text) AS query_id, text FROM (SELECT DISTINCT text FROM steps)),
+{bm25('sq', 'notices', lx.PASSAGE_WEIGHTS)}, {ranked('scores', lx.CANDIDATE_K, 'kw')}, {vectors_of('qv', 'sq', 'query_id')}, {vectors_of('pv', 'notices', 'chunk_id')},
+dense AS (SELECT query_id, chunk_id, list_dot_product(qv.e, pv.e) AS score FROM qv, pv), {ranked('dense', lx.CANDIDATE_K, 'sem')},
+fused AS (SELECT query_id, chunk_id, coalesce(1.0::DOUBLE / (60 + kw.rank), 0) + coalesce(1.0::DOUBLE / (60 + sem.rank), 0) AS score,
+  kw.rank AS keyword_rank, sem.rank AS semantic_rank FROM kw FULL JOIN sem USING (query_id, chunk_id)),
+{ranked('fused', 3, 'hybrid', 'keyword_rank NULLS LAST, semantic_rank NULLS LAST, ')}
+SELECT step_list, position::BIGINT AS position, title, CASE WHEN rank IS NULL THEN {lit(lx.STEP_NOT_COVERED)} ELSE {lit(lx.STEP_COVERED)} END AS detail,
+ rank, relpath, page_number, left(n.text, {lx.STEP_PASSAGE_CHARS}) AS passage
+FROM (SELECT step_list, position, steps.title, query_id FROM steps JOIN sq USING (text)) LEFT JOIN hybrid USING (query_id) LEFT JOIN (SELECT chunk_id, relpath, page_number, text FROM notices) n USING (chunk_id)"""
 
 # --- reports
 ORACLES["category_stats"] = """WITH per AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)

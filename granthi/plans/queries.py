@@ -792,6 +792,16 @@ def pathway_steps(spark, sf):
     return plain(steps.select("case_id", "scheme_code", "position", "title", "detail", cited.alias("citations")))
 
 
+@query
+def pathway_evidence(spark, sf):
+    """The three best passages of each step by hybrid search, with their text."""
+    notes = d.notices(spark, sf)
+    vectors = materialise(notes.select("chunk_id", index.hashed_vector(F.col("text")).alias("embedding")), "notice-vectors")
+    evidence = routing.step_evidence(spark, notes, vectors, "hybrid")
+    return plain(evidence.select("step_list", "position", "title", "detail", F.explode_outer("citations").alias("c")).select(
+        "step_list", "position", "title", "detail", "c.rank", "c.relpath", "c.page_number", "c.passage"))
+
+
 # --- reports and evaluation ---------------------------------------------------------------
 
 
