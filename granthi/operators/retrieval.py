@@ -518,3 +518,43 @@ def exact_route(queries: DataFrame, index: DataFrame, k: int = lx.TOP_K) -> Data
     return wanted.join(best, "identifier").select(
         "query_id", "identifier", "chunk_id", F.col("seq").alias("position"), F.lit("exact").alias("route")
     )
+
+
+CLAUSE = r"(?i)\bclause\s+(\d+(?:\.\d+)*)"
+
+
+def clause_numbers(text: Column) -> Column:
+    """Distinct numbers of the clauses that a text names, in order of appearance."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(1)))
+
+
+def clause_index(passages: DataFrame) -> DataFrame:
+    """(identifier, clause, chunk_id, page_number) of passages that name both; a null text has none."""
+    return passages.select(
+        "chunk_id", "page_number", F.explode(identifiers(F.col("text"))).alias("identifier"), clause_numbers(F.col("text")).alias("clauses"),
+    ).select("identifier", F.explode("clauses").alias("clause"), "chunk_id", "page_number")
+
+
+def exact_first(queries: DataFrame, identifier_rows: DataFrame, clause_rows: DataFrame, hits: DataFrame, k: int = lx.TOP_K) -> DataFrame:
+    """Exact hits ahead of searched ones: query_id, rank, chunk_id, route.
+
+    First the chunks that name an identifier and a clause of the query together, then those that name an identifier, both by page and
+    id, then ``hits`` in their order; a chunk keeps its first place and k remain. Each identifier, and each identifier with a clause, is
+    cut to its k first chunks before it meets the queries: at most k places are taken by earlier stages, so none that remains is lost.
+    """
+    wanted = queries.select("query_id", F.explode(identifiers(F.col("text"))).alias("identifier"), clause_numbers(F.col("text")).alias("clauses"))
+    pairs = wanted.select("query_id", "identifier", F.explode("clauses").alias("clause"))
+
+    def routed(asked: DataFrame, rows: DataFrame, keys: list[str], stage: int, route: str) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("page_number", "chunk_id")
+        known = rows.select(*keys, "page_number", "chunk_id").join(broadcast_if_small(asked.select(*keys).distinct()), keys)
+        best = known.distinct().withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= k)
+        return asked.join(best, keys).select(
+            "query_id", "chunk_id", F.lit(stage).alias("stage"), F.col("page_number").cast("long").alias("place"), F.lit(route).alias("route"))
+
+    found = routed(pairs, clause_rows, ["identifier", "clause"], 0, "clause").unionByName(
+        routed(wanted.select("query_id", "identifier"), identifier_rows, ["identifier"], 1, "identifier")).unionByName(
+        hits.select("query_id", "chunk_id", F.lit(2).alias("stage"), F.col("rank").cast("long").alias("place"), F.lit("search").alias("route")))
+    first = found.groupBy("query_id", "chunk_id").agg(F.min(F.struct("stage", "place", "route")).alias("f"))
+    order = Window.partitionBy("query_id").orderBy("f.stage", "f.place", "chunk_id")
+    return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "f.route")

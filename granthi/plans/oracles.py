@@ -663,6 +663,15 @@ UNION ALL SELECT query_id, CASE WHEN intent = 'question' THEN 'refusal' ELSE 'sm
  CASE WHEN intent = 'question' THEN 'out of scope: ' || scope_reason ELSE 'small talk: ' || intent END
  FROM judged j LEFT JOIN replies r ON r.kind = CASE WHEN intent = 'question' THEN 'refusal' ELSE intent END AND r.code = CASE WHEN regexp_matches(text, '[{DEV}]') THEN 'hi' ELSE 'en' END
  WHERE intent <> 'question' OR NOT in_scope"""
+ORACLES["routed_topk"] = f"""WITH {NOTICES}, asked AS (SELECT item_id AS query_id, text || CASE WHEN item_id % 3 <> 0 THEN ' See IS ' || (300 + item_id % 60) ELSE '' END
+ || CASE WHEN item_id % 3 = 1 THEN ', clause ' || (item_id % 9 + 1) || '.' || (item_id % 4 + 1) ELSE '' END || ' about a licence' AS text FROM benchmark), {found_in_notices('asked')},
+idx AS (SELECT DISTINCT unnest(list_concat(standard_ids, gazette_ids)) AS identifier, chunk_id, page_number, regexp_extract_all(text, '(?i)\\bclause\\s+(\\d+(?:\\.\\d+)*)', 1) AS clauses FROM notices),
+wanted AS (SELECT query_id, unnest(list_concat({standards('text')}, {gazettes('text')})) AS identifier, regexp_extract_all(text, '(?i)\\bclause\\s+(\\d+(?:\\.\\d+)*)', 1) AS asked_clauses FROM asked),
+staged AS (SELECT query_id, chunk_id, CASE WHEN list_has_any(clauses, asked_clauses) THEN 0 ELSE 1 END AS stage, page_number AS place FROM wanted JOIN idx USING (identifier)
+ UNION ALL SELECT query_id, chunk_id, 2, rank FROM hits),
+firsts AS (SELECT query_id, chunk_id, min({{'stage': stage, 'place': place}}) AS f FROM staged GROUP BY 1, 2),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f.stage, f.place, chunk_id) AS rank FROM firsts)
+SELECT query_id, rank, chunk_id, CASE f.stage WHEN 0 THEN 'clause' WHEN 1 THEN 'identifier' ELSE 'search' END AS route FROM numbered WHERE rank <= {lx.TOP_K}"""
 ORACLES["pathway_evidence"] = f"""WITH {NOTICES}, {_STEPS}, sq AS (SELECT row_number() OVER (ORDER BY text) AS query_id, text FROM (SELECT DISTINCT text FROM steps)),
 {bm25('sq', 'notices', lx.PASSAGE_WEIGHTS)}, {ranked('scores', lx.CANDIDATE_K, 'kw')}, {vectors_of('qv', 'sq', 'query_id')}, {vectors_of('pv', 'notices', 'chunk_id')},
 dense AS (SELECT query_id, chunk_id, list_dot_product(qv.e, pv.e) AS score FROM qv, pv), {ranked('dense', lx.CANDIDATE_K, 'sem')},

@@ -468,6 +468,17 @@ def exact_route(spark, sf):
     return plain(retrieval.exact_route(_identifier_questions(spark, sf), idx))
 
 
+@query
+def routed_topk(spark, sf):
+    """Benchmark texts that name a standard, and some a clause of it: exact chunks first, searched ones after them."""
+    k, notes = F.col("item_id"), d.notices(spark, sf)
+    asked = d.table(spark, sf, "benchmark").select(k.alias("query_id"), d.s(
+        F.col("text"), F.when(k % 3 != 0, d.s(" See IS ", F.lit(300) + k % 60)).otherwise(""),
+        F.when(k % 3 == 1, d.s(", clause ", k % 9 + 1, ".", k % 4 + 1)).otherwise(""), F.lit(" about a licence")).alias("text"))
+    hits = retrieval.search(notes, None, asked, "keyword")
+    return plain(retrieval.exact_first(asked, index.identifier_index(notes), retrieval.clause_index(notes), hits))
+
+
 @query
 def hybrid_topk(spark, sf):
     hits = retrieval.search(d.passages(spark, sf), d.vectors(spark, sf), d.vector_queries(spark, sf), "hybrid")
