@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from granthi.operators import retrieval
 from granthi.plans.queries import REGISTRY
 
 
@@ -13,3 +14,18 @@ def test_streams_read_a_table_that_is_a_folder_of_files(spark, sf, tmp_path):
     texts = docs.select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     found = REGISTRY["stream_ingest"](spark, str(tmp_path)).select("sha256").distinct()
     assert found.count() > 0 and found.join(texts, "sha256", "left_anti").isEmpty()
+
+
+def test_keyword_search_scores_equal_passages_and_questions_once(spark, monkeypatch):
+    made = spark.range(600).select(
+        F.col("id").alias("chunk_id"), F.concat(F.lit("red bolt "), F.when(F.col("id") % 3 == 0, "steel").otherwise("brass licence")).alias("text"),
+        F.when(F.col("id") % 50 == 0, "IS 174").otherwise("").alias("is_numbers"), F.lit("").alias("gazette_refs"), F.lit("t").alias("title"))
+    asked = spark.range(200).select(F.col("id").alias("query_id"), F.concat(F.lit("steel bolt 900"), F.col("id"), F.when(
+        F.col("id") % 2 == 0, " see IS 174").otherwise("")).alias("text"))
+    counts, top_k = [], retrieval.top_k
+    monkeypatch.setattr(retrieval, "top_k", lambda scored, k, *more: counts.append(scored.count()) or top_k(scored, k, *more))
+    hits = retrieval.keyword_search(made, asked, 5)
+    assert counts and max(counts) <= 100
+    whole = top_k(retrieval.bm25_scores(made, asked), 5)
+    rows = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in df.collect())
+    assert rows(hits) == rows(whole)
