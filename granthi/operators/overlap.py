@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from granthi import lexicons as lx
 from granthi.functions.text import WS, split_words
-from granthi.session import broadcast_if_small
+from granthi.session import broadcast_if_small, materialise, settled
+
+# So many openings are looked up inside the rows; with more, all shingles are joined.
+LISTED_OPENINGS = 20_000
+
+
+def _word_hashes(texts: DataFrame, key: str, n: int) -> DataFrame:
+    return texts.select(key, F.transform(
+        split_words(F.lower("text")), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") >= n)
 
 
 def shingles(texts: DataFrame, key: str, n: int = lx.VERBATIM_WORDS) -> DataFrame:
@@ -15,24 +23,44 @@ def shingles(texts: DataFrame, key: str, n: int = lx.VERBATIM_WORDS) -> DataFram
 
     Built from word hashes: the window hash reads n longs, not n strings.
     """
-    words = texts.select(key, F.transform(
-        split_words(F.lower("text")), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") >= n)
+    words = _word_hashes(texts, key, n)
     starts = F.sequence(F.lit(0), F.size("w") - n)
     return words.select(key, F.posexplode(
         F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("w"), i + 1, n)))
     ).alias("pos", "shingle"))
 
 
+def _opening(n: int) -> str:
+    """Hash of a window's first words at the place ``i``."""
+    return f"xxhash64({', '.join(f'w[i + {j}]' for j in range(min(n, 4)))})"
+
+
+def _known_shingles(texts: DataFrame, key: str, n: int, source: DataFrame, source_key: str) -> DataFrame:
+    """The shingles of texts that ``source`` may have: a window is hashed only where the first words of one of its windows are.
+
+    A short list of openings is looked up where the words lie, so that no other place becomes a row.
+    """
+    opening = _word_hashes(source, source_key, n).select(F.explode(F.expr(f"transform(sequence(0, size(w) - {n}), i -> {_opening(n)})")).alias("o"))
+    listed = [r.o for r in opening.distinct().limit(LISTED_OPENINGS + 1).collect()]
+    if not listed or len(listed) > LISTED_OPENINGS:
+        return shingles(texts, key, n)
+    # One text: a column expression per number would cost a call to the JVM each.
+    wanted = ",".join(f"CAST({v} AS BIGINT)" for v in listed)
+    found = F.expr(f"transform(filter(sequence(0, size(w) - {n}), i -> {_opening(n)} IN ({wanted})), "
+                   f"i -> struct(i AS pos, xxhash64(slice(w, i + 1, {n})) AS shingle))")
+    return settled(_word_hashes(texts, key, n)).select(key, F.inline(found))
+
+
 def verbatim_runs(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                   n: int = lx.VERBATIM_WORDS) -> DataFrame:
     """Maximal runs of at least n equal words: keys, starts in both texts, length in words.
 
     Only the shingles that both sides hold survive the join; neighbours on the same diagonal
     are merged into islands, and the few islands are compared word by word against the texts,
-    so a hash collision cannot appear as a run.
+    so a hash collision cannot appear as a run. Only texts with an island are read for that.
     """
-    r = shingles(right, right_key, n).withColumnRenamed("pos", "right_pos")
-    matched = shingles(left, left_key, n).withColumnRenamed("pos", "left_pos").join(
+    r = materialise(shingles(right, right_key, n).withColumnRenamed("pos", "right_pos"), "shingles")
+    matched = _known_shingles(left, left_key, n, right, right_key).withColumnRenamed("pos", "left_pos").join(
         broadcast_if_small(r), "shingle"
     ).withColumn("diagonal", F.col("left_pos") - F.col("right_pos"))
     order = Window.partitionBy(left_key, right_key, "diagonal").orderBy("left_pos")
@@ -41,9 +69,11 @@ def verbatim_runs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
         F.min("left_pos").alias("left_start"), F.min("right_pos").alias("right_start"),
         (F.count(F.lit(1)) + n - 1).cast("int").alias("n_words"),
     ).select(left_key, right_key, "left_start", "right_start", "n_words")
+    runs = materialise(runs, "runs")
 
     def words(df: DataFrame, key: str, name: str) -> DataFrame:
-        return df.select(key, split_words(F.lower("text")).alias(name))
+        held = df.join(broadcast_if_small(runs.select(key).distinct()), key, "left_semi")
+        return held.select(key, split_words(F.lower("text")).alias(name))
 
     checked = runs.join(words(left, left_key, "lw"), left_key).join(words(right, right_key, "rw"), right_key)
     same = F.slice("lw", F.col("left_start") + 1, F.col("n_words")) == F.slice(

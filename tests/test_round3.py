@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from granthi.operators import retrieval
+from granthi.operators import overlap, retrieval
 from granthi.plans.queries import REGISTRY
 
 
@@ -29,3 +29,16 @@ def test_keyword_search_scores_equal_passages_and_questions_once(spark, monkeypa
     whole = top_k(retrieval.bm25_scores(made, asked), 5)
     rows = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in df.collect())
     assert rows(hits) == rows(whole)
+
+
+def test_verbatim_runs_make_rows_of_known_windows_only(spark, monkeypatch):
+    other = spark.range(200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(
+        F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(50)).cast("string")))).alias("text"))
+    item = " ".join(f"Item{i}" for i in range(30))
+    items = spark.createDataFrame([(1, item), (2, "too short")], "item_id bigint, text string")
+    docs = other.unionByName(spark.createDataFrame([(500, f"before {item} after"), (501, None)], "doc_id bigint, text string"))
+    assert overlap._known_shingles(docs, "doc_id", 26, items, "item_id").count() == 5
+    runs = lambda: [tuple(r) for r in overlap.verbatim_runs(docs, items, "doc_id", "item_id").collect()]
+    assert runs() == [(500, 1, 1, 0, 30)]
+    monkeypatch.setattr(overlap, "LISTED_OPENINGS", 2)  # too many to list: all windows are joined
+    assert runs() == [(500, 1, 1, 0, 30)]
