@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from granthi.operators import answers, bounded, pivots
 from granthi.operators.index import hashed_vector
+from granthi.plans import queries
 from granthi.sources import segments
 
 SUBJECTS = ["helmet", "cement", "kettle", "cable", "toy"]
@@ -35,3 +36,13 @@ def test_written_indexes_give_the_answers_of_the_scans(spark, tmp_path):
     for line in written[1].answer.split("\n"):
         if line.startswith("    "):
             assert line.strip() in whole
+
+
+def test_questions_and_vectors_are_written_before_they_are_read_again(spark, sf, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(queries.pivots, "build", lambda vectors: seen.setdefault("vectors", vectors))
+    monkeypatch.setattr(queries.answers, "answer_batch", lambda asked, *_, **__: seen.setdefault("asked", asked))
+    queries.document_answers(spark, sf)
+    assert len(seen) == 2
+    for df in seen.values():
+        assert df.count() and "md5" not in df._jdf.queryExecution().optimizedPlan().toString()
