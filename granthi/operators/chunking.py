@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granthi import lexicons as lx
 from granthi.functions.text import (
-    DEV, gazette_numbers, joined, normalise, standard_numbers, strip_ws,
+    DEV, gazette_numbers, joined, normalise, standard_numbers, strip_begin, strip_held, strip_ws,
 )
 from granthi.operators.ordering import running_sum
 from granthi.session import settled
@@ -28,30 +28,30 @@ def _cut(text: Column, target: int) -> Column:
 
 
 def _repack(unit: Column, target: int) -> Column:
-    """Sentences of a long unit packed greedily; an overlong sentence is cut hard."""
+    """Sentences of a long unit packed greedily; an overlong sentence is cut hard. Sentences of a stripped unit have no blank at either end."""
     empty = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, part: Column) -> Column:
         buf, out = state["buf"], state["out"]
         long_part = F.length(part) > target
         overflow = F.length(buf) + F.length(part) + 1 > target
-        flushed = F.concat(out, F.array(strip_ws(buf)))
+        flushed = F.concat(out, F.array(strip_begin(buf)))
         return F.struct(
             F.when(long_part, F.lit("")).when(overflow, part)
-            .otherwise(strip_ws(F.concat(buf, F.lit(" "), part))).alias("buf"),
+            .otherwise(strip_begin(F.concat(buf, F.lit(" "), part))).alias("buf"),
             F.when(long_part, F.concat(F.when(buf != "", flushed).otherwise(out), _cut(part, target)))
             .when(overflow, flushed).otherwise(out).alias("out"),
         )
 
     return F.aggregate(
         F.split(unit, SENTENCE_BREAK), empty, step,
-        lambda s: F.concat(s["out"], F.array(strip_ws(s["buf"]))),
+        lambda s: F.concat(s["out"], F.array(strip_begin(s["buf"]))),
     )
 
 
 def clause_units(text: Column, target: int = lx.CHUNK_TARGET_CHARS) -> Column:
     """Smallest pieces kept together: clauses, and packed sentences of long clauses."""
-    clauses = _not_blank(F.transform(F.split(text, CLAUSE_START), strip_ws))
+    clauses = _not_blank(F.transform(F.split(text, CLAUSE_START), strip_held))
     pieces = F.transform(
         clauses, lambda u: F.when(F.length(u) <= target, F.array(u)).otherwise(_repack(u, target))
     )
@@ -62,7 +62,9 @@ def pack_units(units: Column, target: int = lx.CHUNK_TARGET_CHARS,
                overlap: int = lx.CHUNK_OVERLAP_CHARS, minimum: int = lx.CHUNK_MIN_CHARS) -> Column:
     """Chunks of one page as array<struct<text, source>>.
 
-    ``source`` is the text before a short page tail was appended: identifiers come from it.
+    ``source`` is the text before a short page tail was appended: identifiers come from it. Units have no blank at
+    either end, as ``clause_units`` gives them, so a buffer can be blank at its beginning only; characters are counted
+    only where the bytes may be too many.
     """
     empty = F.struct(
         F.lit("").alias("buf"), F.array().cast("array<struct<text:string,source:string>>").alias("out")
@@ -73,18 +75,17 @@ def pack_units(units: Column, target: int = lx.CHUNK_TARGET_CHARS,
 
     def step(state: Column, unit: Column) -> Column:
         buf, out = state["buf"], state["out"]
-        overflow = (buf != "") & (F.length(buf) + F.length(unit) + 1 > target)
+        overflow = (buf != "") & (F.octet_length(buf) + F.octet_length(unit) + 1 > target) & (
+            F.length(buf) + F.length(unit) + 1 > target)
         tail = F.when(F.length(buf) > overlap, F.substring(buf, -overlap, overlap)).otherwise(buf)
         gap = F.instr(tail, " ")
         carried = F.when(gap > 0, F.substring(tail, gap + 1, F.length(tail))).otherwise("")
-        return F.struct(
-            F.when(overflow, F.concat(carried, F.lit(" "), unit))
-            .otherwise(strip_ws(F.concat(buf, F.lit(" "), unit))).alias("buf"),
-            F.when(overflow, F.concat(out, chunk(strip_ws(buf)))).otherwise(out).alias("out"),
-        )
+        return F.when(overflow, F.struct(
+            F.concat(carried, F.lit(" "), unit).alias("buf"), F.concat(out, chunk(strip_begin(buf))).alias("out"),
+        )).otherwise(F.struct(strip_begin(F.concat(buf, F.lit(" "), unit)).alias("buf"), out.alias("out")))
 
     def finish(state: Column) -> Column:
-        rest, out = strip_ws(state["buf"]), state["out"]
+        rest, out = strip_begin(state["buf"]), state["out"]
         last = F.element_at(out, -1)
         extended = F.concat(
             F.slice(out, F.lit(1), F.size(out) - 1),

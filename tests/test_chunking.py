@@ -4,6 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from granthi import lexicons as lx
+from granthi.functions.text import WS_CHARS, gazette_numbers, normalise, standard_numbers
 from granthi.operators import chunking
 
 T, OV, MIN = lx.CHUNK_TARGET_CHARS, lx.CHUNK_OVERLAP_CHARS, lx.CHUNK_MIN_CHARS
@@ -71,3 +72,25 @@ def test_ordinals_run_over_pages(spark):
     df = spark.createDataFrame(rows, "doc_id int, page_number int, pos int, text string, standard_ids array<string>, gazette_ids array<string>")
     got = chunking.number_chunks(df, "doc_id").orderBy("page_number", "ordinal").collect()
     assert [r.ordinal for r in got] == list(range(12)) and len({r.chunk_id for r in got}) == 12
+
+
+def test_packing_never_lists_all_characters_of_its_buffer(spark):
+    """Cutting both ends of the buffer at every unit made most of the cost of a page."""
+    units = spark.createDataFrame([(["a b", "c"],)], "u array<string>")
+    plan = units.select(chunking.pack_units(F.col("u")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ltrim(" in plan and not re.search(r"(?<![lr])trim\(|rtrim\(", plan)
+
+
+def test_guarded_steps_equal_the_plain_ones(spark):
+    ends = ["", " ", "\t", "\n", "\u3000", "\x1c", "\u200b", "\ufeff", "\u00a0\u00a0", "\n\n\n\n"]
+    texts = [a + m + b for a in ends for b in ends for m in ("", "x", "x  y", "x\ty", "x\n\n\n\ny", "\u0905\u00a0 \u202fz", "IS 123", "S.O. 12( \u2003e )", "GSR 7 (E) IS:456")]
+    odd = str.maketrans("\u00a0\u2007\u202f", "   ", "\u200b\u200c\u200d\ufeff")
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select(
+        "t", normalise(F.col("t")).alias("n"), standard_numbers(F.col("t")).alias("s"), gazette_numbers(F.col("t")).alias("g"))
+    for r in df.collect():
+        if r.t is None:
+            assert (r.n, r.s, r.g) == (None, None, None)
+            continue
+        want = re.sub("\n{3,}", "\n\n", re.sub("[ \t]+", " ", r.t.translate(odd))).strip(WS_CHARS)
+        assert r.n == want, repr(r.t)
+        assert len(r.s) == ("IS" in r.t) and len(r.g) == ("e )" in r.t or "(E)" in r.t), repr(r.t)
