@@ -5,9 +5,11 @@ place; the next id has probability sum_k g_k B[k, id]. B has a distribution over
 a few hundred operations whatever the vocabulary. A word's probability is the product over its ids, mixed with the share
 of the word among all training tokens if it is a frequent one (``share`` times that, 1 - share times the model).
 
-Learning. Weights are fitted by Adam on a hash-chosen sample of at most about ``SAMPLE_DOCS`` training documents. All else covers the
-corpus: word counts, and B and W, which sum the expected states of ids and words over every window of every training
-document, each id with the context with which it would be scored, per task and then over tasks.
+Learning. A start is fitted by Adam on a hash-chosen sample of at most about ``SAMPLE_DOCS`` training documents, so that all tasks mean
+the same by a state. From it each task goes on over every window of its training documents once, and the weights of the tasks are
+averaged, each as often as it has windows. The same pass sums the expected states of ids and words over every window, each id with the
+context with which it would be scored, per task and then over tasks: B and W. Word counts and the share of the units (the frequent
+words' part of all training tokens, with room for new words) cover the corpus as well. The averaged weights depend on how rows are dealt to tasks.
 
 Scoring. Windows overlap by ``CONTEXT`` inputs and each token is scored once, in the window where it has at least that
 much of its text before it (or the text's beginning). Masked attention runs over many windows at once.
@@ -22,6 +24,7 @@ Rows are independent; repeated rows are scored each. Rows with a null id are sco
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +41,8 @@ CONTEXT, SCORED = 16, 32
 WIDTH, HIDDEN, STATES = 16, 32, 64
 SAMPLE_DOCS = 600
 TRAIN_STEPS = 400
+ROUND = 1024
+RATE = 0.003
 FREQUENT = 1 << 20
 TOP = 1 << 14
 STEP = 3 << 20
@@ -116,6 +121,22 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Adam:
+    def __init__(self, weights: dict[str, np.ndarray], rate: float) -> None:
+        self.rate, self.steps = rate, 0
+        self.first = {n: np.zeros_like(v) for n, v in weights.items()}
+        self.second = {n: np.zeros_like(v) for n, v in weights.items()}
+
+    def step(self, weights: dict[str, np.ndarray], gradients: dict[str, np.ndarray]) -> None:
+        self.steps += 1
+        for name, d in gradients.items():
+            first, second = self.first[name], self.second[name]
+            first += np.float32(0.1) * (d - first)
+            second += np.float32(0.01) * (d * d - second)
+            step = first / (1 - 0.9 ** self.steps) / (np.sqrt(second / (1 - 0.99 ** self.steps)) + 1e-6)
+            weights[name] = (weights[name] - np.float32(self.rate) * step).astype(np.float32)
+
+
 class AttentionModel:
     def __init__(self, vocabulary: int, seed: int = 0) -> None:
         g = np.random.default_rng(seed)
@@ -203,38 +224,48 @@ class AttentionModel:
         counts = plain[:, None] * g.gamma(1.0, size=(vocabulary, STATES)).astype(np.float32)
         counts *= batch * SCORED / counts.sum()
         self.emit = counts / counts.sum(axis=0)
-        first = {n: np.zeros_like(v) for n, v in self.weights.items()}
-        second = {n: np.zeros_like(v) for n, v in self.weights.items()}
-        for i in range(1, rounds + 1):
+        adam = Adam(self.weights, rate)
+        for _ in range(rounds):
             inputs, own, targets, scored = windows.take(g.integers(0, len(windows.start), batch))
             states, kept = self.forward(inputs, own)
             joint = states * self.emit[targets]
             expected = joint / np.maximum(joint.sum(axis=-1, keepdims=True), 1e-30)
             wrong = np.where(scored[:, :, None], states - expected, 0).astype(np.float32) / scored.sum()
-            for name, d in self.gradients(inputs, kept, wrong).items():
-                first[name] += np.float32(0.1) * (d - first[name])
-                second[name] += np.float32(0.01) * (d * d - second[name])
-                step = first[name] / (1 - 0.9 ** i) / (np.sqrt(second[name] / (1 - 0.99 ** i)) + 1e-6)
-                self.weights[name] = (self.weights[name] - np.float32(rate) * step).astype(np.float32)
+            adam.step(self.weights, self.gradients(inputs, kept, wrong))
             counts *= np.float32(0.97)
             np.add.at(counts, targets[scored], expected[scored].astype(np.float32))
             smooth = counts + counts.sum(axis=0) * (plain / plain.sum())[:, None] * np.float32(0.02)
             self.emit = smooth / smooth.sum(axis=0)
 
-    def expected_states(self, windows: Windows, which: np.ndarray, units: np.ndarray, out: np.ndarray) -> None:
+    def expected_states(self, windows: Windows, which: np.ndarray, units: np.ndarray, out: np.ndarray, adam: Adam | None = None) -> None:
         """Add the expected states of the ids of some windows to ``out``, below them those of the units.
 
-        ``units`` has for each id of the stream the unit (frequent word) that starts there, or -1.
+        ``units`` has for each id of the stream the unit (frequent word) that starts there, or -1. With ``adam`` the weights
+        take a step after each ``ROUND`` windows, all of which count alike; the expectations are those before the step.
         """
         vocabulary = len(self.emit)
+        summed: dict[str, np.ndarray] = {}
         for c in range(0, len(which), CHUNK):
             inputs, own, targets, scored = windows.take(which[c: c + CHUNK])
-            states, factor = self.infer(inputs, own)
-            states /= factor[:, :, None]
+            if adam is None:
+                states, factor = self.infer(inputs, own)
+                states /= factor[:, :, None]
+            else:
+                states, kept = self.forward(inputs, own)
             place = (windows.start[which[c: c + CHUNK]][:, None] + np.arange(SCORED))[scored]
             targets, unit = targets[scored], units[place]
             joint = states[scored] * self.emit[targets]
             joint /= np.maximum(joint.sum(axis=-1, keepdims=True), 1e-30)
+            if adam is not None:
+                wrong = np.zeros_like(states)
+                wrong[scored] = states[scored] - joint
+                for name, d in self.gradients(inputs, kept, wrong).items():
+                    summed[name] = summed[name] + d if name in summed else d
+                end = min(c + CHUNK, len(which))
+                if end % ROUND == 0 or end == len(which):
+                    n = (end - 1) % ROUND + 1
+                    adam.step(self.weights, {name: (d / np.float32(n * SCORED)).astype(np.float32) for name, d in summed.items()})
+                    summed = {}
             begins = unit >= 0
             rows = np.concatenate([targets, vocabulary + unit[begins]])
             joint = np.concatenate([joint, joint[begins]])
@@ -242,6 +273,18 @@ class AttentionModel:
             ids, at = np.unique(rows[order], return_index=True)
             out[ids] += np.add.reduceat(joint[order], at, axis=0)
 
+    def packed(self) -> np.ndarray:
+        """All weights as rows of ``STATES`` numbers, the last one filled up with zeros."""
+        flat = np.concatenate([self.weights[n].ravel() for n in sorted(self.weights)])
+        return np.append(flat, np.zeros(-len(flat) % STATES, np.float32)).reshape(-1, STATES)
+
+    def unpack(self, rows: np.ndarray) -> None:
+        flat, at = rows.ravel(), 0
+        for n in sorted(self.weights):
+            old = self.weights[n]
+            self.weights[n] = flat[at: at + old.size].reshape(old.shape).astype(np.float32)
+            at += old.size
+
     def learn_emissions(self, total: np.ndarray) -> None:
         """B and W from the summed states, smoothed by the plain shares."""
         for name, rows in (("emit", total[: len(self.emit)]), ("units", total[len(self.emit):])):
@@ -309,20 +352,27 @@ def _coder(proto: bytes) -> sentencepiece.SentencePieceProcessor:
     return _CODERS[key]
 
 
-def _gather(sent, size: int):
-    """Summed states of a whole task by id and unit."""
+def _gather(sent, size: int, learn: bool = False):
+    """Summed states of a whole task by id and unit. With ``learn`` its weights times its windows, and the windows, follow as rows from ``size`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, proto, tops = sent.value
-        coder, total = _coder(proto), np.zeros((size, STATES), np.float32)
+        start, proto, tops = sent.value
+        model = copy.copy(start)
+        model.weights = dict(start.weights)
+        coder, total, n = _coder(proto), np.zeros((size, STATES), np.float32), 0
+        adam = Adam(model.weights, RATE) if learn else None
         for batch in batches:
             texts = text_bytes(batch.column(0))
             for a, b in steps([len(t) for t in texts], STEP):
                 s = stream(texts[a:b], coder)
                 windows = Windows(s, coder.bos_id())
-                model.expected_states(windows, np.arange(len(windows.start)), unit_places(s, tops), total)
+                model.expected_states(windows, np.arange(len(windows.start)), unit_places(s, tops), total, adam)
+                n += len(windows.start)
         for ids in np.array_split(np.flatnonzero(total.any(axis=1)), 8):
             yield _states(ids, total[ids])
+        if learn and n:
+            rows = np.concatenate([model.packed() * np.float32(n), np.full((1, STATES), n, np.float32)])
+            yield _states(np.arange(size, size + len(rows)), rows)
 
     return run
 
@@ -384,19 +434,15 @@ def fit(docs: DataFrame, learn: Column, model_path: str, key: str = "doc_id", te
         windows = Windows(own, with_proto.bos_id())
         model.fit(windows)
         sent = spark.sparkContext.broadcast((model, proto, tops))
-        size = len(model.emit) + len(tops)
-        sums = (training.select("text").mapInArrow(_gather(sent, size), "id int, states array<float>").repartition("id")
-                .mapInArrow(_sum_states(size), "id int, states array<float>").toArrow())  # at most ``size`` rows
+        size, more = len(model.emit) + len(tops), len(model.packed()) + 1
+        sums = (training.select("text").mapInArrow(_gather(sent, size, True), "id int, states array<float>").repartition("id")
+                .mapInArrow(_sum_states(size + more), "id int, states array<float>").toArrow())  # at most ``size + more`` rows
         ids = np.asarray(sums.column(0).combine_chunks())
-        total = np.zeros((size, STATES))
+        total = np.zeros((size + more, STATES))
         total[ids] = np.asarray(sums.column(1).combine_chunks().flatten()).reshape(len(ids), STATES)
-        model.learn_emissions(total)
-        # The share of units, by expectation maximisation on the sample; its rarer words favour neither.
-        spelled, whole = model.words(own, windows, tops)
-        spelled = np.exp(spelled)
-        model.share = 0.5
-        for _ in range(20):
-            model.share = float((model.share * whole / (model.share * whole + (1 - model.share) * spelled + 1e-300)).mean())
+        model.unpack(total[size: -1] / total[-1])
+        model.learn_emissions(total[:size])
+        model.share = float(frequent[1][most].sum() / (tokens + distinct))
     return LanguageModel(model, proto, counts, int(tokens), int(distinct), frequent, tops)
 
 

@@ -321,6 +321,31 @@ def test_output_tables_take_every_token_with_its_context():
     assert got == pytest.approx(want, abs=1e-2)
 
 
+def test_weights_and_share_come_from_all_training_documents(spark, monkeypatch):
+    texts = [" ".join(random.Random(i).choices(["tree", "of", "the", "house", f"w{i}"], k=40 + i)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    starts, fit = [], attention_lm.AttentionModel.fit
+
+    def started(self, windows, **more):
+        fit(self, windows, rounds=20)
+        starts.append((len(windows.start), {k: v.copy() for k, v in self.weights.items()}))
+
+    monkeypatch.setattr(attention_lm.AttentionModel, "fit", started)
+    monkeypatch.setattr(attention_lm, "SAMPLE_DOCS", 4)
+    learned = attention_lm.fit(docs, F.lit(True), MODEL)
+    sample, start = starts[0]
+    coder = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    s = attention_lm.stream(common.text_bytes(pa.array(texts)), coder)
+    windows = attention_lm.Windows(s, coder.bos_id())
+    assert sample < len(windows.start) / 2
+    # Ids that only documents outside the sample hold have moved, and so has every dense weight.
+    moved = (learned.model.weights["embed"] != start["embed"]).any(axis=1)
+    assert moved[np.unique(windows.inputs)].all()
+    for name in ("query", "key", "value", "mixed", "own", "states", "place"):
+        assert (learned.model.weights[name] != start[name]).any() and np.abs(learned.model.weights[name] - start[name]).max() < 0.1
+    assert learned.model.share == pytest.approx(len(s.hashes) / (len(s.hashes) + learned.distinct))
+
+
 def test_model_edges(odd):
     learned = attention_lm.fit(odd, F.col("doc_id") < 6, MODEL)
     rows = attention_lm.score(odd, learned).collect()
