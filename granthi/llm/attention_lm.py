@@ -27,6 +27,7 @@ from __future__ import annotations
 import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granthi.llm.common import U64, map_batches, steps, text_bytes, word_hashes, word_spans
+from granthi.llm.common import U64, map_batches, mix, steps, text_bytes, word_hashes, word_spans
 from granthi.session import materialise
 
 CONTEXT, SCORED = 16, 32
@@ -46,10 +47,12 @@ RATE = 0.003
 FREQUENT = 1 << 20
 TOP = 1 << 14
 STEP = 3 << 20
-CHUNK = 256
+CHUNK = 128
+LONG = 128
+KEPT_IDS = 1 << 22
 END_HASH = U64(0x9AE16A3B2F90404F)
 
-_CAUSAL = np.where(np.arange(CONTEXT + SCORED)[None, :] <= CONTEXT + np.arange(SCORED)[:, None], 0, -1e9).astype(np.float32)
+_CAUSAL = (np.arange(CONTEXT + SCORED)[None, :] <= CONTEXT + np.arange(SCORED)[:, None]).astype(np.float32)
 
 
 @dataclass
@@ -64,7 +67,33 @@ class Stream:
 
 
 def lower(data: np.ndarray) -> np.ndarray:
-    return np.where((data >= 0x41) & (data <= 0x5A), data + 32, data).astype(np.uint8)
+    return data + (((data - np.uint8(0x41)) < 26).view(np.uint8) << 5)
+
+
+def hash_of_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes: eight bytes at a time, and by prefix sums where a span is ``LONG`` or more."""
+    lanes = np.append(data, np.zeros(16 - len(data) % 8, np.uint8)).view(U64)
+    lengths = ends - starts
+    out = mix(lengths.astype(U64) + U64(1))
+    short = np.flatnonzero(lengths < LONG)
+    done = 0
+    while len(short):
+        at = starts[short] + done
+        lane, shift = at >> 3, (at & 7).astype(U64) << U64(3)
+        eight = lanes[lane] >> shift
+        later = shift > 0
+        eight[later] |= lanes[lane[later] + 1] << (U64(64) - shift[later])
+        left = lengths[short] - done
+        cut = left < 8
+        eight[cut] &= (U64(1) << (left[cut].astype(U64) << U64(3))) - U64(1)
+        out[short] = mix(out[short] ^ mix(eight + U64(done + 1)))
+        done += 8
+        short = short[left > 8]
+    far = np.flatnonzero(lengths >= LONG)
+    if len(far):
+        stops = np.cumsum(lengths[far])
+        out[far] = word_hashes(np.concatenate([data[a:b] for a, b in zip(starts[far], ends[far])]), stops - lengths[far], stops)
+    return out
 
 
 def hashed_words(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,22 +102,55 @@ def hashed_words(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     data = lower(np.concatenate([part for t in texts for part in (t, blank)]))
     starts, ends = word_spans(data)
     firsts = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
-    return data, starts, ends, word_hashes(data, starts, ends), firsts.astype(np.int64)
-
-
-def stream(texts: list[np.ndarray], coder: sentencepiece.SentencePieceProcessor) -> Stream:
+    return data, starts, ends, hash_of_words(data, starts, ends), firsts.astype(np.int64)
+
+
+class Spelled:
+    """Ids of the words met so far, so that a task encodes a word once; beyond ``KEPT_IDS`` ids it begins anew."""
+
+    def __init__(self, coder: sentencepiece.SentencePieceProcessor) -> None:
+        self.coder = coder
+        self.forget()
+
+    def forget(self) -> None:
+        """Only the end is known."""
+        self.hashes, self.begin, self.count = np.array([END_HASH]), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.flat = np.array([self.coder.eos_id()], np.int32)
+
+    def learn(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encode those of the different words that are new."""
+        if len(self.flat) > KEPT_IDS:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        new = np.flatnonzero(self.hashes[at] != hashes)
+        if not len(new):
+            return
+        pieces = self.coder.encode([raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())], num_threads=1)
+        count = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begin = len(self.flat) + np.cumsum(count) - count
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(pieces), np.int32, count.sum())])
+        both = np.concatenate([self.hashes, hashes[new]])
+        order = np.argsort(both, kind="stable")
+        self.hashes = both[order]
+        self.begin, self.count = np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the ids begin in ``flat``, how many) of known words."""
+        at = np.searchsorted(self.hashes, hashes)
+        return self.begin[at], self.count[at]
+
+
+def stream(texts: list[np.ndarray], coder: sentencepiece.SentencePieceProcessor | Spelled) -> Stream:
     """Every distinct word is encoded once; occurrences are gathered."""
+    spelled = coder if isinstance(coder, Spelled) else Spelled(coder)
     data, starts, ends, hashes, firsts = hashed_words(texts)
-    _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    pieces = coder.encode([raw[a:b].decode() for a, b in zip(starts[at], ends[at])], num_threads=1) if len(at) else []
-    lengths = np.array([len(p) for p in pieces] + [1], np.int64)
-    flat = np.array([i for p in pieces for i in p] + [coder.eos_id()], np.int32)
-    offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    word = np.insert(inverse, firsts[1:], len(pieces))
+    different, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    spelled.learn(different, data.tobytes(), starts[at], ends[at])
+    begin, lengths = spelled.find(np.append(different, END_HASH))
+    word = np.insert(inverse, firsts[1:], len(different))
     count = lengths[word]
     word_starts = np.concatenate([[0], np.cumsum(count)])
-    ids = flat[np.repeat(offsets[word] - word_starts[:-1], count) + np.arange(word_starts[-1])]
+    ids = spelled.flat[np.repeat(begin[word] - word_starts[:-1], count) + np.arange(word_starts[-1])]
     text_words = firsts + np.arange(len(firsts))
     return Stream(np.insert(hashes, firsts[1:], END_HASH), word_starts[:-1], ids, text_words, word_starts[text_words])
 
@@ -115,10 +177,28 @@ class Windows:
         return self.inputs[place], own, self.targets[place[:, CONTEXT:]], own[:, CONTEXT:]
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    x /= x.sum(axis=-1, keepdims=True)
-    return x
+def summed_by(ids: np.ndarray, rows: np.ndarray, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(different ids, sum of their rows). Each id stands for the row at its place, or for that in ``which``.
+
+    Rows of an id are added in pairs, then pairs of pairs, all ids at a time.
+    """
+    n = len(ids)
+    key = (ids.astype(np.int64) << 32) | np.arange(n)
+    key.sort()
+    order, ids = key & 0xFFFFFFFF, key >> 32
+    rows = rows.take(order if which is None else which[order], axis=0)
+    starts = np.flatnonzero(np.concatenate([np.ones(min(n, 1), bool), ids[1:] != ids[:-1]]))
+    counts = np.diff(np.append(starts, n))
+    left = np.repeat(counts, counts)  # rows of the id from this one on
+    place = np.arange(n) - np.repeat(starts, counts)
+    left -= place
+    at, step = np.arange(n), 1
+    while True:
+        at = at[(place[at] & (2 * step - 1) == 0) & (left[at] > step)]
+        if not len(at):
+            return ids[starts], rows.take(starts, axis=0)
+        rows[at] += rows.take(at + step, axis=0)
+        step *= 2
 
 
 class Adam:
@@ -131,10 +211,19 @@ class Adam:
         self.steps += 1
         for name, d in gradients.items():
             first, second = self.first[name], self.second[name]
-            first += np.float32(0.1) * (d - first)
-            second += np.float32(0.01) * (d * d - second)
-            step = first / (1 - 0.9 ** self.steps) / (np.sqrt(second / (1 - 0.99 ** self.steps)) + 1e-6)
-            weights[name] = (weights[name] - np.float32(self.rate) * step).astype(np.float32)
+            first *= np.float32(0.9)
+            first += np.float32(0.1) * d
+            second *= np.float32(0.99)
+            d = d * d
+            d *= np.float32(0.01)
+            second += d
+            step = second / np.float32(1 - 0.99 ** self.steps)
+            np.sqrt(step, out=step)
+            step += np.float32(1e-6)
+            np.divide(first, step, out=step)
+            step *= np.float32(-self.rate / (1 - 0.9 ** self.steps))
+            step += weights[name]
+            weights[name] = step
 
 
 class AttentionModel:
@@ -152,69 +241,88 @@ class AttentionModel:
         self.units = np.zeros((0, STATES), np.float32)
         self.share = 0.0
 
-    def forward(self, inputs: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        w = self.weights
-        x = w["embed"][inputs] + w["place"]
-        late = x[:, CONTEXT:]
-        q, k, v = late @ w["query"], x @ w["key"], x @ w["value"]
-        scores = q @ k.transpose(0, 2, 1) * np.float32(WIDTH ** -0.5) + _CAUSAL
-        scores += np.where(own, np.float32(0), np.float32(-1e9))[:, None, :]
-        attention = softmax(scores)
-        read = attention @ v
-        hidden = np.tanh(late @ w["own"] + read @ w["mixed"] + w["bias"])
-        states = softmax(hidden @ w["states"] + w["states_bias"])
-        return states, {"x": x, "q": q, "k": k, "v": v, "attention": attention, "read": read, "hidden": hidden}
-
-    def infer(self, inputs: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """States without their common factor, and that factor: ``forward`` with fewer passes over memory.
-
-        The mask of foreign inputs is one more column of queries and keys; attention is normalised after reading.
+    def infer(self, inputs: np.ndarray, own: np.ndarray, kept: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States without their common factor, and that factor. ``kept`` gets what ``gradients`` reads.
+
+        All windows meet a weight in one product. Values have a column of ones, so one product reads them and sums the attention.
+        Inputs that are not of the text lie before its first window or behind what is scored, so only the former are masked.
         """
         w = self.weights
-        x = w["embed"][inputs] + w["place"]
-        late = x[:, CONTEXT:]
-        n = len(x)
-        q = np.ones((n, SCORED, WIDTH + 1), np.float32)
-        np.matmul(late, w["query"] * np.float32(WIDTH ** -0.5), out=q[:, :, :WIDTH])
-        k = np.empty((n, CONTEXT + SCORED, WIDTH + 1), np.float32)
-        np.matmul(x, w["key"], out=k[:, :, :WIDTH])
-        k[:, :, WIDTH] = np.where(own, np.float32(0), np.float32(-1e9))
-        scores = q @ k.transpose(0, 2, 1)
-        scores += _CAUSAL
-        np.minimum(scores, np.float32(60), out=scores)
-        np.exp(scores, out=scores)
-        read = scores @ (x @ w["value"])
-        read /= np.maximum(scores.sum(axis=-1, keepdims=True), np.float32(1e-30))
-        hidden = late @ w["own"]
-        hidden += read @ w["mixed"]
+        n = len(inputs)
+        x = np.take(w["embed"], inputs, axis=0)
+        x += w["place"]
+        flat, late = x.reshape(-1, WIDTH), x[:, CONTEXT:].reshape(-1, WIDTH)
+        q = (late @ (w["query"] * np.float32(WIDTH ** -0.5))).reshape(n, SCORED, WIDTH)
+        kv = np.ones((n * (CONTEXT + SCORED), 2 * WIDTH + 1), x.dtype)
+        kv[:, : 2 * WIDTH] = flat @ np.concatenate([w["key"], w["value"]], axis=1)
+        kv = kv.reshape(n, CONTEXT + SCORED, -1)
+        attention = q @ kv[:, :, :WIDTH].transpose(0, 2, 1)
+        np.clip(attention, np.float32(-60), np.float32(60), out=attention)
+        np.exp(attention, out=attention)
+        attention *= _CAUSAL
+        attention[~own[:, 0], :, :CONTEXT] = 0
+        read = (attention @ kv[:, :, WIDTH:]).reshape(-1, WIDTH + 1)
+        seen = np.empty((len(late), 2 * WIDTH), x.dtype)
+        seen[:, :WIDTH] = late
+        np.divide(read[:, :WIDTH], read[:, WIDTH:], out=seen[:, WIDTH:])
+        hidden = seen @ np.concatenate([w["own"], w["mixed"]])
         hidden += w["bias"]
-        states = np.tanh(hidden, out=hidden) @ w["states"]
+        np.tanh(hidden, out=hidden)
+        states = hidden @ w["states"]
         states += w["states_bias"]
-        np.clip(states, np.float32(-60), np.float32(60), out=states)
+        if np.abs(w["states"]).sum(axis=0).max() + np.abs(w["states_bias"]).max() > 60:
+            np.clip(states, np.float32(-60), np.float32(60), out=states)
         np.exp(states, out=states)
-        return states, states.sum(axis=-1)
+        if kept is not None:
+            kept |= {"x": flat, "q": q, "kv": kv, "attention": attention, "total": read[:, WIDTH:], "seen": seen, "hidden": hidden}
+        return states.reshape(n, SCORED, STATES), (states @ np.ones(STATES, states.dtype)).reshape(n, SCORED)
+
+    def forward(self, inputs: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        kept: dict[str, np.ndarray] = {}
+        states, factor = self.infer(inputs, own, kept)
+        states /= factor[:, :, None]
+        return states, kept
 
     def gradients(self, inputs: np.ndarray, kept: dict[str, np.ndarray], wrong: np.ndarray) -> dict[str, np.ndarray]:
         """From d loss / d logits of the states, which is (states - expected states) at each scored token."""
+        out, d_x = self.backward(kept, wrong)
+        return out | {"embed": self.embed_gradient(inputs, d_x)}
+
+    def embed_gradient(self, inputs: np.ndarray, d_x: np.ndarray) -> np.ndarray:
+        ids, out = inputs.ravel().astype(np.intp), np.empty_like(self.weights["embed"])
+        for i, column in enumerate(d_x.reshape(-1, WIDTH).T.astype(np.float64)):
+            out[:, i] = np.bincount(ids, column, len(out))
+        return out
+
+    def backward(self, kept: dict[str, np.ndarray], wrong: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of all weights but the embedding, and those of the inputs."""
         w = self.weights
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        x, late = kept["x"], kept["x"][:, CONTEXT:]
-        out = {"states": flat(kept["hidden"]).T @ flat(wrong), "states_bias": flat(wrong).sum(axis=0)}
-        d = (wrong @ w["states"].T) * (1 - kept["hidden"] ** 2)
-        out |= {"own": flat(late).T @ flat(d), "mixed": flat(kept["read"]).T @ flat(d), "bias": flat(d).sum(axis=0)}
-        d_read, d_late = d @ w["mixed"].T, d @ w["own"].T
-        d_attention = d_read @ kept["v"].transpose(0, 2, 1)
-        d_value = kept["attention"].transpose(0, 2, 1) @ d_read
-        d_scores = kept["attention"] * (d_attention - (d_attention * kept["attention"]).sum(axis=-1, keepdims=True))
-        d_scores *= np.float32(WIDTH ** -0.5)
-        d_query, d_key = d_scores @ kept["k"], d_scores.transpose(0, 2, 1) @ kept["q"]
-        out |= {"query": flat(late).T @ flat(d_query), "key": flat(x).T @ flat(d_key), "value": flat(x).T @ flat(d_value)}
-        d_x = d_key @ w["key"].T + d_value @ w["value"].T
-        d_x[:, CONTEXT:] += d_late + d_query @ w["query"].T
+        n, scale = len(kept["q"]), np.float32(WIDTH ** -0.5)
+        wrong, hidden, seen, kv = wrong.reshape(-1, STATES), kept["hidden"], kept["seen"], kept["kv"]
+        out = {"states": hidden.T @ wrong, "states_bias": np.ones(len(wrong), wrong.dtype) @ wrong}
+        d = wrong @ w["states"].T
+        d *= 1 - hidden * hidden
+        from_seen = seen.T @ d
+        out |= {"own": from_seen[:WIDTH], "mixed": from_seen[WIDTH:], "bias": d.sum(axis=0)}
+        d_seen = d @ np.concatenate([w["own"], w["mixed"]]).T
+        # The attention is kept without its sum: the derivative of that sum is one more column.
+        d_read = np.empty((len(d), WIDTH + 1), d.dtype)
+        np.divide(d_seen[:, WIDTH:], kept["total"], out=d_read[:, :WIDTH])
+        d_read[:, WIDTH] = -np.vecdot(d_read[:, :WIDTH], seen[:, WIDTH:])
+        d_read = d_read.reshape(n, SCORED, -1)
+        d_scores = d_read @ kv[:, :, WIDTH:].transpose(0, 2, 1)
+        d_scores *= kept["attention"]
+        d_query = (d_scores @ kv[:, :, :WIDTH]).reshape(-1, WIDTH)
+        d_kv = np.empty((n, CONTEXT + SCORED, 2 * WIDTH), d.dtype)
+        d_kv[:, :, :WIDTH] = d_scores.transpose(0, 2, 1) @ kept["q"]
+        d_kv[:, :, WIDTH:] = kept["attention"].transpose(0, 2, 1) @ d_read[:, :, :WIDTH]
+        d_kv = d_kv.reshape(-1, 2 * WIDTH)
+        from_x = kept["x"].T @ d_kv
+        out |= {"query": seen[:, :WIDTH].T @ d_query * scale, "key": from_x[:, :WIDTH], "value": from_x[:, WIDTH:]}
+        d_x = (d_kv @ np.concatenate([w["key"], w["value"]], axis=1).T).reshape(n, CONTEXT + SCORED, WIDTH)
+        d_x[:, CONTEXT:] += (d_seen[:, :WIDTH] + d_query @ (w["query"].T * scale)).reshape(n, SCORED, WIDTH)
         out["place"] = d_x.sum(axis=0)
-        out["embed"] = np.zeros_like(w["embed"])
-        np.add.at(out["embed"], inputs.ravel(), flat(d_x))
-        return out
+        return out, d_x
 
     def fit(self, windows: Windows, rounds: int = TRAIN_STEPS, batch: int = 64, rate: float = 0.02, seed: int = 1) -> None:
         """Adam for the weights; the emissions follow the expected states by moving averages."""
@@ -237,41 +345,45 @@ class AttentionModel:
             smooth = counts + counts.sum(axis=0) * (plain / plain.sum())[:, None] * np.float32(0.02)
             self.emit = smooth / smooth.sum(axis=0)
 
-    def expected_states(self, windows: Windows, which: np.ndarray, units: np.ndarray, out: np.ndarray, adam: Adam | None = None) -> None:
-        """Add the expected states of the ids of some windows to ``out``, below them those of the units.
+    def expected_states(self, windows: Windows, which: np.ndarray, units: np.ndarray, out: np.ndarray, firsts: np.ndarray,
+                        adam: Adam | None = None) -> None:
+        """Add the expected states of the ids of some windows to ``out``: below those of the ids where no unit starts, those of the units.
 
-        ``units`` has for each id of the stream the unit (frequent word) that starts there, or -1. With ``adam`` the weights
-        take a step after each ``ROUND`` windows, all of which count alike; the expectations are those before the step.
+        ``units`` has for each id of the stream the unit (frequent word) that starts there, or -1; ``firsts`` gets the id with
+        which a unit starts. With ``adam`` the weights take a step after each ``ROUND`` windows, all of which count alike; the expectations are those before the step.
         """
         vocabulary = len(self.emit)
         summed: dict[str, np.ndarray] = {}
+        read: list[tuple[np.ndarray, np.ndarray]] = []
         for c in range(0, len(which), CHUNK):
             inputs, own, targets, scored = windows.take(which[c: c + CHUNK])
-            if adam is None:
-                states, factor = self.infer(inputs, own)
-                states /= factor[:, :, None]
-            else:
-                states, kept = self.forward(inputs, own)
-            place = (windows.start[which[c: c + CHUNK]][:, None] + np.arange(SCORED))[scored]
-            targets, unit = targets[scored], units[place]
-            joint = states[scored] * self.emit[targets]
-            joint /= np.maximum(joint.sum(axis=-1, keepdims=True), 1e-30)
+            kept: dict[str, np.ndarray] = {}
+            states, factor = self.infer(inputs, own, kept)
+            states, targets, scored = states.reshape(-1, STATES), targets.ravel(), scored.ravel()
+            states /= factor.reshape(-1, 1)
+            joint = np.take(self.emit, targets, axis=0)
+            joint *= states
+            joint /= np.maximum(joint @ np.ones(STATES, np.float32), np.float32(1e-30))[:, None]
             if adam is not None:
-                wrong = np.zeros_like(states)
-                wrong[scored] = states[scored] - joint
-                for name, d in self.gradients(inputs, kept, wrong).items():
+                states -= joint
+                states[~scored] = 0
+                out_of, d_x = self.backward(kept, states)
+                for name, d in out_of.items():
                     summed[name] = summed[name] + d if name in summed else d
+                read.append((inputs, d_x))
                 end = min(c + CHUNK, len(which))
                 if end % ROUND == 0 or end == len(which):
+                    summed["embed"] = self.embed_gradient(*[np.concatenate(part) for part in zip(*read)])
                     n = (end - 1) % ROUND + 1
                     adam.step(self.weights, {name: (d / np.float32(n * SCORED)).astype(np.float32) for name, d in summed.items()})
-                    summed = {}
-            begins = unit >= 0
-            rows = np.concatenate([targets, vocabulary + unit[begins]])
-            joint = np.concatenate([joint, joint[begins]])
-            order = np.argsort(rows, kind="stable")
-            ids, at = np.unique(rows[order], return_index=True)
-            out[ids] += np.add.reduceat(joint[order], at, axis=0)
+                    summed, read = {}, []
+            at = np.flatnonzero(scored)
+            rows, unit = targets[at], units[(windows.start[which[c: c + CHUNK]][:, None] + np.arange(SCORED)).ravel()[at]]
+            begins = np.flatnonzero(unit >= 0)
+            firsts[unit[begins]] = rows[begins]
+            rows[begins] = vocabulary + unit[begins]
+            ids, sums = summed_by(rows, joint, at)
+            out[ids] += sums
 
     def packed(self) -> np.ndarray:
         """All weights as rows of ``STATES`` numbers, the last one filled up with zeros."""
@@ -300,13 +412,14 @@ class AttentionModel:
             which = np.arange(c, min(c + CHUNK, len(windows.start)))
             inputs, own, targets, scored = windows.take(which)
             states, factor = self.infer(inputs, own)
-            p = np.einsum("wtk,wtk->wt", states, self.emit[targets]) / factor
-            place = (windows.start[which][:, None] + np.arange(SCORED))[scored]
-            out[place] = np.log(np.maximum(p[scored], 1e-30))
+            states, factor = states.reshape(-1, STATES), factor.ravel()
+            p = np.vecdot(states, np.take(self.emit, targets.ravel(), axis=0)) / factor
+            at = np.flatnonzero(scored)
+            place = (windows.start[which][:, None] + np.arange(SCORED)).ravel()[at]
+            out[place] = np.log(np.maximum(p[at], 1e-30))
             begins = np.flatnonzero(units[place] >= 0)
-            at = np.flatnonzero(scored.ravel())[begins]
-            whole[place[begins]] = np.einsum("nk,nk->n", states.reshape(-1, STATES)[at],
-                                             self.units[units[place[begins]]]) / factor.ravel()[at]
+            place, at = place[begins], at[begins]
+            whole[place] = np.vecdot(np.take(states, at, axis=0), np.take(self.units, units[place], axis=0)) / factor[at]
         return out, whole
 
     def words(self, s: Stream, windows: Windows, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -360,14 +473,17 @@ def _gather(sent, size: int, learn: bool = False):
         model = copy.copy(start)
         model.weights = dict(start.weights)
         coder, total, n = _coder(proto), np.zeros((size, STATES), np.float32), 0
+        spelled, firsts = Spelled(coder), np.zeros(len(tops), np.int32)
         adam = Adam(model.weights, RATE) if learn else None
         for batch in batches:
             texts = text_bytes(batch.column(0))
             for a, b in steps([len(t) for t in texts], STEP):
-                s = stream(texts[a:b], coder)
+                s = stream(texts[a:b], spelled)
                 windows = Windows(s, coder.bos_id())
-                model.expected_states(windows, np.arange(len(windows.start)), unit_places(s, tops), total, adam)
+                model.expected_states(windows, np.arange(len(windows.start)), unit_places(s, tops), total, firsts, adam)
                 n += len(windows.start)
+        ids, sums = summed_by(firsts, total[len(model.emit):])  # an id also counts where a unit starts with it
+        total[ids] += sums
         for ids in np.array_split(np.flatnonzero(total.any(axis=1)), 8):
             yield _states(ids, total[ids])
         if learn and n:
