@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from granthi.operators import answers, bounded
+from granthi.operators import answers, bounded, pivots
 from granthi.operators.index import hashed_vector, hashed_vectors
 from granthi.session import dealt
 
@@ -44,6 +44,27 @@ def test_a_block_gives_the_best_passages_of_all_queries(monkeypatch, cells):
     assert got.groupby("query_id").size().max() <= k
 
 
+def test_parts_of_the_queries_are_all_of_them():
+    gains = pd.DataFrame([(q, p, 1.0 + p, float(q), 2.0) for q in range(7) for p in range(q % 3 + 1)], columns=["query_id", "p", "gain", "least", "avgdl"])
+    whole = bounded._arrays(gains)
+    for parts in (1, 3, 10):
+        cut = [bounded._part(whole, i, parts) for i in range(parts)]
+        for i in (0, 2, 3, 4):
+            assert np.concatenate([c[i] for c in cut]).tolist() == whole[i].tolist()
+        assert np.concatenate([np.diff(c[1]) for c in cut]).tolist() == np.diff(whole[1]).tolist()
+
+
+def test_best_blocks_are_opened_until_they_hold_k_vectors():
+    g = np.random.default_rng(8)
+    bounds, rows = g.normal(size=(50, 30)), g.integers(1, 6, 30)
+    for k in (1, 7, 60, 500):
+        order = np.argsort(-bounds, axis=1)
+        before = np.cumsum(rows[order], axis=1) - rows[order]
+        want = np.zeros(bounds.shape, bool)
+        np.put_along_axis(want, order, before < k, axis=1)
+        assert (pivots._first(bounds, rows, k) == want).all()
+
+
 def test_quotes_are_looked_for_once(spark):
     hits = spark.createDataFrame([(1, 1, "a.txt", 1, "A Tree stands. No. The TREE and a House; end.")],
                                  "query_id long, rank int, relpath string, page_number int, text string")
@@ -55,7 +76,7 @@ def test_quotes_are_looked_for_once(spark):
 
 
 def test_small_rows_of_costly_groups_keep_their_tasks(spark):
-    rows = spark.range(40).withColumn("block", F.col("id") % 6)
-    seen = dealt(rows, 6, "block").groupBy("block").applyInPandas(lambda pdf: pdf.head(1), "id long, block long")
-    assert dealt(rows, 6, "block").rdd.getNumPartitions() == 6 and seen.rdd.getNumPartitions() == 6
+    rows = spark.range(40).withColumn("block", F.col("id") % 2)
+    seen = dealt(rows, 2, "block").groupBy("block").applyInPandas(lambda pdf: pdf.head(1), "id long, block long")
+    assert dealt(rows, 2, "block").rdd.getNumPartitions() == 8 and seen.rdd.getNumPartitions() == 8
     assert dealt(rows, 1 << 30, "block").rdd.getNumPartitions() < 1 << 10
